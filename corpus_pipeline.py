@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontaktor.llm import quality, toxicity
+from kontaktor.llm import neardup, packing, quality, secrets, toxicity
 from kontaktor.llm.common import table, written
 
 
@@ -18,7 +18,28 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.of_quality(docs)
 
 
-STAGES = [("toxicity", without_toxic), ("quality_rules", of_quality)]
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return neardup.without_copies(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document; secrets in its text become a mark."""
+    return secrets.redacted(docs)
+
+
+def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack every document into training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality_rules", of_quality),
+    ("minhash_near_dedup", without_copies),
+    ("secret_scan", without_secrets),
+    ("best_fit_packing", in_sequences),
+]
 
 #: Trained classifiers and subword vocabularies are not SQL.
 ORACLE_SQL = None

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import neardup, packing, quality, secrets, toxicity
 
-MODULES = [quality, toxicity]
+MODULES = [packing, secrets, quality, neardup, toxicity]
 
 
 def queries() -> dict:
