@@ -110,7 +110,8 @@ def fractional(counts: dict[int, int], capacity: int, pricings: int) -> list[tup
     """Patterns and multiplicities that use no length more often than it is there.
 
     Multiplicative weights: each pricing takes a share of the scarcest length of its pattern, and the price of a length
-    falls as it gets covered. A length's price starts as its share of a sequence, so full patterns are worth most."""
+    falls as it gets covered. A price starts a little over proportion to the
+    length, so that patterns are full and short lengths are left to fill gaps."""
     lengths = np.array(sorted(counts, reverse=True))
     have = np.array([counts[n] for n in lengths], float)
     covered = np.zeros(len(lengths))
@@ -129,7 +130,7 @@ def fractional(counts: dict[int, int], capacity: int, pricings: int) -> list[tup
         if not len(own):
             continue
         weights = np.exp(-rate * covered[own] * lengths[own] / capacity)
-        pattern = best_pattern(lengths[own], left, lengths[own] / capacity * (1 + 0.02 * weights), capacity)
+        pattern = best_pattern(lengths[own], left, (lengths[own] / capacity) ** 1.05 * (0.5 + 0.5 * weights), capacity)
         if not pattern:
             continue
         at = np.array([place[n] for n in pattern])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality, secrets, toxicity
+from . import bpe, neardup, packing, quality, secrets, toxicity
 
-MODULES = [packing, secrets, quality, neardup, toxicity]
+MODULES = [packing, secrets, quality, neardup, bpe, toxicity]
 
 
 def queries() -> dict:
