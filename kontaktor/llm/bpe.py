@@ -15,6 +15,7 @@ import os
 import re
 import tempfile
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -118,7 +119,7 @@ class Lexicon:
         with tempfile.TemporaryFile() as f:
             f.write(blob)
             f.flush()
-            raw = np.memmap(f, np.uint8, "r")
+            raw = np.asarray(np.memmap(f, np.uint8, "r"))  # a plain view of the mapping
         sizes = raw[: 8 * len(cls.PARTS)].view("<i8")
         at, parts = 8 * len(cls.PARTS), {}
         for (name, kind), n in zip(cls.PARTS, sizes.tolist(), strict=True):
@@ -173,14 +174,30 @@ class Vocabulary:
         self.pretokens = regex.compile(_PRETOKENS).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         symbols = byte_symbols()
-        self.bytes_of = {i: bytes(symbols[c] for c in s) for s, i in spec["model"]["vocab"].items()}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        vocab = {s: i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        of = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.text_of = [str(i).encode() for i in range(len(self.bytes_of))]
+        self.by_rank = None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        merged = [vocab[a + b] for a, b in pairs]
+        if merged == sorted(merged):  # then the ids are the merges' order, and a merger by rank does the same
+            import tiktoken
+
+            ranks = {self.bytes_of[i]: i for i in vocab.values()}
+            self.by_rank = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def merged(self, pretokens: list[str]) -> list[list[int]]:
         """Exact merges of single pre-tokens, none of which holds a special token."""
+        if self.by_rank:
+            return list(map(self.by_rank, pretokens))
         return [e.ids for e in self.model.encode_batch_fast(pretokens, add_special_tokens=False)]
 
+    def coded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids as text, and as the bytes they decode to."""
+        return b",".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+
 
 def chunks(text: str) -> list[list[str]]:
     """Lines of chunks: between two chunks of a line lies one space that begins the next pre-token; between lines, one line feed.
@@ -198,19 +215,26 @@ class Coder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.first, self.later = Codes(50_000), Codes()
         self.coded: dict[int, list[tuple[bytes, bytes]]] = {0: [], 1: []}
+        self.known = [vocabulary.coded(lexicon.ids_of(n)) for n in range(len(lexicon.first) - 1)]
         self.line = self._code(["\n"])[0]
 
     def _code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each chunk's ids as text, and its bytes as its ids decode."""
-        split = [self.vocabulary.pretokens(t) for t in texts]
-        new = list(dict.fromkeys(p for s in split for p in s))
-        found = self.lexicon.find([p.encode("utf-8", "replace") for p in new])
-        ids = {p: self.lexicon.ids_of(n) for p, n in zip(new, found.tolist(), strict=True) if n >= 0}
-        unseen = [p for p, n in zip(new, found.tolist(), strict=True) if n < 0]
-        ids |= zip(unseen, self.vocabulary.merged(unseen), strict=True)
-        of = self.vocabulary.bytes_of
-        both = {p: (",".join(map(str, i)).encode(), b"".join(map(of.__getitem__, i))) for p, i in ids.items()}
-        return [(b",".join([both[p][0] for p in s]), b"".join([both[p][1] for p in s])) for s in split]
+        split = list(map(self.vocabulary.pretokens, texts))
+        new = list(dict.fromkeys(chain.from_iterable(split)))
+        found = self.lexicon.find([p.encode("utf-8", "replace") for p in new]).tolist()
+        unseen = [p for p, n in zip(new, found, strict=True) if n < 0]
+        merges = iter(self.vocabulary.merged(unseen))
+        coded, known = self.vocabulary.coded, self.known
+        both = {p: known[n] if n >= 0 else coded(next(merges)) for p, n in zip(new, found, strict=True)}
+        out = []
+        for s in split:
+            if len(s) == 1:
+                out.append(both[s[0]])
+            else:
+                parts = [both[p] for p in s]
+                out.append((b",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
+        return out
 
     def plain(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Texts without special tokens, none empty."""
@@ -254,23 +278,24 @@ def frequent(documents: DataFrame, *, tokenizer: str, share: float = SHARE) -> l
     share of the part; a pre-token that has the share of the whole has it in some part. At most 1 / share of them come to the driver."""
 
     def run(batches):
-        vocabulary, counts = Vocabulary(tokenizer), Counter()
-        pretokens, total = Counter(), 0
+        vocabulary, pretokens, total = Vocabulary(tokenizer), Counter(), 0
+        firsts, laters = Counter(), Counter()
 
         def settle():
-            for (first, c), n in counts.items():
-                for p in vocabulary.pretokens(c if first else " " + c):
-                    pretokens[p] += n
-            counts.clear()
+            for counts, lead in ((firsts, ""), (laters, " ")):
+                for c, n in counts.items():
+                    for p in vocabulary.pretokens(lead + c):
+                        pretokens[p] += n
+                counts.clear()
 
         for b in batches:
             for t in b.column("text").to_pylist():
                 for line in chunks(t) if t else ():
-                    counts.update([(True, line[0])])
-                    counts.update([(False, c) for c in line[1:]])
-                if len(counts) > 200_000:
+                    firsts[line[0]] += 1
+                    laters.update(line[1:])
+                if len(laters) + len(firsts) > 200_000:
                     settle()
-                    if len(pretokens) > 1_000_000:  # keep memory bounded: what is rare so far can't reach the share
+                    if len(pretokens) > 1_000_000:  # keep memory bounded: what came once so far is far from the share
                         total += sum(n for n in pretokens.values() if n == 1)
                         for p in [p for p, n in pretokens.items() if n == 1]:
                             del pretokens[p]

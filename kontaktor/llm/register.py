@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, quality, secrets, toxicity
+from . import bpe, lm, neardup, packing, quality, secrets, toxicity
 
-MODULES = [packing, secrets, quality, neardup, bpe, toxicity]
+MODULES = [packing, secrets, quality, neardup, lm, bpe, toxicity]
 
 
 def queries() -> dict:
