@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, neardup, packing, quality, secrets, toxicity
+from . import bpe, licenses, lm, neardup, packing, quality, secrets, topk, toxicity
 
-MODULES = [packing, secrets, quality, neardup, lm, bpe, toxicity]
+MODULES = [licenses, packing, secrets, quality, neardup, topk, lm, bpe, toxicity]
 
 
 def queries() -> dict:
