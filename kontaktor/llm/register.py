@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, lm, neardup, packing, quality, secrets, topk, toxicity
+from . import bpe, chat, licenses, lm, neardup, packing, quality, secrets, topk, toxicity
 
-MODULES = [licenses, packing, secrets, quality, neardup, topk, lm, bpe, toxicity]
+MODULES = [licenses, packing, chat, secrets, quality, neardup, topk, lm, bpe, toxicity]
 
 
 def queries() -> dict:
