@@ -1,8 +1,8 @@
 """MinHash near-duplicates with tensored banding.
 
-Two collections of `keys` short minhash keys each are computed. A table's key
-pairs one key of the first with one of the second, so keys * keys tables cost
-2 * keys * rows minhashes instead of keys * keys * 2 * rows.
+Two collections of KEYS short minhash keys each are computed. A table's key pairs
+one key of the first with one of the second, so KEYS * KEYS tables cost
+2 * KEYS * ROWS minhashes instead of KEYS * KEYS * 2 * ROWS.
 
 Equal shingle sets are one class from the start. In each bucket every class meets
 the bucket's centre (the member that shares most buckets), and full sets confirm
@@ -22,8 +22,8 @@ from .common import Codes, low_words, mixed, shingles, table, word_hashes, writt
 
 WIDTH = 5  # words in a shingle
 PERCENT = 75  # similarity of a link at least
-KEYS, ROWS = 9, 2  # keys in each collection, minhashes in a key: at a similarity of 0.75 a pair shares a table with 0.9988
-AGREE = 3  # keys that a pair to be confirmed shares at least, of 2 * KEYS; at 0.75 fewer have a probability of 1e-5
+KEYS, ROWS = 16, 3  # keys in each collection, minhashes in a key: at a similarity of 0.75 a pair shares a table with 0.9997
+AGREE = 58  # of the 2 * KEYS * ROWS minhashes, how many a pair to be confirmed shares; at 0.75 fewer have a probability of 5e-4
 
 
 class Shingler:
@@ -41,18 +41,20 @@ class Shingler:
         return [shingles(self.hashes[c], WIDTH) for c in codes]
 
 
-def minhash_keys(sets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """2 * KEYS keys, each of ROWS minhashes, of a set that isn't empty."""
-    least = np.array([mixed(sets, int(s)).min() for s in seeds], np.uint64).reshape(2 * KEYS, ROWS)
+def minhash_keys(sets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """2 * KEYS keys, each of ROWS minhashes, of a set that isn't empty, and each minhash's lowest byte."""
+    least = np.min([((sets[k : k + 1024, None] ^ ~seeds[::-1]) * seeds).min(axis=0) for k in range(0, len(sets), 1024)], axis=0)
+    rows = least.reshape(2 * KEYS, ROWS)
     out = np.arange(2 * KEYS, dtype=np.uint64)
     for k in range(ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, k], 0x2545F4914F6CDD1D)
-    return out.view(np.int64)
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k], 0x2545F4914F6CDD1D)
+    return out.view(np.int64), mixed(least, 17).astype(np.uint8).view(np.int8)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys): the size and two hashes of the whole set, and its minhash keys (null without shingles)."""
-    seeds = np.random.default_rng(20240229).integers(1, 1 << 63, 2 * KEYS * ROWS, dtype=np.int64)
+    """(doc_id, n_shingles, set_a, set_b, keys, low): the size and two hashes of the whole set, its minhash keys and its
+    minhashes' lowest bytes (null without shingles)."""
+    seeds = np.random.default_rng(20240229).integers(1, 1 << 63, 2 * KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         shingle = Shingler()
@@ -62,11 +64,12 @@ def signatures(documents: DataFrame) -> DataFrame:
                 sets = shingle(texts[k : k + 256])
                 a = [int(mixed(s, 11).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 c = [int(mixed(s, 13).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                keys = [minhash_keys(s, seeds) if len(s) else None for s in sets]
-                columns = [ids.slice(k, len(sets)), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                made = [minhash_keys(s, seeds) if len(s) else (None, None) for s in sets]
+                columns = [ids.slice(k, len(sets)), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64())]
+                columns += [pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "keys", "low"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, low array<tinyint>")
 
 
 def shingle_sets(documents: DataFrame) -> DataFrame:
@@ -83,8 +86,11 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     return documents.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def agreeing(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def likely() -> Column:
+    """Whether two classes' sizes allow a link and enough minhashes agree; columns na, nb, la, lb."""
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+    agree = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= AGREE
+    return F.when(sizes, agree).otherwise(F.lit(False))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,38 +140,48 @@ def grouped(documents: DataFrame) -> DataFrame:
     An empty table gives no rows; columns other than doc_id and text are not read."""
     rows = written(signatures(documents))
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys")))
-
+    of_class = (F.any_value(c).alias(c) for c in ("n_shingles", "keys", "low"))
+    classes = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), *of_class))
+    as_a = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("low").alias("la"))
+    as_b = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("low").alias("lb"))
+
+    # Only keys that two classes share can make a shared table key; most classes have few.
+    single = classes.select("id", F.explode("keys").alias("key"))
+    shared = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    of_id = single.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("shared")).join(classes.select("id", "keys"), "id")
     # Tables: an id and a key for each pair of a key of the first collection and one of the second.
-    first, second = F.slice("keys", 1, KEYS), F.slice("keys", KEYS + 1, KEYS)
+    first, second = (F.array_intersect(F.slice("keys", 1 + k, KEYS), "shared") for k in (0, KEYS))
     paired = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x, y))))
-    entries = classes.select("id", F.explode(paired).alias("key"))
+    entries = of_id.select("id", F.explode(paired).alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(buckets, "key"))
-    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    weighed = members.select("id", "key").join(weight, "id")
-    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("centre"))
-    stars = members.select("id", "key").join(centres, "key").where("id <> centre")
-    pairs = written(likely(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), classes))
+    found = written(entries.join(buckets, "key"))
+    weight = found.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = written(found.select("id", "key").join(weight, "id"))
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("b"))
+    stars = members.join(centres, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = written(stars.join(as_a, "a").join(as_b, "b").where(likely()).select("a", "b"))
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     sets = written(shingle_sets(texts.join(weight, "id", "left_semi")))
     links = written(confirmed(pairs, sets))
 
-    # Rows of one doc_id with different sets are one document.
-    own = some.groupBy("set_a", "set_b", "doc_id").agg(F.lit(1).alias("x")).join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
+    # Rows of one doc_id with different sets are one document, and so are equal sets.
+    own = some.select("set_a", "set_b", "doc_id").distinct().join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
     alike = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     of = components(links)
 
-    # Members of one bucket in different components meet directly.
-    home = members.select("id", "key").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed_buckets = home.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_rows = written(home.join(mixed_buckets, "key"))
-    if not open_rows.isEmpty():
-        x = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        y = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        rest = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct()
+    # Members that aren't in the component of their bucket's centre meet all others of the bucket that are in another
+    # component than theirs; sizes and minhashes are compared within the join.
+    home = members.join(of, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
+    mixed_up = home.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", (-F.col("id")).alias("l"), "component")).alias("top"))
+    mixed_up = mixed_up.where("low < high").select("key", F.col("top.component").alias("main"))
+    loose = written(home.join(mixed_up, "key").select("key", "id", "component", "main"))
+    if not loose.isEmpty():
+        x = loose.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(as_a, "a")
+        y = loose.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("central")).join(as_b, "b")
+        once = F.col("central") | (F.col("a") < F.col("b"))
+        rest = x.join(y, "key").where((F.col("ca") != F.col("cb")) & once & likely()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = written(likely(rest.join(seen, ["a", "b"], "left_anti"), classes))
+        rest = written(rest.join(seen, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(confirmed(rest, sets))
     of = written(components(links.union(alike)))
@@ -173,13 +189,6 @@ def grouped(documents: DataFrame) -> DataFrame:
     return named.select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that share AGREE keys at least."""
-    keys = classes.select("id", "keys")
-    both = pairs.join(keys.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
-    return both.where(agreeing("ka", "kb") >= AGREE).select("a", "b")
-
-
 def without_copies(documents: DataFrame) -> DataFrame:
     """One document of each group, the one of the smallest doc_id; columns unchanged. Rows that repeat its doc_id go."""
     lost = grouped(documents.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
