@@ -1 +1 @@
-
+"""Column expressions: no Python runs for them."""

@@ -1 +1 @@
-
+"""Registered queries, whole pipelines and the command line."""

@@ -1 +1 @@
-
+"""Readers and connectors."""

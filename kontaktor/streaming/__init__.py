@@ -1 +1 @@
-
+"""Incremental state: resumable search and upserts."""
