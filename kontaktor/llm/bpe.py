@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, table
+from .common import Codes, byte_symbols, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: A lexicon word has this share of the corpus' pre-tokens at least; so there are at most 1 / SHARE of them.
@@ -153,13 +153,6 @@ class Lexicon:
         return self.ids[self.first[number] : self.first[number + 1]].tolist()
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable symbol that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Vocabulary:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

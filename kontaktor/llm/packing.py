@@ -10,8 +10,11 @@ each length, which ranks go where; each piece finds its place by its rank.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, table, words, written
+from .common import Codes, byte_symbols, table, words, written
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -31,26 +34,62 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 class Encoder:
-    """Packed little-endian ids of white-space separated chunks. White space ends every token, so chunks encode alone."""
+    """Packed little-endian ids of white-space separated chunks. White space ends every token, so chunks encode alone.
+
+    Where the vocabulary's ids are in the order of its merges, a chunk of Latin letters and plain symbols is merged by
+    rank: each word's bytes and a byte that no text holds, which stands for the end of a word. Other chunks, and any with
+    a special token, go through the tokenizer itself."""
+
+    END = b"\xff"
+    PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")  # composed characters, without white space
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
         self.model.no_truncation()
         self.model.no_padding()
-        self.chunks = Codes()
+        with open(tokenizer, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocab, symbols = {s: i for s, i in spec["model"]["vocab"].items() if s not in self.special}, byte_symbols()
+        suffix = spec["model"]["end_of_word_suffix"] or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        merged = [vocab[a + b] for a, b in pairs]
+        ends = [vocab.get(s + suffix, len(vocab)) for s in symbols]
+        self.words = None
+        if suffix and merged == sorted(merged) and max(ends) < merged[0]:
+            of = lambda s: bytes(symbols[c] for c in s.removesuffix(suffix)) + (self.END if s.endswith(suffix) else b"")
+            ranks = {of(s): i for s, i in vocab.items()}
+            self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
+        self.chunks, self.known = Codes(), Codes()
         self.packed: list[bytes] = []
+        self.of_known: list[bytes] = []
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        plain = [bool(self.words and self.PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        split = [list(map(self.known.__getitem__, self.words(t.lower()))) if p else [] for t, p in zip(texts, plain, strict=True)]
+        merge, end = self.merge if self.words else None, self.END
+        self.of_known += [array("I", merge(w.encode() + end)).tobytes() for w in self.known.take()]
+        other = [t for t, p in zip(texts, plain, strict=True) if not p]
+        ids = iter([np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(other, add_special_tokens=False)] if other else [])
+        of = self.of_known
+        return [(of[k[0]] if len(k) == 1 else b"".join([of[x] for x in k])) if p else next(ids) for k, p in zip(split, plain, strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if self.chunks.full():
             self.packed = []
+        if self.known.full():
+            self.of_known = []
         codes = [list(map(self.chunks.__getitem__, words(t))) for t in texts]
         if new := self.chunks.take():
-            got = self.model.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            self.packed += [np.array(e.ids, "<u4").tobytes() for e in got]
-        return [b"".join(map(self.packed.__getitem__, c)) for c in codes]
+            self.packed += self._new(new)
+        return [b"".join([self.packed[x] for x in c]) for c in codes]
 
 
 def pieces(documents: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
