@@ -8,7 +8,7 @@ A conversation can be long: its lines may fill many tasks. The scores of a stret
 of lines between each state before and after it are a matrix, and such matrices
 multiply in max-plus algebra. So each stretch is summed up alone, one small pass
 over the matrices fixes the states at every border, and each stretch is then
-decoded alone between fixed ends. The states are those of one Viterbi run.
+decoded alone between fixed ends. The states are a likeliest path, as of one run.
 """
 
 from __future__ import annotations
