@@ -7,8 +7,8 @@ one key of the first with one of the second, so KEYS * KEYS tables cost
 Equal shingle sets are one class from the start. In each bucket every class meets
 the bucket's centre (the member that shares most buckets), and full sets confirm
 or refuse the link. Members of a bucket whose components still differ after that
-meet each other directly, so no link of a bucket is lost while a group of n
-near copies costs n pairs, not n * n.
+meet through their rarest shingles, with bounds from where these stand, so no link
+of a bucket is lost while a group of n near copies costs n pairs, not n * n.
 """
 
 from __future__ import annotations
@@ -169,19 +169,14 @@ def grouped(documents: DataFrame) -> DataFrame:
     alike = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     of = components(links)
 
-    # Members that aren't in the component of their bucket's centre meet all others of the bucket that are in another
-    # component than theirs; sizes and minhashes are compared within the join.
+    # Members that aren't in the component of their bucket's centre meet the others that lie in another component.
     home = members.join(of, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
     mixed_up = home.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", (-F.col("id")).alias("l"), "component")).alias("top"))
     mixed_up = mixed_up.where("low < high").select("key", F.col("top.component").alias("main"))
-    loose = written(home.join(mixed_up, "key").select("key", "id", "component", "main"))
+    loose = home.join(mixed_up, "key").groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("apart"))
+    loose = written(loose)
     if not loose.isEmpty():
-        x = loose.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(as_a, "a")
-        y = loose.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("central")).join(as_b, "b")
-        once = F.col("central") | (F.col("a") < F.col("b"))
-        rest = x.join(y, "key").where((F.col("ca") != F.col("cb")) & once & likely()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = written(rest.join(seen, ["a", "b"], "left_anti"))
+        rest = written(overlapping(loose, sets).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(confirmed(rest, sets))
     of = written(components(links.union(alike)))
@@ -189,6 +184,31 @@ def grouped(documents: DataFrame) -> DataFrame:
     return named.select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
+def overlapping(loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of loose ids in different components, one of them apart, that may be similar enough.
+
+    Shingles are put in one order, the rarest first. Two sets that are similar enough share one of their first
+    n - ceil(n * PERCENT / 100) + 1 shingles, and where the first shared one stands bounds how many can follow. A passage
+    that many documents hold comes late in that order, so documents that share little else don't meet."""
+    of_loose = sets.join(loose.select("id"), "id", "left_semi")
+    each = of_loose.select("id", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    common = each.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("common"))
+    # Shingles of one set alone come first; they match nothing, so only their number matters.
+    size, own = F.size("shingles"), F.size("shingles") - F.size("common")
+    prefix = (size - F.ceil(size * F.lit(PERCENT) / 100) + 1).cast("int")
+    rows = of_loose.join(common, "id").select("id", size.alias("n"), own.alias("own"), F.slice("common", F.lit(1), F.greatest(prefix - own, F.lit(0))).alias("head"))
+    rows = rows.join(loose, "id").select("id", "component", "apart", "n", "own", F.posexplode("head").alias("at", "x"))
+    rows = written(rows.select("id", "component", "apart", "n", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
+    x = rows.where("apart").select("s", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = rows.select("s", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("apart").alias("both"))
+    once = ~F.col("both") | (F.col("a") < F.col("b"))
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+    reach = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+    met = x.join(y, "s").where((F.col("ca") != F.col("cb")) & once & sizes & reach)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def without_copies(documents: DataFrame) -> DataFrame:
     """One document of each group, the one of the smallest doc_id; columns unchanged. Rows that repeat its doc_id go."""
     lost = grouped(documents.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
