@@ -87,6 +87,15 @@ def partials(path: str | Path) -> list[Path]:
     return sorted(x for x in p.parent.glob("*") if name.fullmatch(x.name)) if p.parent.is_dir() else []
 
 
+def write_partial(rows: DataFrame, path: str | Path) -> Path | None:
+    """All rows so far, filters apart, as the path's partial file, written anew; a failure is reported and passed over."""
+    try:
+        return write_csv(rows, partial_path(path))
+    except OSError as e:
+        print(f"no partial file: {e}")
+        return None
+
+
 def count_rows(path: str | Path) -> int:
     try:
         with open(path, newline="", encoding="utf-8-sig") as f:

@@ -103,6 +103,22 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BODY).parquet(path)
 
 
+def cache_key(engine: str, query: Column, num: int) -> Column:
+    return F.concat(F.lit(f"{engine}_"), query, F.lit(f"_{num}"))
+
+
+def cacheable(results: DataFrame, engine: str, num: int) -> DataFrame:
+    """(cache_key, results) to append to a cache: one row for each query that brought results; others are asked again."""
+    columns = [c for c in results.columns if c not in ("query", "ord")]
+    grouped = results.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("results"))
+    return grouped.where(F.size("results") > 0).select(cache_key(engine, F.col("query"), num).alias("cache_key"), "query", "results")
+
+
+def from_cache(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """Results of wanted (cache_key) that a cache holds; a resumed search doesn't ask the cache."""
+    return cache.join(wanted.select("cache_key").distinct(), "cache_key", "left_semi").select("query", F.explode("results").alias("x")).select("query", "x.*")
+
+
 def needs_script(html: Column) -> Column:
     """A result page that only a browser's scripts could fill."""
     return html.contains("enablejs") | html.contains("/httpservice/retry")

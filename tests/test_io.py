@@ -169,6 +169,19 @@ def test_result_pages(spark):
     assert [(r.url, r.title) for r in search_api.results_of_pages(rows).collect()] == [("https://a.example/", "A name")]
 
 
+def test_cache(spark):
+    results = spark.createDataFrame([("q", 1, "u2"), ("q", 0, "u1"), ("r", 0, "u3")], "query string, ord long, url string")
+    cache = search_api.cacheable(results, "api", 10)
+    wanted = spark.createDataFrame([("api_q_10",), ("api_none_10",)], "cache_key string")
+    assert [(r.query, r.ord, r.url) for r in search_api.from_cache(wanted, cache).orderBy("ord").collect()] == [("q", 0, "u1"), ("q", 1, "u2")]
+
+
+def test_partial_snapshot(spark, tmp_path):
+    rows = spark.createDataFrame([("A",)], "company string").select(*(F.col(c) if c == "company" else F.lit("").alias(c) for c in fixed.COMPANY_COLUMNS))
+    assert publish.count_rows(publish.write_partial(rows, tmp_path / "o.csv")) == 1
+    assert publish.write_partial(rows.limit(0), tmp_path / "o.csv").name == "o.partial.csv" and publish.partials(tmp_path / "o.csv")
+
+
 FEED = "query_key string, page int, pos int, url string"
 
 
