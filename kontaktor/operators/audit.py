@@ -21,16 +21,18 @@ def vocabulary(spark: SparkSession, cities: list[str] | None = None) -> list[str
 
 def judged(rows: DataFrame, places: list[str]) -> DataFrame:
     """rows with asked_places, asked_topics, relevant, mismatched and has_contact."""
-    words = F.array(*map(F.lit, places))
+    words = F.split(F.lit("\n".join(places)), "\n")  # folded to one constant array
     r = rows.withColumns({"asked_places": query_text.places(F.col("search_query"), words), "asked_topics": query_text.topics(F.col("search_query"), words)})
-    hay = F.lower(F.concat_ws(" ", text_or_empty(F.col("company")), text_or_empty(F.col("website"))))
-    return r.withColumns(
+    r = r.withColumn("_hay", F.lower(F.concat_ws(" ", text_or_empty(F.col("company")), text_or_empty(F.col("website")))))
+    hay = F.col("_hay")
+    r = r.withColumns(
         {
             "relevant": query_text.is_relevant(hay, F.col("asked_places"), F.col("asked_topics")),
             "mismatched": query_text.is_elsewhere(hay, F.col("asked_places"), words),
             "has_contact": (F.col("email_source") == "found") | (text_or_empty(F.col("whatsapp")) != ""),
         }
     )
+    return r.drop("_hay")
 
 
 def numbers(rows: DataFrame) -> DataFrame:
@@ -61,7 +63,9 @@ def audited(rows: DataFrame, blocklist: DataFrame, places: list[str]) -> DataFra
         n(~status.isin("ok", ""), "errors"),
     )
     number = F.col("number")
-    of_numbers = numbers(rows).agg(F.count("*").alias("numbers"), n(phones.is_plausible(number), "valid_numbers"), n(phones.is_mobile(number), "mobiles"), n(phones.is_landline(number), "landlines"))
+    known = numbers(rows).select(phones.is_mobile(number).alias("mobile"), phones.is_landline(number).alias("landline"))
+    mobile, landline = F.col("mobile"), F.col("landline")
+    of_numbers = known.agg(F.count("*").alias("numbers"), n(mobile | landline, "valid_numbers"), n(mobile, "mobiles"), n(landline, "landlines"))
     order = ("rows", "relevant", "located", "mismatched", "non_aggregator", "numbers", "valid_numbers", "mobiles", "landlines", "unique_hosts", "with_contact", "errors")
     return of_rows.crossJoin(F.broadcast(of_numbers)).select(*order)  # one row and one row
 

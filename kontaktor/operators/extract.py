@@ -43,7 +43,7 @@ def contacts(pages: DataFrame, *, drop_free_mail: bool = False) -> DataFrame:
         *pages.columns if "error" in pages.columns else [*pages.columns, "error"],
         "f",
         "ld",
-        F.when(F.col("error").isNull() & bot, "").otherwise(names.company(html, F.col("url"))).alias("title_name"),
+        names.company(html, F.col("url")).alias("title_name"),
         F.when(ok, emails.cleaned(F.concat(emails.found(F.col("f.markup")), ld_emails), drop_free_mail=drop_free_mail)).otherwise(empty).alias("e"),
         F.when(ok, phones.in_links(html, fixed.WHATSAPP_LINK)).otherwise(empty).alias("w"),
         F.when(ok, F.array_union(F.array_union(phones.in_text(F.col("f.markup")), ld_phones), phones.in_links(html, fixed.TEL_LINK))).otherwise(empty).alias("p"),
@@ -59,7 +59,7 @@ def contacts(pages: DataFrame, *, drop_free_mail: bool = False) -> DataFrame:
     return p.select(
         *[c for c in pages.columns if c not in ("error", "html")],
         "html",
-        F.coalesce(F.nullif(of("name"), F.lit("")), "title_name").alias("company"),
+        F.coalesce(F.nullif(of("name"), F.lit("")), F.when(F.col("bot"), "").otherwise(F.col("title_name"))).alias("company"),
         e.alias("emails"),
         w.alias("whatsapp"),
         ph.alias("phones"),
@@ -78,22 +78,28 @@ def is_structured(ld: Column, facts: Column) -> Column:
 
 
 def with_block(p: DataFrame) -> DataFrame:
-    """p and its labelled contact block, null where there is none: structured data first, then labelled lines near the anchor."""
+    """p and its labelled contact block, null where there is none: structured data first, then labelled lines near the anchor.
+
+    p has title_name, which names a block without a name of its own."""
     kinds = F.array(*map(F.lit, fixed.STRUCTURED_TYPES))
-    own = F.filter("ld", lambda n: F.arrays_overlap(n["types"], kinds))
     near = text_or_empty(F.col("f.scope_text"))
-    line = {k: collapse(F.regexp_extract(near, pattern, 1)) for k, pattern in fixed.LABELLED_LINES.items()}
-    each = lambda f: F.transform(own, f)
-    email = _first(F.concat(F.transform(F.filter(each(lambda n: n["email"]), lambda e: e.contains("@")), _without_mailto), F.array(line["email"])))
-    phone = _first(F.concat(F.transform(F.filter(each(lambda n: n["telephone"]), lambda t: t.rlike("[0-9]")), phones.normalized), F.array(phones.normalized(line["phone"]))))
-    street = collapse(F.regexp_extract(near, fixed.STREET_LINE, 1))
-    address = _first(F.concat(each(lambda n: n["address"]), F.array(line["address"], street)))
-    whatsapp = phones.normalized(line["whatsapp"])
-    name = _first(F.concat(each(lambda n: collapse(n["name"])), F.array(names.company(text_or_empty(F.col("html")), F.col("url")))))
-    label = F.when(F.size(own) > 0, "json-ld").otherwise(F.coalesce("f.anchor_label", F.lit("")))
-    block = F.struct(label.alias("label"), name.alias("name"), address.alias("address"), phone.alias("phone"), email.alias("email"), whatsapp.alias("whatsapp"))
-    some = any_of(c != "" for c in (address, phone, email, whatsapp))
-    return p.withColumn("block", F.when(is_structured(F.col("ld"), F.col("f")) & some, block))
+    p = p.withColumn("own", F.filter("ld", lambda n: F.arrays_overlap(n["types"], kinds)))
+    p = p.withColumns({f"_{k}": collapse(F.regexp_extract(near, pattern, 1)) for k, pattern in (fixed.LABELLED_LINES | {"street": fixed.STREET_LINE}).items()})
+    each = lambda f: F.transform("own", f)
+    p = p.withColumns(
+        {
+            "_email": _first(F.concat(F.transform(F.filter(each(lambda n: n["email"]), lambda e: e.contains("@")), _without_mailto), F.array("_email"))),
+            "_phone": _first(F.concat(F.transform(F.filter(each(lambda n: n["telephone"]), lambda t: t.rlike("[0-9]")), phones.normalized), F.array(phones.normalized(F.col("_phone"))))),
+            "_address": _first(F.concat(each(lambda n: n["address"]), F.array("_address", "_street"))),
+            "_whatsapp": phones.normalized(F.col("_whatsapp")),
+            "_name": _first(F.concat(each(lambda n: collapse(n["name"])), F.array("title_name"))),
+            "_label": F.when(F.size("own") > 0, "json-ld").otherwise(F.coalesce("f.anchor_label", F.lit(""))),
+        }
+    )
+    fields = ("label", "name", "address", "phone", "email", "whatsapp")
+    some = any_of(F.col(f"_{c}") != "" for c in fields[2:])
+    block = F.struct(*(F.col(f"_{c}").alias(c) for c in fields))
+    return p.withColumn("block", F.when(is_structured(F.col("ld"), F.col("f")) & some, block)).drop("own", "_street", *(f"_{c}" for c in fields))
 
 
 def contact_links(found: DataFrame, *, limit: int = fixed.MAX_CONTACT_PAGES) -> DataFrame:
