@@ -21,6 +21,8 @@ _ODD, _PLAIN = "‘’“”–— ©", "''\"\"-- @"  # typographic characters;
 _COPYRIGHT = r"(?m)^[^a-z0-9\n(@]*(?:copyright[ \t]+(?:\(c\)|@|[0-9<\[{])|\(c\)[ \t]*(?:copyright|[0-9])|@[ \t]*(?:copyright|[0-9]))[^\n]*"
 _RESERVED = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Every notice holds one of these stems before punctuation goes, at whatever length; other lines need no digest.
+_STEMS = r"(?s)licen|gpl|cc0|cc[\x00-\x2F\x3A-\x60\x7B-\x7F].*by"
 #: Spellings that count as equal, in the form of the second.
 SPELLINGS = (
     ("licence", "license"),
@@ -141,8 +143,7 @@ def scanned(documents: DataFrame) -> DataFrame:
     known = spark.createDataFrame(sorted(known_texts().items()), "digest string, license string")  # a fixed table of a few hundred rows
     text = F.coalesce("text", F.lit(""))
     names = F.create_map(*(F.lit(x) for pair in sorted(known_notices().items()) for x in pair))
-    # Every notice holds one of these stems, so other lines need no digest.
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) <= 400) & F.translate(x, _UPPER, _LOWER).rlike("licen|gpl|cc0|cc by|cc-by"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _UPPER + _ODD, _LOWER + _PLAIN).rlike(_STEMS))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.sha2(canonical(x).cast("binary"), 256))), lambda x: x.isNotNull())
     whole = documents.select("doc_id", F.sha2(canonical(text).cast("binary"), 256).alias("digest"), found.alias("found"))
     return whole.join(F.broadcast(known), "digest", "left").select(

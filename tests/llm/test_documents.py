@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -67,6 +68,18 @@ def test_license_keeps_sentences_that_begin_with_copyright():
     assert licenses.canonical_text("Copyright 2020 A\nCopyright © B\ntext\nAll rights reserved.") == "text"
 
 
+def test_notices_in_any_punctuation_and_length(spark):
+    forms = ["CC  BY 4.0", "CC\u00a0BY 4.0", "CC\u2013BY 4.0", "CC_BY 4.0", "**CC** BY\t4.0", "*" * 500 + " CC BY 4.0 " + "=" * 500, " " * 900 + "cc-by 4.0"]
+    got = {r.doc_id: (r.n_notices, r.notices) for r in licenses.scanned(documents(spark, forms)).collect()}
+    assert got == dict.fromkeys(range(len(forms)), (1, "CC-BY-4.0"))
+
+
+def test_every_notice_passes_the_stems():
+    for names in licenses.NAMES.values():
+        for n in names:
+            assert all(re.search(licenses._STEMS, s.format(n).lower().replace(" ", sep)) for s in licenses.SENTENCES for sep in (" ", "  ", "\t-\t", "_"))
+
+
 # Packing
 
 
