@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 
@@ -74,6 +75,23 @@ def test_notices_in_any_punctuation_and_length(spark):
     assert got == dict.fromkeys(range(len(forms)), (1, "CC-BY-4.0"))
 
 
+def test_complete_texts_and_usual_variants(spark):
+    third = licenses.TEXTS["BSD-3-Clause"].replace("the copyright holder nor", "<organization> nor").replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * ")
+    forms = {"ISC": [licenses.TEXTS["ISC"].replace("and/or", "and")], "BSD-3-Clause": [third]}
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD-3-Clause": "BSD"}
+    for name, file in files.items():
+        if (folder / file).exists():
+            whole = (folder / file).read_text()
+            forms.setdefault(name, []).append(whole)
+            if name.startswith(("Apache", "GPL")):
+                forms[name].append(whole.partition("END OF TERMS AND CONDITIONS")[0])
+    expected = [name for name, texts in forms.items() for _ in texts]
+    got = licenses.scanned(documents(spark, [t for texts in forms.values() for t in texts])).orderBy("doc_id").collect()
+    assert [r.license for r in got] == expected
+    assert licenses.scanned(documents(spark, [third + " and more"])).first().license is None
+
+
 def test_every_notice_passes_the_stems():
     for names in licenses.NAMES.values():
         for n in names:
