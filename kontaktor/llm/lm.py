@@ -1,14 +1,15 @@
 """Language-model scoring with a weighted backoff automaton.
 
-N-grams of frequent words, smoothed by absolute discounting, become states and
-arcs; a state's failure arc leads to its shorter context at the cost of its
-backoff weight. One traversal from left to right carries the state through a
-text and adds up log-probabilities. Words outside the automaton pass as one class;
-their own probability within the class follows from their exact corpus counts.
-
-Counts are exact and distributed. What a worker holds is bounded by shares: at
-most 1 / WORD_SHARE words and 1 / GRAM_SHARE n-grams have such a share of all
-tokens. Every other word meets its count in a join.
+The model holds every pair and triple that occurs LEAST times, smoothed by absolute
+discounting, and backs off to exact counts of all words. Its frequent n-grams become
+states and arcs; a state's failure arc leads to its shorter context at the cost of
+its backoff weight. One traversal from left to right carries the state through a
+text and adds up log-probabilities. What each other word, pair and triple adds to
+that is a number of its own, which its occurrences meet in a join.
+
+Counts are exact and distributed, words and n-grams told apart by 64-bit hashes. What
+a worker holds is bounded by shares: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE
+n-grams of each order have such a share of all tokens.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import low_words, table, written
+from .common import low_words, mixed, table, written
 
 END = b"\n"  # no word holds white space
 ADD = 0.1  # fixed by the contract: what smoothing adds to each count
 ORDER = 3
 WORD_SHARE = 1e-6  # words with this share of the tokens have their counts at every worker
 CLASS_SHARE = 5e-5  # words with this share are tokens of the automaton
-GRAM_SHARE = 5e-6  # n-grams with this share are arcs
+GRAM_SHARE = 5e-6  # n-grams of tokens with this share are arcs; all others meet their texts in a join
+LEAST = 2  # the model's n-grams are all that occur so often, at any size
 DISCOUNT = 0.5
 REST = 0  # the class of all words that are no tokens of the automaton
 
@@ -59,44 +62,78 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(training: DataFrame, tokens: dict[bytes, int], contexts: list[np.ndarray], share: int) -> DataFrame:
-    """(gram, n) of n-grams one longer than the contexts, each as context * tokens + token, with at least `share` occurrences."""
-    held = training.sparkSession.sparkContext.broadcast((tokens, contexts))
-    size = len(tokens) + 1
+class Hashes(dict):
+    """word -> its hash, that of Spark's xxhash64 over the same bytes."""
+
+    def __missing__(self, word):
+        self[word] = h = xxhash.xxh64_intdigest(word, seed=42)
+        return h
+
+    def grams(self, words: list[bytes]) -> list[np.ndarray]:
+        """Hashes of the words with an END on both sides, of their pairs and of their triples; each pairs two neighbours of the one before."""
+        if len(self) > 300_000:
+            self.clear()
+        out = [np.fromiter(map(self.__getitem__, [END, *words, END]), np.uint64, len(words) + 2)]
+        for k in range(1, ORDER):
+            out.append(mixed(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + out[-1][1:], k))
+        return out
+
+
+def gram_counts(training: DataFrame) -> DataFrame:
+    """(k, l, r, o, n) of all pairs (o = 2) and triples (o = 3) that occur at least LEAST times: their hash, those of the two that they are made of, their number."""
 
     def run(batches):
-        tokens, contexts = held.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
+        hashes, pending, length = Hashes(), [], 0
 
-        def fold(keys, counts):
-            k = np.concatenate([keys, *pending])
-            n = np.concatenate([counts, np.ones(len(k) - len(counts), np.int64)])
+        def fold():
+            o, k, l, r = (np.concatenate(x) for x in zip(*pending, strict=True))
+            k, at, n = np.unique(k, return_index=True, return_counts=True)
             pending.clear()
-            k, back = np.unique(k, return_inverse=True)
-            return k, np.bincount(back, weights=n, minlength=len(k)).astype(np.int64)
+            for i in range(0, len(k), 100_000):
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[j].view(np.int64), l[at[j]].view(np.int64), r[at[j]].view(np.int64), o[at[j]], n[j].astype(np.int64))], ["k", "l", "r", "o", "n"])
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                own = [tokens.get(w, REST) for w in low_words(t)]
-                ids = np.array([tokens[END], *own, tokens[END]], np.int64)  # a text begins after an end
-                at = ids[: len(ids) - len(contexts) - 1]
-                alive = np.ones(len(at), bool)
-                for k, known in enumerate(contexts, 1):
-                    key = at * size + ids[k : len(at) + k]
-                    at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                    alive &= known[at] == key if len(known) else False
-                grams = at * size + ids[len(contexts) + 1 :]
-                pending.append(grams[alive])
-            if sum(map(len, pending)) > 1_000_000:
-                keys, counts = fold(keys, counts)
-                if len(keys) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = fold(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-
-    return training.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= share)
+                levels = hashes.grams(low_words(t))
+                for o, (below, k) in enumerate(zip(levels, levels[1:]), 2):
+                    pending.append((np.full(len(k), o, np.int8), k, below[:-1], below[1:]))
+                    length += len(k)
+                if length > 3_000_000:
+                    yield from fold()
+                    length = 0
+        if pending:
+            yield from fold()
+
+    got = training.select("text").mapInArrow(run, "k long, l long, r long, o byte, n long")
+    return got.groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max("o").alias("o"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def gains(counts: DataFrame, grams: DataFrame, scale: float) -> DataFrame:
+    """(k, l, r, o, n, v, bow) of words (o = 1, if they begin a pair of grams), pairs and triples: v is what each occurrence adds to the log10 score
+    of its text, beyond what the parts that it is made of add; bow is the log10 backoff weight as a context.
+
+    A triple stands in place of its pair's lower probability times the weight of its context, and a pair in place of
+    its word's. Each occurrence of a word or pair, but for the last, is a context, and the last is none in training either."""
+    word = counts.select(F.xxhash64("word").alias("k"), "n", ((F.col("n") + ADD) / scale).alias("p"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    tables, lower = [], word
+    for o in range(2, ORDER + 1):
+        left, right = lower.select(F.col("k").alias("l"), F.col("n").alias("of")), lower.select(F.col("k").alias("r"), F.col("p").alias("below"))
+        own = written(grams.where(F.col("o") == o).join(left, "l").join(right, "r").withColumn("p", (F.col("n") - DISCOUNT) / F.col("of")))
+        weight = F.log10(F.greatest(1 - F.sum("p"), F.lit(1e-9)) / F.greatest(1 - F.sum("below"), F.lit(1e-9)))
+        weights = written(own.groupBy("l").agg(weight.alias("bow")))
+        if o == 2:
+            tables.append(weights.withColumnRenamed("l", "k").join(word, "k").select("k", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"), F.lit(1).alias("o"), "n", F.col("bow").alias("v"), "bow"))
+        else:
+            tables[-1] = tables[-1].drop("bow").join(weights.withColumnRenamed("l", "k"), "k", "left").withColumn("bow", zero(F.col("bow"))).withColumn("v", F.col("v") + F.col("bow"))
+        here = own.join(weights, "l").withColumn("v", F.log10("p") - F.log10("below") - F.col("bow"))
+        tables.append(here.select("k", "l", "r", F.lit(o).alias("o"), "n", "v", F.lit(0.0).alias("bow")))
+        lower = own.select("k", "n", "p")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return written(out)
 
 
 @dataclass
@@ -128,77 +165,85 @@ class Automaton:
         return total
 
 
-def compile_automaton(known: dict[bytes, int], grams: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, least: int) -> Automaton:
-    """known: counts of the words that every worker knows. grams: from pairs on, sorted keys and counts, each key a context's place times size plus a token."""
+def compile_automaton(known: dict[bytes, int], weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
+    """known: counts of the words that every worker knows. weights: backoff weights of tokens. grams: from pairs on, keys, counts
+    and backoff weights, each key a context's place times size plus a token. Weights are those of the whole model, log10."""
     scale = n + ADD * (v + 1)
-    words = sorted((w for w, c in known.items() if c >= least and w != END), key=lambda w: (-known[w], w))
-    tokens = {w: i for i, w in enumerate(words, 1)} | {END: len(words) + 1}
+    tokens = token_ids(known, least)
     size = len(tokens) + 1
     mass = np.array([0.0, *((known.get(w, 0) + ADD) / scale for w in tokens)])
     mass[REST] = max(1 - mass[1:].sum(), 1e-12)
     # Arcs of the empty context: each token leads to the state of its one-word context.
     arcs = {i: (float(np.log10(p)), 1 + i) for i, p in enumerate(mass.tolist())}
-    backoff, shorter = [0.0] * (1 + size), [0] * (1 + size)
-    count = np.array([max(n - sum(known.get(w, 0) for w in tokens), 0), *(known.get(w, 0) for w in tokens)], float)
+    backoff, shorter = [0.0, 0.0, *(weights.get(w, 0.0) for w in tokens)], [0] * (1 + size)
+    count = np.array([0, *(known.get(w, 0) for w in tokens)], float)
     state_of = np.arange(1, 1 + size)  # of each context of the order before, by its place
 
-    def probability(state: int, token: int) -> float:
-        total = 0.0
-        while (arc := arcs.get(state * size + token)) is None:
-            total += backoff[state]
-            state = shorter[state]
-        return 10 ** (total + arc[0])
-
     def follow(state: int, token: int) -> int:
         while (arc := arcs.get(state * size + token)) is None:
             state = shorter[state]
         return arc[1]
 
-    for depth, (keys, counts) in enumerate(grams):
+    for depth, (keys, counts, bows) in enumerate(grams):
         last = depth == len(grams) - 1
-        place, token = keys // size, keys % size
+        states = np.zeros(len(keys), np.int64)
         fresh = {}
-        left, below = {}, {}
-        for at, i, c, k in zip(place.tolist(), token.tolist(), counts.tolist(), range(len(keys)), strict=True):
+        for k, (at, i, c, bow) in enumerate(zip((keys // size).tolist(), (keys % size).tolist(), counts.tolist(), bows.tolist(), strict=True)):
             s = int(state_of[at])
-            p = max(c - DISCOUNT, 1e-9) / max(count[at], c)
-            left[s] = left.get(s, 1.0) - p
-            below[s] = below.get(s, 1.0) - probability(shorter[s], i)
             to = follow(shorter[s], i)
             if not last:
-                backoff.append(0.0)
+                backoff.append(bow)
                 shorter.append(to)
                 to = len(backoff) - 1
-            fresh[s * size + i] = (float(np.log10(p)), to, k)
-        states = np.zeros(len(keys), np.int64)
-        for key, (p, to, k) in fresh.items():
-            arcs[key] = (p, to)
+            fresh[s * size + i] = (float(np.log10((c - DISCOUNT) / count[at])), to)
             states[k] = to
-        for s in left:
-            backoff[s] = float(np.log10(max(left[s], 1e-9) / max(below[s], 1e-9)))
+        arcs |= fresh
         state_of, count = states, counts.astype(float)
     return Automaton(tokens, arcs, backoff, shorter, {w: float(np.log10((c + ADD) / scale)) for w, c in known.items()}, float(np.log10(mass[REST])), float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
 
 
+def token_ids(known: dict[bytes, int], least: float) -> dict[bytes, int]:
+    words = sorted((w for w, c in known.items() if c >= least and w != END), key=lambda w: (-known[w], w))
+    return {w: i for i, w in enumerate(words, 1)} | {END: len(words) + 1}
+
+
 @dataclass
 class Fitted:
     automaton: Automaton
     counts: DataFrame  # (word, n) of all words of the training texts
+    arcs: np.ndarray  # sorted hashes of what the automaton holds: tokens, pairs and triples
+    rest: DataFrame  # (k, v) of all that it doesn't hold
 
 
-def fit(documents: DataFrame, *, order: int = ORDER) -> Fitted:
+def fit(documents: DataFrame) -> Fitted:
     """Learn from all rows outside the held-out fold; a null text is empty, a null doc_id counts as training."""
     training = documents.where(F.coalesce(~held_out(), F.lit(True)))
     counts = written(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     known = {bytes(r.word): r.n for r in counts.where((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("word") == F.lit(END))).collect()}
     least = max(2, n * CLASS_SHARE)
-    automaton = compile_automaton(known, [], n, v, least)
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(order - 1):
-        got = gram_counts(training, automaton.tokens, [k for k, _ in grams], max(2, int(n * GRAM_SHARE))).toPandas().sort_values("gram")
-        grams.append((got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
-    return Fitted(compile_automaton(known, grams, n, v, least), counts)
+    table = gains(counts, written(gram_counts(training)), n + ADD * (v + 1))
+    hashes = Hashes()
+    tokens = token_ids(known, least)
+    code = {np.uint64(hashes[w]).astype(np.int64).item(): (i, w) for w, i in tokens.items()}
+    # What has a share of all tokens comes to the driver: at most 1 / GRAM_SHARE of each order.
+    end = np.uint64(hashes[END]).astype(np.int64).item()
+    often = table.where(((F.col("o") == 1) & ((F.col("n") >= least) | (F.col("k") == end))) | ((F.col("o") > 1) & (F.col("n") >= max(LEAST, n * GRAM_SHARE)))).toPandas()
+    ones = often[(often["o"] == 1) & often["k"].isin(list(code))]
+    weights = {code[k][1]: b for k, b in zip(ones["k"].tolist(), ones["bow"].tolist(), strict=True)}
+    held, grams = [np.array(list(code), np.int64)], []
+    places = {k: i for k, (i, _) in code.items()}  # of contexts, by hash
+    last = {k: i for k, (i, _) in code.items()}  # the last token of each
+    for o in range(2, ORDER + 1):
+        g = often[(often["o"] == o) & often["l"].isin(list(places)) & often["r"].isin(list(places))]
+        ends = g["r"].map(last).to_numpy(np.int64)
+        grams.append((g["l"].map(places).to_numpy(np.int64) * (len(tokens) + 1) + ends, g["n"].to_numpy(np.int64), g["bow"].to_numpy(float)))
+        held.append(g["k"].to_numpy(np.int64))
+        places = {k: i for i, k in enumerate(g["k"].tolist())}
+        last = dict(zip(g["k"].tolist(), ends.tolist(), strict=True))
+    arcs = np.sort(np.concatenate(held))
+    inside = documents.sparkSession.createDataFrame(pa.table({"k": pa.array(arcs)}))
+    return Fitted(compile_automaton(known, weights, grams, n, v, least), counts, arcs, table.select("k", "v").join(F.broadcast(inside), "k", "left_anti"))
 
 
 def scored(documents: DataFrame, model: Fitted) -> DataFrame:
@@ -211,7 +256,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     def texts(batches):
         m = held.value
         for b in batches:
-            ids = b.column("doc_id")
+            ids = [b.column("doc_id"), b.column("row")]
             out = []
             for t in b.column("text").to_pylist():
                 words = low_words(t)
@@ -226,17 +271,38 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                 out.append((len(words) + 1, len(words) + (END in m.counts) - sum(rare.values()), base, score, list(rare), list(rare.values())))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
-    rows = documents.select("doc_id", "text").mapInArrow(texts, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    inside = documents.sparkSession.sparkContext.broadcast(model.arcs)
+
+    def outside(batches):
+        """(row, k, times) of the words, pairs and triples that the automaton doesn't hold."""
+        known, hashes = inside.value, Hashes()
+        for b in batches:
+            at, keys, times = [], [], []
+            for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
+                first, *more = hashes.grams(low_words(t))
+                k, n = np.unique(np.concatenate([first[:-1], *more]).view(np.int64), return_counts=True)
+                if len(known):
+                    new = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] != k
+                    k, n = k[new], n[new]
+                at.append(np.full(len(k), row, np.int64))
+                keys.append(k)
+                times.append(n.astype(np.int32))
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (at, keys, times)], ["row", "k", "times"])
+
+    read = written(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    rows = written(read.mapInArrow(texts, "doc_id long, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"))
+    more = read.select("row", "text").mapInArrow(outside, "row long, k long, times int").join(model.rest, "k")
+    more = more.groupBy("row").agg(F.sum(F.col("v") * F.col("times")).alias("more"))
     a = model.automaton
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     tail = model.counts.where(F.col("n") < max(2, a.n * WORD_SHARE)).withColumnRenamed("n", "c")
     met = rare.join(tail, "word", "left").select("row", "times", "c")
     log = F.log10((F.coalesce("c", F.lit(0)) + ADD) / a.scale) * F.col("times")
     sums = met.groupBy("row").agg(F.sum(log).alias("log"), F.sum("times").alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    out = rows.drop("rare", "times").join(sums, "row", "left")
+    out = rows.drop("rare", "times").join(sums, "row", "left").join(more, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id",
@@ -245,7 +311,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
         (F.col("n_known") + zero("tail_known")).alias("n_known"),
         F.lit(a.n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("log")).alias("base_score"),
-        (F.col("score") + zero("log") - zero("tail") * F.lit(a.log_rest)).alias("score"),
+        (F.col("score") + zero("log") - zero("tail") * F.lit(a.log_rest) + zero("more")).alias("score"),
     )
 
 

@@ -1,6 +1,7 @@
 """Operators over documents: each against a brute-force version, with the awkward rows that a corpus has."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -336,6 +337,43 @@ def test_scores_against_brute_force(spark):
     assert sum(r.score for r in of) > sum(r.base_score for r in of)
 
 
+def brute_scores(texts, held):
+    """Log10 probabilities of a trigram model over all words, pairs and triples seen twice."""
+    words = [[b"\n", *(t or "").encode().lower().split(), b"\n"] for t in texts]
+    counts = collections.Counter(tuple(w[i : i + k]) for w, h in zip(words, held, strict=True) if not h for k in (1, 2, 3) for i in range(k == 1, len(w) - k + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    after = collections.defaultdict(list)
+    for g, c in counts.items():
+        if len(g) > 1 and c >= 2:
+            after[g[:-1]].append(g[-1])
+
+    def p(context, w):
+        if not context:
+            return (counts[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        if w in after[context]:
+            return (counts[(*context, w)] - 0.5) / counts[context]
+        return weight(context) * p(context[1:], w)
+
+    @functools.cache
+    def weight(context):
+        return (1 - sum(p(context, w) for w in after[context])) / (1 - sum(p(context[1:], w) for w in after[context]))
+
+    return [sum(math.log10(p(tuple(w[max(i - 2, 0) : i]), w[i])) for i in range(1, len(w))) for w in words]
+
+
+@pytest.mark.parametrize("shares", [(5e-5, 5e-6), (0.02, 0.005), (0.5, 0.5)])
+def test_scores_hold_every_repeated_gram(spark, monkeypatch, shares):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "one"] + [" ".join(rng.choice(["the", "of", "and", "red", "blue", *(f"u{j}" for j in range(k % 7))], 80)) for k in range(40)]
+    texts += [" ".join(f"r{i}" for i in range(50))] * 3
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    monkeypatch.setattr(lm, "CLASS_SHARE", shares[0])
+    monkeypatch.setattr(lm, "GRAM_SHARE", shares[1])
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.score for r in lm.scored(docs, lm.fit(docs)).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts, held), rel=1e-9)
+
+
 def test_automaton_is_a_distribution(spark):
     rng = np.random.default_rng(2)
     docs = documents(spark, [" ".join(rng.choice(list("abcdef"), 200, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05])) for _ in range(20)])
