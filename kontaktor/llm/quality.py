@@ -7,6 +7,7 @@ to bytes and has a wide spread of tokens; junk leaves these bands.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -95,8 +96,9 @@ def duplicate_lines(text: str) -> int:
 
 
 def script(text: str) -> str:
-    letters = [c for c in text[:: max(1, len(text) // 400)] if c.isalpha()]
-    return "latin" if sum(c < "ɐ" for c in letters) * 2 >= len(letters) else "other"
+    """Whether half the letters of the whole text are Latin; a text without letters counts so too."""
+    letters = [(c, n) for c, n in Counter(text).items() if c.isalpha()]
+    return "latin" if sum(n for c, n in letters if c < "ɐ") * 2 >= sum(n for _, n in letters) else "other"
 
 
 def verdict(lang: str | None, text: str, chars: float, byte: float, entropy: float, bands=None) -> bool:

@@ -236,6 +236,14 @@ def test_quality_against_brute_force(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_script_counts_every_letter():
+    # Every eighth letter is Latin, at the places that a stride of eight over 3200 characters reads.
+    assert quality.script("aжжжжжжж" * 400) == "other"
+    assert quality.script("жaaaaaaa" * 400) == "latin"
+    assert quality.script("1. " * 1000 + "жж a") == "other"
+    assert quality.script("") == quality.script("12 %") == "latin"
+
+
 def test_fertility_tells_prose_from_junk(spark):
     prose = ("The committee met in the old town hall on a rainy evening and talked about roads, schools and the new bridge across the river. "
              "Nobody agreed at first, but after several hours they found a plan that everyone could support, and the mayor thanked them warmly for their patience. ") * 1
