@@ -71,14 +71,21 @@ class Fertility:
 
 
 def repeated(codes: np.ndarray, width: int = 3) -> int:
-    """Words that lie in a window of `width` words which the text has twice or more. Codes are below 2**21."""
+    """Words that lie in a window of `width` words which the text has twice or more."""
     n = len(codes) - width + 1
     if n < 2:
         return 0
     key = codes[:n].copy()
-    for k in range(1, width):
-        key <<= 21
-        key |= codes[k : n + k]
+    if codes.max() >> (63 // width):
+        # Codes that don't fit side by side: rank words, then windows one word longer each time.
+        names, codes = np.unique(codes, return_inverse=True)
+        key = codes[:n]
+        for k in range(1, width):
+            key = np.unique(key * len(names) + codes[k : n + k], return_inverse=True)[1]
+    else:
+        for k in range(1, width):
+            key <<= 63 // width
+            key |= codes[k : n + k]
     order = np.sort(key)
     again = order[1:][order[1:] == order[:-1]]
     if not len(again):

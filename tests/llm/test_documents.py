@@ -236,6 +236,16 @@ def test_quality_against_brute_force(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_repeats_of_large_codes_are_exact():
+    far = 1 << 21
+    assert quality.repeated(np.array([5, 1, far + 7, 9, 5, 1, 7])) == 0
+    assert quality.repeated(np.array([5, 1, far + 7, 9, 5, 1, far + 7])) == 6
+    rng = np.random.default_rng(4)
+    for codes in (rng.choice([0, 1, 2, far, far + 1, 3 * far], 300), rng.integers(0, 8, 300)):
+        windows = collections.Counter(tuple(codes[i : i + 3].tolist()) for i in range(298))
+        assert quality.repeated(codes) == len({j for i in range(298) if windows[tuple(codes[i : i + 3].tolist())] > 1 for j in (i, i + 1, i + 2)})
+
+
 def test_script_counts_every_letter():
     # Every eighth letter is Latin, at the places that a stride of eight over 3200 characters reads.
     assert quality.script("aжжжжжжж" * 400) == "other"
