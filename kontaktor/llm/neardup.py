@@ -210,9 +210,17 @@ def overlapping(loose: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id; columns unchanged. Rows that repeat its doc_id go."""
-    lost = grouped(documents.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return documents.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    """One row of each group, of the smallest doc_id; columns unchanged. Rows without doc_id stay.
+
+    Of rows that repeat a doc_id the one of the smallest text stays, a null text counting as empty."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    lost = written(grouped(documents.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct())
+    left = documents.join(lost, "doc_id", "left_anti").select(*columns)
+    again = written(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    # Only repeated rows are grouped; the others pass as they are.
+    once = left.join(again, "doc_id", "left_anti").select(*columns)
+    first = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("first"))
+    return once.union(first.select("first.*"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

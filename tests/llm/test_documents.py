@@ -333,6 +333,16 @@ def test_copies_go_and_columns_stay(spark, docs):
     assert {r.doc_id for r in got.collect()} == set(of)
 
 
+def test_one_row_of_a_repeated_document_stays(spark):
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = clashing(documents(spark, [BASE, BASE, BASE + " end", other, other + " a", None, None, BASE, ""], [5, 5, 9, 7, 7, 3, 3, None, None]), "times", "first")
+    got = neardup.without_copies(rows)
+    assert got.columns == rows.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert {k: n for k, n in kept.items() if k[0] is not None and k[1]} == {(5, BASE): 1, (7, other): 1}
+    assert sum(n for k, n in kept.items() if k[0] is None) == 2 and sum(n for k, n in kept.items() if k[0] == 3) == 1
+
+
 # Language-model scores
 
 
