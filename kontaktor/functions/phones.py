@@ -30,18 +30,13 @@ def is_mobile(number: Column) -> Column:
     return d.startswith("628") & F.length(d).between(11, 14)
 
 
-def area_codes() -> list[str]:
-    return [str(n) for low, high in fixed.AREA_CODE_RANGES for n in range(low, high + 1)]
-
-
 def is_landline(number: Column) -> Column:
     """62, an area code (three digits are tried before two), and 5 to 9 digits; mobile numbers apart."""
     d = _digits(number)
     rest = d.substr(F.lit(3), F.length(d))
 
     def with_code(n: int) -> Column:
-        known = F.lit("," + ",".join(c for c in area_codes() if len(c) == n) + ",")  # one literal, searched
-        return known.contains(F.concat(F.lit(","), F.substring(rest, 1, n), F.lit(","))) & (F.length(rest) - n).between(5, 9)
+        return F.substring(rest, 1, n).isin(*(c for c in fixed.AREA_CODES if len(c) == n)) & (F.length(rest) - n).between(5, 9)
 
     return d.startswith("62") & ~d.startswith("628") & (with_code(3) | with_code(2))
 

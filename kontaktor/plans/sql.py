@@ -53,10 +53,9 @@ def is_mobile(n: str) -> str:
 
 
 def is_landline(n: str) -> str:
-    from ..functions.phones import area_codes
 
     d = f"ltrim({n}, '+')"
-    each = " OR ".join(f"(substr({d}, 3, {k}) IN {strings(c for c in area_codes() if len(c) == k)} AND length({d}) - 2 - {k} BETWEEN 5 AND 9)" for k in (3, 2))
+    each = " OR ".join(f"(substr({d}, 3, {k}) IN {strings(c for c in fixed.AREA_CODES if len(c) == k)} AND length({d}) - 2 - {k} BETWEEN 5 AND 9)" for k in (3, 2))
     return f"(starts_with({d}, '62') AND NOT starts_with({d}, '628') AND ({each}))"
 
 
