@@ -14,15 +14,26 @@ def _first(value: str | Column, when: Column) -> Column:
     return F.min_by(value, F.when(when, F.col("ord")))
 
 
-def _union(column: str) -> Column:
-    """Distinct values of all rows' arrays, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(column, F.array().cast("array<string>"))))))
+def _arrays(*columns: str) -> list[Column]:
+    return [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in columns]
+
+
+def united(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """(key, columns): of each key, the distinct values of all rows' arrays, sorted. Values are made distinct before they are
+    gathered, so a key with many rows gathers no more than it returns. Keys without any value have no row."""
+
+    def numbered(k: int, column: str) -> Column:
+        return F.transform(column, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
+
+    each = F.explode(F.concat(*(numbered(k, c) for k, c in enumerate(columns))))
+    values = rows.select(key, *_arrays(*columns)).select(key, each.alias("x")).select(key, "x.k", "x.v").distinct()
+    return values.groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("v")))).alias(c) for k, c in enumerate(columns)))
 
 
 def companies(results: DataFrame, *, guess_email: bool = False, repeat_whatsapp: bool = False) -> DataFrame:
     """results: ord, url, company, emails, whatsapp, phones, error, page_type, address, render_mode, search_query.
 
-    A host's pages may be many: the group-by first adds up each task's share, and only distinct arrays are gathered.
+    A host's pages may be many: the group-by first adds up each task's share, and only distinct values are gathered.
     A number that is a WhatsApp number is no phone, unless repeat_whatsapp asks for the pages' own lists."""
     r = results.withColumn("host", urls.host(F.col("url"))).where("host <> ''")
     error, filled = text_or_empty(F.col("error")), lambda c: text_or_empty(F.col(c)) != ""
@@ -30,9 +41,6 @@ def companies(results: DataFrame, *, guess_email: bool = False, repeat_whatsapp:
     g = r.groupBy("host").agg(
         _first("company", filled("company")).alias("company"),
         F.coalesce(_first("url", error == ""), F.min_by("url", "ord")).alias("website"),
-        _union("emails").alias("e"),
-        _union("whatsapp").alias("w"),
-        _union("phones").alias("p"),
         _first("address", filled("address")).alias("address"),
         F.coalesce(F.bool_or(F.col("page_type") == "structured"), F.lit(False)).alias("structured"),
         F.max(rank).alias("rendered"),
@@ -40,6 +48,8 @@ def companies(results: DataFrame, *, guess_email: bool = False, repeat_whatsapp:
         F.bool_or(error == "").alias("ok"),
         _first("error", error != "").alias("first_error"),
     )
+    lists = united(r, "host", ("emails", "whatsapp", "phones")).toDF("host", "e", "w", "p")
+    g = g.join(lists, "host", "left").select(*g.columns, *_arrays("e", "w", "p"))
     found = emails.primary(F.col("e"))
     guess = urls.guessed_email(F.col("website")) if guess_email else F.lit("")
     email = F.when(found != "", found).otherwise(guess)

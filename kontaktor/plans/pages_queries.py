@@ -24,7 +24,9 @@ def _blocklist(spark: SparkSession) -> DataFrame:
 def host_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per host: pages, distinct addresses of their markup, the one to write to."""
     p = _pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), emails.cleaned(emails.found(F.col("html"))).alias("e"))
-    g = p.where("host <> ''").groupBy("host").agg(F.count("*").alias("n_pages"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("e")))).alias("e"))
+    p = p.where("host <> ''")
+    g = p.groupBy("host").agg(F.count("*").alias("n_pages")).join(collapse.united(p, "host", ("e",)), "host", "left")
+    g = g.withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
     return g.select("host", "n_pages", F.array_join("e", "; ").alias("emails"), F.size("e").cast("long").alias("n_emails"), emails.primary(F.col("e")).alias("primary_email"))
 
 
@@ -180,8 +182,10 @@ SELECT page_id, coalesce(parts[1], '') AS company FROM t WHERE len(parts) > 0 OR
 
 def documents_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    raw = emails.found(F.col("text"))
-    return d.select("doc_id", F.array_join(emails.cleaned(raw), "; ").alias("emails"), emails.primary(emails.cleaned(raw)).alias("primary_email"), F.array_join(emails.cleaned(raw, drop_free_mail=True), "; ").alias("business_emails"), emails.free_mail_dropped(raw).cast("long").alias("dropped"))
+    raw, e = F.col("raw"), F.col("e")
+    # Each text is searched once; the lists derive from what was found.
+    d = d.select("doc_id", emails.found(F.col("text")).alias("raw")).select("doc_id", "raw", emails.cleaned(raw).alias("e"))
+    return d.select("doc_id", F.array_join(e, "; ").alias("emails"), emails.primary(e).alias("primary_email"), F.array_join(emails.cleaned(raw, drop_free_mail=True), "; ").alias("business_emails"), emails.free_mail_dropped(raw).cast("long").alias("dropped"))
 
 
 _FREE = sql.strings(fixed.FREE_MAIL_DOMAINS)

@@ -22,8 +22,8 @@ def phone_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 7 == 5, F.concat(F.lit("971"), digits))
         .otherwise(F.lit(" n/a - "))
     )
-    n = phones.normalized(raw)
-    return o.select("o_orderkey", n.alias("number"), phones.is_mobile(n).alias("mobile"), phones.is_landline(n).alias("landline"), phones.is_plausible(n).alias("plausible"))
+    n = F.col("number")
+    return o.select("o_orderkey", phones.normalized(raw).alias("number")).select("o_orderkey", "number", phones.is_mobile(n).alias("mobile"), phones.is_landline(n).alias("landline"), phones.is_plausible(n).alias("plausible"))
 
 
 PHONES = f"""
