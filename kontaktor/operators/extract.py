@@ -154,3 +154,12 @@ def with_rendered(found: DataFrame, rendered: DataFrame) -> DataFrame:
     company = F.when(use & (text_or_empty(F.col("company")) == ""), F.col("rc")).otherwise(F.col("company"))
     error = F.when(grew & (F.col("error") == fixed.BOT_CHECK_ERROR), F.lit(None)).otherwise(F.col("error"))
     return out.withColumns({"render_mode": mode, "company": company, "error": error}).select(*found.columns)
+
+
+def outcome_line(found: DataFrame) -> Column:
+    """What a run says of each page: why it was passed over, or how many contacts it and the pages it led to gave."""
+    n = lambda c: F.size(c).cast("string")
+    total = F.size("emails") + F.size("whatsapp") + F.size("phones")
+    via = F.array_join(F.transform("followed", lambda u: F.coalesce(F.nullif(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))), ", ") if "followed" in found.columns else F.lit("")
+    counts = F.concat(F.lit("emails="), n("emails"), F.lit(" whatsapp="), n("whatsapp"), F.lit(" phone="), n("phones"), F.when(via != "", F.concat(F.lit(" (via "), via, F.lit(")"))).otherwise(""))
+    return F.when(F.col("error").isNotNull(), F.concat(F.lit("skipped ("), "error", F.lit(")"))).when(total == 0, "no contacts found").otherwise(counts)

@@ -1,15 +1,15 @@
 """Pages from a transport: bounded bodies, decoded text, robots rules.
 
 The transport is injected, so that tests and offline runs replay stored answers.
-Hosts are dealt to at most MAX_WORKERS tasks, each of which takes a host's pages
-one after the other with a pause between.
+Hosts are dealt to tasks, each of which takes a host's pages one after the other
+with a pause between: a host is never asked twice at once, however many tasks there are.
 """
 
 from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from urllib.robotparser import RobotFileParser
@@ -27,7 +27,7 @@ _CHARSET = re.compile(rb"""charset=["']?([\w-]+)""", re.I)
 class Answer:
     status: int = 200
     headers: dict[str, str] = field(default_factory=dict)
-    body: bytes = b""
+    body: bytes | Iterable[bytes] = b""  # whole, or in chunks of which no more than the limit is read
     failure: str = ""  # what kept the transport from any answer; worth another attempt
 
 
@@ -64,6 +64,18 @@ def rejection(status: Column, content_type: Column, length: Column) -> Column:
     )
 
 
+def bounded(body: bytes | Iterable[bytes], most: int = fixed.MAX_BODY) -> bytes | None:
+    """The whole body, or None as soon as it is seen to be larger than `most`."""
+    if isinstance(body, bytes):
+        return body if len(body) <= most else None
+    held = bytearray()
+    for chunk in body:
+        held += chunk
+        if len(held) > most:
+            return None
+    return bytes(held)
+
+
 def page_of(answer: Answer) -> tuple[str | None, str | None]:
     kind = answer.headers.get("Content-Type", "")
     if answer.status >= 400:
@@ -71,9 +83,8 @@ def page_of(answer: Answer) -> tuple[str | None, str | None]:
     if "html" not in kind and "text" not in kind:
         return None, f"skipped non-HTML content ({kind})"
     declared = answer.headers.get("Content-Length", "")
-    if len(answer.body) > fixed.MAX_BODY or (declared.isdigit() and int(declared) > fixed.MAX_BODY):
-        return None, "response too large"
-    return decode(answer.body, kind), None
+    body = None if declared.isdigit() and int(declared) > fixed.MAX_BODY else bounded(answer.body)
+    return (None, "response too large") if body is None else (decode(body, kind), None)
 
 
 def fetched(url: str, transport: Transport, *, attempts: int = 3, pause: float = 2.0, sleep=time.sleep) -> tuple[str | None, str | None]:
@@ -87,10 +98,14 @@ def fetched(url: str, transport: Transport, *, attempts: int = 3, pause: float =
     return None, answer.failure
 
 
-def pages(wanted: DataFrame, transport: Transport, *, workers: int = fixed.MAX_WORKERS, delay: float = 2.0, render: bool = False) -> DataFrame:
-    """wanted (ord, url) with html and error. A host's pages lie in one partition, in order."""
-    n = 1 if render else max(1, min(fixed.MAX_WORKERS, workers))
-    dealt = wanted.select("ord", "url", urls.host(F.col("url")).alias("host")).repartition(n, "host").sortWithinPartitions("host", "ord")
+def workers_of(asked: int, *, render: bool = False) -> int:
+    """1 to MAX_WORKERS; a browser works alone."""
+    return 1 if render else max(1, min(fixed.MAX_WORKERS, asked))
+
+
+def pages(wanted: DataFrame, transport: Transport, *, tasks: int = fixed.MAX_WORKERS, delay: float = 2.0) -> DataFrame:
+    """wanted (ord, url) with html and error. A host's pages lie in one of `tasks` partitions, in order."""
+    dealt = wanted.select("ord", "url", urls.host(F.col("url")).alias("host")).repartition(tasks, "host").sortWithinPartitions("host", "ord")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -106,6 +121,22 @@ def pages(wanted: DataFrame, transport: Transport, *, workers: int = fixed.MAX_W
     return dealt.mapInPandas(run, "ord long, url string, html string, error string")
 
 
+def robots_rules(wanted: DataFrame, transport: Transport, *, tasks: int = fixed.MAX_WORKERS) -> DataFrame:
+    """(base, body, status) of the robots.txt of each base of wanted (url), asked once each. No answer leaves the status null."""
+    bases = wanted.select(base_of(F.col("url")).alias("base")).where("base <> ''").distinct().repartition(tasks, "base")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for base in b["base"]:
+                answer = transport(f"{base}/robots.txt")
+                body = None if answer.failure or answer.status != 200 else bounded(answer.body)
+                out.append((base, None if body is None else decode(body, answer.headers.get("Content-Type", "")), None if answer.failure else answer.status))
+            yield pd.DataFrame(out, columns=["base", "body", "status"]).astype({"status": "Int32"})
+
+    return bases.mapInPandas(run, "base string, body string, status int")
+
+
 def robots_allow(body: str | None, status: int | None, url: str, agent: str = fixed.USER_AGENT) -> bool:
     """Open where the rules can't be had: only an answer of 200 can forbid anything."""
     if status != 200 or body is None:

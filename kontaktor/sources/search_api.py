@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import dom, urls
+from ..functions import dom, fixed, urls
 from ..functions.text import collapse, text_or_empty
 
 Post = Callable[[dict, dict], tuple[int, str]]
@@ -62,6 +63,68 @@ def search_many(post: Post, key: str, queries: list[str], num: int) -> list[tupl
     return out
 
 
+FOUND = "qord long, query_text string, query string, query_key string, page int, pos int, url string, title string, display_url string, description string, fresh boolean, kept boolean, credits int, outcome string"
+AUTH, DRY = "the key isn't accepted", "no credit left"
+
+
+def _results(body: str) -> list[tuple]:
+    """(url, title, display_url, description) of an answer's organic results that have a link."""
+    try:
+        organic = json.loads(body).get("organic") or []
+    except (ValueError, AttributeError):
+        return []
+    return [tuple(x.get(k) or "" for k in ("link", "title", "domain", "snippet")) for x in organic if isinstance(x, dict) and x.get("link")]
+
+
+def _walk(post: Post, key: str, q: dict, most: int, resume: bool) -> Iterator[tuple]:
+    """Rows of FOUND for one query: each result, and a row of its own (pos -1) for each page that was paid for."""
+    page, streak, seen, kept = (q["next_page"], q["empty_streak"], set(q["seen"]), 0) if resume else (1, 0, set(), 0)
+    head, cost = (q["qord"], q["query_text"], q["query"], q["query_key"]), 1 if q["num"] <= 10 else 2
+    while kept < most:
+        try:
+            body = call(post, key, q["query"], q["num"], page)
+        except AuthError:
+            yield *head, page, -1, None, None, None, None, False, False, 0, AUTH
+            return
+        except OutOfCredit:
+            yield *head, page, -1, None, None, None, None, False, False, 0, DRY
+            return
+        if body is None:
+            return
+        yield *head, page, -1, None, None, None, None, False, False, cost, None
+        found = _results(body)
+        fresh = [r[0] not in seen for r in found]  # equal URLs within a page all count
+        for pos, (r, new) in enumerate(zip(found, fresh, strict=True)):
+            seen.add(r[0])
+            yield *head, page, pos, *r, new, (new or not resume) and kept < most, 0, None
+            kept += new or not resume
+        if not resume or not found:
+            return
+        page, streak = page + 1, 0 if any(fresh) else streak + 1
+        if streak >= fixed.STALE_PAGES:
+            return
+
+
+def walked(queries: DataFrame, post: Post, key: str, most: int, *, resume: bool = False) -> DataFrame:
+    """FOUND for queries (qord, query_text, query, query_key, num; to resume also next_page, empty_streak, seen): one page each,
+    or from next_page on until `most` URLs are new or two pages in a row bring none.
+
+    One task asks, query after query, since calls cost money and the first that finds no credit ends all."""
+    if not key:
+        raise AuthError("a key is required")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for q in b.to_dict("records"):
+                rows = list(_walk(post, key, q, most, resume))
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+                if rows and rows[-1][-1]:
+                    return
+
+    return queries.repartition(1).sortWithinPartitions("qord").mapInPandas(run, FOUND)
+
+
 class _Part(InputPartition):
     def __init__(self, query: str):
         super().__init__(query)

@@ -54,7 +54,10 @@ def fresh_urls_of_batch(feed: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 class State:
-    """The three tables, each a folder of numbered versions; a version is whole before it is the last, and readers take the last."""
+    """The three tables, each a folder of numbered versions; a version is whole before it is the last, and readers take the last.
+
+    URLs seen and progress change together: a version of seen_urls counts once query_state has one of that number, so a
+    crash between the two changes nothing. The version before the last stays for readers at work; older ones go."""
 
     TABLES = {"query_state": QUERY_STATE, "seen_urls": SEEN, "scraped_urls": SCRAPED}
 
@@ -70,17 +73,28 @@ class State:
         names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(path)]
         return sorted(int(n[2:]) for n, p in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def read(self, table: str) -> DataFrame:
+    def _last(self, table: str) -> int:
         versions = self._versions(table)
-        path = f"{self.folder}/{table}/v={versions[-1] if versions else 0}"
-        return table_or_empty(self.spark, path, self.TABLES[table])
+        if table == "seen_urls":
+            whole = self._last("query_state")
+            versions = [v for v in versions if v <= whole]
+        return versions[-1] if versions else 0
 
-    def _publish(self, table: str, rows: DataFrame) -> None:
-        versions = self._versions(table)
-        rows.select(*self.read(table).columns).write.mode("overwrite").parquet(f"{self.folder}/{table}/v={(versions[-1] if versions else 0) + 1}")
+    def read(self, table: str) -> DataFrame:
+        return table_or_empty(self.spark, f"{self.folder}/{table}/v={self._last(table)}", self.TABLES[table])
 
-    def record_results(self, pages: DataFrame) -> None:
-        """pages: query_key, query_text, engine, page, url, fresh (boolean). Totals grow, the streak follows the last pages."""
+    def _publish(self, table: str, rows: DataFrame, number: int | None = None) -> None:
+        last = self._last(table)
+        rows.select(*self.read(table).columns).write.mode("overwrite").parquet(f"{self.folder}/{table}/v={number or last + 1}")
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for v in self._versions(table):
+            if v < last:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/v={v}")
+                path.getFileSystem(hadoop).delete(path, True)
+
+    def record_results(self, pages: DataFrame, *, runs: int = 0) -> None:
+        """pages: query_key, query_text, engine, page, url, fresh (boolean). Totals grow, the streak follows the last pages;
+        runs: how many runs of each query this is."""
         now, old = self.now(), self.read("query_state")
         per_page = pages.groupBy("query_key", "page").agg(F.count_if("fresh").alias("fresh"), F.first("query_text").alias("query_text"), F.first("engine").alias("engine"))
         stored = per_page.join(old.select("query_key", F.col("empty_streak").alias("stored")), "query_key", "left")
@@ -89,12 +103,13 @@ class State:
         both = new.join(old.drop("query_text", "engine"), "query_key", "left")
         upsert = both.select(
             "query_key", "query_text", "engine", F.greatest("np", F.coalesce("next_page", F.lit(1))).alias("next_page"), (F.coalesce("total_seen", F.lit(0)) + F.col("more")).alias("total_seen"),
-            F.coalesce("run_count", F.lit(1)).alias("run_count"), F.col("streak").alias("empty_streak"), F.when(F.col("streak") >= fixed.STALE_PAGES, F.coalesce("exhausted_at", F.lit(now))).otherwise(F.col("exhausted_at")).alias("exhausted_at"),
+            F.greatest(F.coalesce("run_count", F.lit(0)) + runs, F.lit(1)).alias("run_count"), F.col("streak").alias("empty_streak"), F.when(F.col("streak") >= fixed.STALE_PAGES, F.coalesce("exhausted_at", F.lit(now))).otherwise(F.col("exhausted_at")).alias("exhausted_at"),
             F.coalesce("first_run_at", F.lit(now)).alias("first_run_at"), F.lit(now).alias("last_run_at"),
         )
         seen = pages.where("fresh").select("query_key", "url").distinct().withColumn("first_seen", F.lit(now))
         fresh = seen.join(self.read("seen_urls"), ["query_key", "url"], "left_anti")
-        self._publish("seen_urls", self.read("seen_urls").unionByName(fresh))
+        number = self._last("query_state") + 1
+        self._publish("seen_urls", self.read("seen_urls").unionByName(fresh), number)
         self._publish("query_state", old.join(upsert.select("query_key"), "query_key", "left_anti").unionByName(upsert))
 
     def _change(self, key: str, **columns) -> None:
@@ -109,8 +124,9 @@ class State:
 
     def reset(self, key: str) -> None:
         """Forget one query, in both tables."""
+        number = self._last("query_state") + 1
         for table in ("seen_urls", "query_state"):
-            self._publish(table, self.read(table).where(F.col("query_key") != key))
+            self._publish(table, self.read(table).where(F.col("query_key") != key), number)
 
     def record_scraped(self, rows: DataFrame) -> None:
         """rows: url, status, contacts_found; the latest of each URL stays."""

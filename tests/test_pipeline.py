@@ -5,7 +5,9 @@ import json
 import pytest
 
 from kontaktor.plans import cli, pipeline
+from kontaktor.sinks import publish
 from kontaktor.sources import fetch
+from kontaktor.sources.search_api import AuthError
 from kontaktor.streaming.resume import State
 
 SITE = {
@@ -20,9 +22,15 @@ def transport_of(site):
     return lambda url: fetch.Answer(200, {"Content-Type": "text/html"}, site[url].encode()) if url in site else fetch.Answer(404, {"Content-Type": "text/html"})
 
 
-def post(payload, headers):
-    links = ["https://toko.example/", "https://agg.example/x"] if "toko" in payload["q"] else ["https://toko.example/", "https://b.example/", "https://c.example/"]
-    return 200, json.dumps({"organic": [{"link": u} for u in links]})
+def poster():
+    def post(payload, headers):
+        links = ["https://toko.example/", "https://agg.example/x"] if "toko" in payload["q"] else ["https://toko.example/", "https://b.example/", "https://c.example/"]
+        return 200, json.dumps({"organic": [{"link": u} for u in links]})
+
+    return post
+
+
+post = poster()
 
 
 def test_search_to_companies(spark, tmp_path):
@@ -40,10 +48,108 @@ def test_search_to_companies(spark, tmp_path):
     assert again.count() == 0
 
 
+def counting(site, folder):
+    """A transport that leaves a line in a file for each URL that it is asked for."""
+
+    def get(url):
+        with open(f"{folder}/asked", "a") as f:
+            f.write(url + "\n")
+        return fetch.Answer(200, {"Content-Type": "text/html"}, site[url].encode()) if url in site else fetch.Answer(404, {"Content-Type": "text/html"})
+
+    return get
+
+
+def test_robots_hold_for_links_and_each_page_is_asked_once(spark, tmp_path):
+    site = dict(SITE) | {
+        "https://toko.example/robots.txt": "User-agent: *\nDisallow: /kontak",
+        "https://d.example/": "<title>D</title><a href='/kontak'>k</a><a href='/about'>a</a>",
+        "https://d.example/x": "<title>D</title><a href='/kontak'>k</a>",
+        "https://d.example/kontak": "cs@d.example",
+        "https://d.example/about": "info@d.example",
+    }
+    urls = ["https://toko.example/", "https://d.example/", "https://d.example/x", "https://b.example/"]
+    wanted = spark.createDataFrame(list(enumerate(urls)), "ord long, url string")
+    state = State(spark, str(tmp_path / "state"))
+    rows = pipeline.stage_parse(spark, wanted, counting(site, str(tmp_path)), pipeline.Options(delay=0), state=state)
+    got = {r.host: r.email for r in rows.collect()}
+    assert got == {"toko.example": "", "d.example": "cs@d.example", "b.example": ""}
+    asked = (tmp_path / "asked").read_text().split()
+    assert sorted(asked) == sorted({*urls, "https://d.example/kontak", *(f"https://{h}.example/robots.txt" for h in ("toko", "d", "b"))})
+    assert state.read("scraped_urls").count() == 4
+
+
+def test_rules_of_other_bases_are_asked_for_links(spark, tmp_path):
+    site = {"https://a.example/": "<a href='http://a.example/kontak'>k</a>", "http://a.example/kontak": "cs@a.example", "http://a.example/robots.txt": "User-agent: *\nDisallow: /"}
+    wanted = spark.createDataFrame([(0, "https://a.example/")], "ord long, url string")
+    assert pipeline.stage_parse(spark, wanted, counting(site, str(tmp_path)), pipeline.Options(delay=0)).first().email == ""
+    assert "http://a.example/kontak" not in (tmp_path / "asked").read_text().split()
+    free = pipeline.stage_parse(spark, wanted, transport_of(site), pipeline.Options(delay=0, respect_robots=False))
+    assert free.first().email == "cs@a.example"
+
+
+def test_browser_adds_to_pages_that_scripts_fill(spark, tmp_path):
+    site = {"https://js.example/": "<html><div id='root'></div></html>", "https://b.example/": SITE["https://b.example/"]}
+    wanted = spark.createDataFrame(list(enumerate(site)), "ord long, url string")
+    browser = transport_of({"https://js.example/": "<title>JS</title>cs@js.example"})
+    found = {r.url: r for r in pipeline.scraped(wanted, transport_of(site), pipeline.Options(delay=0), renderer=browser).collect()}
+    assert (found["https://js.example/"].render_mode, found["https://js.example/"].emails) == ("rendered", ["cs@js.example"])
+    assert found["https://b.example/"].render_mode == "static"
+
+
+def test_waves_leave_partial_files(spark, tmp_path):
+    wanted = spark.createDataFrame([(i, u) for i, u in enumerate(SITE)], "ord long, url string")
+    out = tmp_path / "out.csv"
+    rows = pipeline.stage_parse(spark, wanted, transport_of(dict(SITE)), pipeline.Options(delay=0, checkpoint_every=1, emails_only=True), output=out)
+    assert publish.count_rows(publish.partial_path(out)) == 2  # both hosts, though the filter keeps one
+    assert pipeline.published(rows, out) == out and not publish.partial_path(out).exists() and publish.count_rows(out) == 1
+
+
+def paged(asked):
+    def post(payload, headers):
+        page = payload.get("page", 1)
+        with open(asked, "a") as f:
+            f.write(f"{payload['q']} {page} {payload['num']}\n")
+        if payload["q"] == "dry":
+            return 429, ""
+        links = {1: ["u1", "u2", "u2"], 2: ["u2", "u3"]}.get(page, ["u1"])
+        return 200, json.dumps({"organic": [{"link": f"https://{u}.example/"} for u in links]})
+
+    return post
+
+
+def test_search_goes_on_where_it_ended(spark, tmp_path):
+    state, asked = State(spark, str(tmp_path / "state")), tmp_path / "asked"
+    entries, post = spark.createDataFrame([], "domain string"), paged(str(asked))
+    o = pipeline.Options(results=3, resume=True, negative_operators=False)
+    found, _ = pipeline.stage_search(spark, ["q"], post, "k", entries, o, state)
+    assert [r.url for r in found.orderBy("ord").collect()] == ["https://u1.example/", "https://u2.example/"]
+    assert asked.read_text().split("\n")[:-1] == ["q 1 3"]
+    found, _ = pipeline.stage_search(spark, ["q"], post, "k", entries, o, state)
+    assert [r.url for r in found.collect()] == ["https://u3.example/"]
+    assert asked.read_text().split("\n")[1:-1] == ["q 2 3", "q 3 3", "q 4 3"]  # two pages without fresh URLs end it
+    r = state.read("query_state").first()
+    assert (r.next_page, r.total_seen, r.run_count, r.empty_streak) == (5, 4, 2, 2) and r.exhausted_at
+    found, _ = pipeline.stage_search(spark, ["q"], post, "k", entries, o, state)
+    assert found.count() == 0 and len(asked.read_text().split("\n")) == 5
+
+
+def test_cache_is_asked_first_and_credit_ends_a_batch(spark, tmp_path):
+    asked, entries = tmp_path / "asked", spark.createDataFrame([], "domain string")
+    o = pipeline.Options(results=10, cache=str(tmp_path / "cache"), negative_operators=False)
+    for _ in range(2):
+        found, rows = pipeline.stage_search(spark, ["a", "dry", "b"], paged(str(asked)), "k", entries, o)
+        assert [r.url for r in found.orderBy("ord").collect()] == ["https://u1.example/", "https://u2.example/"]
+        assert [(r.query, r.urls) for r in rows.collect()] == [("a", 3)]
+    assert asked.read_text().split("\n")[:-1] == ["a 1 10", "dry 1 10", "dry 1 10"]
+    with pytest.raises(AuthError):
+        pipeline.stage_search(spark, ["a"], lambda p, h: (401, ""), "k", entries, pipeline.Options())
+
+
 def test_costs_are_confirmed(spark):
     with pytest.raises(SystemExit):
         pipeline.stage_search(spark, [f"q{i}" for i in range(60)], post, "key", spark.createDataFrame([], "domain string"), pipeline.Options(results=100))
-    assert pipeline.sent(["a booking.com"])[0].count("-site:") == 5
+    typed = spark.createDataFrame([(0, "a booking.com")], "qord long, query_text string")
+    assert pipeline.sent(typed).first().query.count("-site:") == 5
 
 
 def test_command_line(spark, tmp_path, capsys):
