@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sinks.tables import discard, release, written  # noqa: F401
+
 #: The white space that separates words, as code points and as a regular expression class.
 WHITE = " \t\n\x0b\x0c\r"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-_own_folder: str | None = None
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a local one is made."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="kontaktor-")
-    return _own_folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kontaktor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that written() made; call it once their results are stored."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -156,13 +156,16 @@ def measured(documents: DataFrame, *, vocabulary: str | None = None, bands=None)
 
 
 def of_quality(documents: DataFrame, *, vocabulary: str | None = None, bands=None) -> DataFrame:
-    """The documents that the rules keep, columns unchanged."""
+    """The documents that the rules keep, columns unchanged.
+
+    Null texts and texts without words fail the base rules and go. A null, unknown or missing language takes its
+    script's band. Repeated rows stay or go together; an empty table stays empty; other columns pass as they are."""
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
         rows = _measure(vocabulary, bands)
         for b in batches:
-            got = rows(b.column("text").to_pylist(), b.column("lang").to_pylist())
+            got = rows(b.column("text").to_pylist(), b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows)
             yield b.filter(pa.array([r[6] for r in got], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

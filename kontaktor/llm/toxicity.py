@@ -8,7 +8,8 @@ every other word has the zero vector, so unknown words are neutral.
 
 from __future__ import annotations
 
-import zlib
+import pickle
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import Codes, low_words, table
 
 BUCKET_BITS = 30
 SAMPLE = 6000  # labelled rows at most; they are the first by a hash of their id
-SAMPLE_CHARS = 20_000  # a longer labelled text is no training row (every text is scored whole)
+SAMPLE_WORDS = 10_000_000  # words of all training texts together; a row that would exceed them is left out whole
 MIN_DOCS = 5
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 EPOCHS, RATE, DECAY = 5, 0.02, 1e-4
@@ -104,17 +105,18 @@ def constant(share: float) -> Model:
     return Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), float(np.log(share / (1 - share))))
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Model:
-    """texts: each row's words. Adam in batches of 32 rows; a row's gradient reaches only the words that its filters chose."""
+def train(texts: list[np.ndarray], lexicon: list[bytes], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Model:
+    """texts: each row's words as places in lexicon. Adam in batches of 32 rows; a row's gradient reaches only the words that its filters chose."""
     if not len(labels) or labels.min() == labels.max():
         return constant(float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
-    lexicon = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    texts = [np.fromiter(map(lexicon.__getitem__, t), np.int64, len(t)) for t in texts]
-    feats = [np.array(features(w), np.int64) for w in lexicon]
-    sizes = np.array([len(f) for f in feats])
+    sizes, flat = np.zeros(len(lexicon), np.int64), array("q")
+    for i, w in enumerate(lexicon):
+        own = features(w)
+        sizes[i] = len(own)
+        flat.extend(own)
+    flat = np.frombuffer(flat, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(feats)
     spread = lambda words: np.repeat(starts[words] - np.concatenate([[0], np.cumsum(sizes[words])[:-1]]), sizes[words]) + np.arange(sizes[words].sum())
     found, docs = np.unique(np.concatenate([np.unique(flat[spread(np.unique(t))]) for t in texts if len(t)]), return_counts=True)
     model = constant(float(labels.mean()))
@@ -175,14 +177,14 @@ def train(texts: list[list[bytes]], labels: np.ndarray, langs: list[str | None],
                 b += 0.001 * g * g
                 p -= rate * a / (np.sqrt(b) + 1e-6)
     vectors = np.add.reduceat(model.vectors[flat], starts[:-1], axis=0)
-    model.cuts = calibrated(model, [vectors[t] for t in texts], labels, langs, held)
+    model.cuts = calibrated(model, vectors, texts, labels, langs, held)
     return model
 
 
-def calibrated(model: Model, rows, labels, langs, held, precision: float = 0.97) -> dict[str, float]:
+def calibrated(model: Model, vectors, texts, labels, langs, held, precision: float = 0.97) -> dict[str, float]:
     """By language, from rows kept out of training: the least threshold of 0.3 or more with the precision; CUT where rows are few."""
     cuts = {}
-    scores = {i: model.score(rows[i]) for i in np.flatnonzero(held)}
+    scores = {i: model.score(vectors[texts[i]]) for i in np.flatnonzero(held)}
     for lang in {x for x in langs if x is not None}:
         own = sorted(((s, labels[i]) for i, s in scores.items() if langs[i] == lang), reverse=True)
         if len(own) < 30 or not any(y for _, y in own):
@@ -197,19 +199,39 @@ def calibrated(model: Model, rows, labels, langs, held, precision: float = 0.97)
     return cuts
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, fold: int | None = 1) -> Model:
-    """Train on at most `sample` labelled rows, the first by a hash of their id (the bound of what comes to the driver;
-    texts over SAMPLE_CHARS characters are no training rows). fold: rows whose crc32(doc_id) mod 3 is that one are left out.
-    Null labels, labels without a document and null texts are left out; repeated labels count by their maximum."""
+def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS, fold: int | None = 1) -> Model:
+    """Train on at most `sample` labelled documents, the first by a hash of their id, of `sample_words` words in all. fold: rows
+    whose crc32(doc_id) mod 3 is that one are left out. One task trains; the driver gets the model alone.
+
+    Null labels, labels without a document and null texts are left out; repeated labels count by their maximum, and of
+    the rows of a repeated doc_id the one of the smallest text counts. A table without `lang` has no language."""
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
-        y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != fold)
+        y = y.where(order % 3 != fold)
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    d = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
-    rows = d.join(F.broadcast(y), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    got = sorted(rows.select("doc_id", "text", "toxic", "lang").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return train([low_words(r.text) for r in got], np.array([r.toxic for r in got], np.int64), [r.lang for r in got])
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None)
+    d = documents.select("doc_id", "text", lang.cast("string").alias("lang")).where(F.col("text").isNotNull())
+    rows = d.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.any_value("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("d"))
+    rows = rows.select("doc_id", "toxic", "d.text", "d.lang").repartition(1).sortWithinPartitions(order, "doc_id")
+
+    def run(batches):
+        lexicon, left = Codes(), sample_words
+        texts, toxic, langs = [], [], []
+        for b in batches:
+            for text, own, lang in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                words = low_words(text)
+                if len(words) <= left:
+                    left -= len(words)
+                    texts.append(lexicon.of(words).astype(np.int32))
+                    toxic.append(own)
+                    langs.append(lang)
+        model = train(texts, list(lexicon), np.array(toxic, np.int64), langs)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = rows.select("text", "toxic", "lang").mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else constant(0.0)
 
 
 class Embedder:
@@ -244,8 +266,8 @@ def _scorer(held):
 def score(documents: DataFrame, model: Model, *, text: str = "text", score_as: str = "score", flag_as: str = "toxic_flag", lang: str = "lang") -> DataFrame:
     """documents with two more columns: the score of each whole text (0 to 1) and whether it reaches its language's threshold.
 
-    A null or empty text scores as the model's prior. A null or unknown language takes CUT. Columns of these names
-    that were there are replaced. Rows are scored one by one: repeated rows get equal scores; an empty table stays empty."""
+    A null or empty text scores as the model's prior. A null, unknown or missing language takes CUT. Columns of these
+    names that were there are replaced. Rows are scored one by one: repeated rows get equal scores; an empty table stays empty."""
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(model)
     base = documents.drop(score_as, flag_as)
@@ -263,13 +285,16 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", score_as: s
 
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents whose score stays below their language's threshold, columns unchanged."""
+    """The documents whose score stays below their language's threshold, columns unchanged.
+
+    Null and empty texts score as the model's prior; without a `lang` column every row takes CUT. Repeated rows stay or
+    go together; an empty table stays empty; other columns, of whatever name, pass as they are."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scores, cuts = _scorer(held), held.value.cuts
         for b in batches:
-            langs = b.column("lang").to_pylist()
+            langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
             keep = [x < cuts.get(g, CUT) for x, g in zip(scores(b.column("text").to_pylist()), langs, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
