@@ -5,35 +5,48 @@ discounting, and backs off to exact counts of all words. Its frequent n-grams be
 states and arcs; a state's failure arc leads to its shorter context at the cost of
 its backoff weight. One traversal from left to right carries the state through a
 text and adds up log-probabilities. What each other word, pair and triple adds to
-that is a number of its own, which its occurrences meet in a join.
-
-Counts are exact and distributed, words and n-grams told apart by 64-bit hashes. What
-a worker holds is bounded by shares: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE
-n-grams of each order have such a share of all tokens.
+that is a number of its own, which its occurrences meet in a bucket.
+
+Counts are exact and distributed, words and n-grams told apart by 64-bit hashes. A
+position of a text is one record: a pair and what follows it. Tasks sort records, pack
+them in blocks by bucket of their pair, and deal the blocks out; so each bucket has all
+that belongs to its pairs, and a record takes a few bytes of a shuffle. What a worker
+holds is bounded by shares: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE n-grams of
+each order have such a share of all tokens.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import low_words, mixed, table, written
+from .common import discard, low_words, mixed, table, written
 
 END = b"\n"  # no word holds white space
+NONE = b""  # stands where a text has ended; no word is empty
 ADD = 0.1  # fixed by the contract: what smoothing adds to each count
 ORDER = 3
 WORD_SHARE = 1e-6  # words with this share of the tokens have their counts at every worker
 CLASS_SHARE = 5e-5  # words with this share are tokens of the automaton
-GRAM_SHARE = 5e-6  # n-grams of tokens with this share are arcs; all others meet their texts in a join
+GRAM_SHARE = 5e-6  # n-grams of tokens with this share are arcs; all others meet their texts in a bucket
+HOT_SHARE = 1e-3  # pairs of two words with this share are spread over SALTS buckets, by what follows them
+SALTS = 64
 LEAST = 2  # the model's n-grams are all that occur so often, at any size
 DISCOUNT = 0.5
 REST = 0  # the class of all words that are no tokens of the automaton
+FOLD = 1_500_000  # records that a task sorts and packs at once
+BUCKET = 2_000_000  # tokens for each bucket
 
 
 def held_out(doc_id="doc_id"):
@@ -62,78 +75,261 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Hashes(dict):
-    """word -> its hash, that of Spark's xxhash64 over the same bytes."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Those of Spark's xxhash64 over the same bytes."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words))
+
+
+def joined(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of n-grams of `order` words, from those of the two that they are made of."""
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right, order - 1)
 
-    def __missing__(self, word):
-        self[word] = h = xxhash.xxh64_intdigest(word, seed=42)
-        return h
 
-    def grams(self, words: list[bytes]) -> list[np.ndarray]:
-        """Hashes of the words with an END on both sides, of their pairs and of their triples; each pairs two neighbours of the one before."""
-        if len(self) > 300_000:
-            self.clear()
-        out = [np.fromiter(map(self.__getitem__, [END, *words, END]), np.uint64, len(words) + 2)]
-        for k in range(1, ORDER):
-            out.append(mixed(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + out[-1][1:], k))
+@dataclass
+class Lexicon:
+    """What every worker knows of words: codes from 1 on, the commonest first; 0 is NONE, rarer words are numbered from `size` on."""
+
+    codes: dict[bytes, int]
+    hashes: np.ndarray  # by code
+    hot: int  # codes from 1 to hot have HOT_SHARE
+    buckets: int
+
+    @property
+    def size(self) -> int:
+        return len(self.codes)
+
+    def bucket(self, pair: np.ndarray, hot: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """A pair's bucket; what follows a hot one, given as the hash of the pair after it, salts it."""
+        salted = np.where(hot, after % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+        return (mixed(pair + salted, 3) % np.uint64(self.buckets)).astype(np.int32)
+
+    def is_hot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a <= self.hot) & (b <= self.hot)
+
+
+def lexicon_of(known: dict[bytes, int], n: int, buckets: int) -> Lexicon:
+    words = sorted(known, key=lambda w: (-known[w], w))
+    codes = {w: i for i, w in enumerate([NONE, *words])}
+    return Lexicon(codes, word_hashes(list(codes)), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets)
+
+
+def packed(parts: list[np.ndarray], wide: np.ndarray) -> bytes:
+    """Columns of small numbers, byte by byte, and one of 64-bit numbers, compressed."""
+    head = np.array([len(parts), *map(len, parts), len(wide)], "<u4").tobytes()
+    planes = [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in parts]
+    return zstandard.compress(b"".join([head, *planes, wide.tobytes()]), 3)
+
+
+def unpacked(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(block), np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    sizes = raw[4 : 8 + 4 * n].view("<u4").tolist()
+    at, out = 8 + 4 * n, []
+    for size in sizes[:-1]:
+        out.append(np.ascontiguousarray(raw[at : at + 4 * size].reshape(4, size).T).view("<u4").reshape(-1).astype(np.int64))
+        at += 4 * size
+    return out, np.frombuffer(raw[at:].tobytes(), np.uint64)
+
+
+def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """A text in stretches of at most FOLD records each, with the two words that the last record looks at."""
+    line = [END, *words, END, NONE]
+    for at in range(0, len(line) - 2, FOLD):
+        yield line[at : at + FOLD + 2]
+
+
+class Records:
+    """Positions of texts as (first, second, third word): each pair and what follows it, NONE at the end.
+
+    Words are codes of the lexicon, or numbers of this fold, whose hashes go with each block."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.words = lexicon, dict(lexicon.codes)
+        self.rare: list[bytes] = []
+        self.parts: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.length = 0
+
+    def full(self, part: list[bytes]) -> bool:
+        """Whether a fold is due before `part` comes in."""
+        return self.length > 0 and self.length + len(part) > FOLD
+
+    def add(self, part: list[bytes], row: int = 0) -> None:
+        """part: one of pieces()."""
+        get = self.words.get
+        codes = list(map(get, part))
+        if None in codes:
+            for i, c in enumerate(codes):
+                if c is None:
+                    w = part[i]
+                    if (c := get(w)) is None:
+                        self.words[w] = c = self.lexicon.size + len(self.rare)
+                        self.rare.append(w)
+                    codes[i] = c
+        self.parts.append(np.array(codes, np.int64))
+        self.rows.append(np.full(len(codes) - 2, row, np.int64))
+        self.length += len(codes) - 2
+
+    def fold(self, held: np.ndarray | None = None, with_rows: bool = False) -> list[tuple]:
+        """(bucket, block) of all records so far. held: hashes of triples whose records aren't needed."""
+        a, b, c = (np.concatenate([p[k : len(p) - 2 + k] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for k in range(3))
+        rows = np.concatenate(self.rows) if self.rows else np.zeros(0, np.int64)
+        hashes = np.concatenate([self.lexicon.hashes, word_hashes(self.rare)])
+        for w in self.rare:
+            del self.words[w]
+        self.rare, self.parts, self.rows, self.length = [], [], [], 0
+        key = a << 42 | b << 21 | c
+        if with_rows:
+            order = np.argsort(key, kind="stable")
+            key, rows = key[order], rows[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key, times = key[first], np.diff(np.append(first, len(key)))
+        else:
+            key, times = np.unique(key, return_counts=True)
+        a, b, c = key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1
+        pair, after = joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2)
+        bucket = self.lexicon.bucket(pair, self.lexicon.is_hot(a, b), after)
+        if held is not None and len(held):
+            # A held triple's pair is held too: such a record adds nothing.
+            triple = joined(pair, after, 3)
+            bucket[held[np.minimum(np.searchsorted(held, triple), len(held) - 1)] == triple] = -1
+        order = np.argsort(bucket, kind="stable")
+        if with_rows:
+            starts = np.cumsum(times) - times
+            ends = np.cumsum(times[order])
+            rows = rows[np.repeat(starts[order] - (ends - times[order]), times[order]) + np.arange(len(rows))]
+        a, b, c, times, bucket = a[order], b[order], c[order], times[order], bucket[order]
+        cuts = [*np.flatnonzero(np.diff(bucket, prepend=-2)).tolist(), len(bucket)]
+        total = np.concatenate([[0], np.cumsum(times)])
+        out, size = [], self.lexicon.size
+        for x, y in zip(cuts, cuts[1:]):
+            if bucket[x] < 0:
+                continue
+            words = np.concatenate([a[x:y], b[x:y], c[x:y]])
+            rare = np.unique(words[words >= size])
+            words = np.where(words >= size, size + np.searchsorted(rare, words), words)
+            k = y - x
+            columns = [np.diff(words[:k], prepend=0), words[k : 2 * k], words[2 * k :], times[x:y]]
+            if with_rows:
+                columns.append(rows[total[x] : total[y]])
+            out.append((int(bucket[x]), packed(columns, hashes[rare])))
         return out
 
 
-def gram_counts(training: DataFrame) -> DataFrame:
-    """(k, l, r, o, n) of all pairs (o = 2) and triples (o = 3) that occur at least LEAST times: their hash, those of the two that they are made of, their number."""
+def opened(block: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
+    """(a, b, pair, after, ends, times, rows, hashes) of a block's records: codes, hashes, whether nothing follows, numbers, rows, hashes by code."""
+    (a, b, c, times, *rows), wide = unpacked(block)
+    a = np.cumsum(a)
+    hashes = np.concatenate([lexicon.hashes, wide])
+    return a, b, joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2), c == 0, times, rows[0] if rows else None, hashes
 
-    def run(batches):
-        hashes, pending, length = Hashes(), [], 0
 
-        def fold():
-            o, k, l, r = (np.concatenate(x) for x in zip(*pending, strict=True))
-            k, at, n = np.unique(k, return_index=True, return_counts=True)
-            pending.clear()
-            for i in range(0, len(k), 100_000):
-                j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[j].view(np.int64), l[at[j]].view(np.int64), r[at[j]].view(np.int64), o[at[j]], n[j].astype(np.int64))], ["k", "l", "r", "o", "n"])
+def _blocks(batches):
+    """(bucket, kind, block) of batches sorted by bucket and kind."""
+    for b in batches:
+        yield from zip(b.column("p").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True)
 
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                levels = hashes.grams(low_words(t))
-                for o, (below, k) in enumerate(zip(levels, levels[1:]), 2):
-                    pending.append((np.full(len(k), o, np.int8), k, below[:-1], below[1:]))
-                    length += len(k)
-                if length > 3_000_000:
-                    yield from fold()
-                    length = 0
-        if pending:
-            yield from fold()
 
-    got = training.select("text").mapInArrow(run, "k long, l long, r long, o byte, n long")
-    return got.groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max("o").alias("o"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+def summed(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key with `least` occurrences first stands, and its number."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n[order], first) if len(first) else n[:0]
+    keep = total >= least
+    return order[first[keep]], total[keep]
 
 
-def gains(counts: DataFrame, grams: DataFrame, scale: float) -> DataFrame:
-    """(k, l, r, o, n, v, bow) of words (o = 1, if they begin a pair of grams), pairs and triples: v is what each occurrence adds to the log10 score
-    of its text, beyond what the parts that it is made of add; bow is the log10 backoff weight as a context.
+def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(o, k, l, r, p, hot, n) of all pairs (o = 2) and triples (o = 3) that occur at least LEAST times: their hash, those of the
+    two that they are made of, their bucket, whether it is salted, their number. Hot pairs are added up over their buckets."""
+    held = training.sparkSession.sparkContext.broadcast(lexicon)
+
+    def emit(batches):
+        records = Records(held.value)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                for part in pieces(low_words(t)):
+                    if records.full(part):
+                        yield _dealt(records.fold())
+                    records.add(part)
+        yield _dealt(records.fold())
+
+    def count(batches):
+        lex, at, parts = held.value, None, []
+
+        def settle():
+            if not parts:
+                return
+            pair, after, l, r, hot, ends, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            i, total = summed(pair, n, 1)
+            keep = hot[i] | (total >= LEAST)
+            i, total = i[keep], total[keep]
+            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total)
+            pair, after, n, hot = pair[~ends], after[~ends], n[~ends], hot[~ends]
+            triple = joined(pair, after, 3)
+            i, total = summed(triple, n, LEAST)
+            yield from _counted(3, triple[i], pair[i], after[i], at, hot[i], total)
+
+        for p, _, block in _blocks(batches):
+            if p != at:
+                yield from settle()
+                at = p
+            a, b, pair, after, ends, times, _, hashes = opened(block, lex)
+            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times))
+        yield from settle()
+
+    blocks = training.select("text").mapInArrow(emit, "p int, block binary").withColumn("kind", F.lit(0))
+    got = sorted_buckets(blocks, lexicon.buckets).mapInArrow(count, "o int, k long, l long, r long, p int, hot boolean, n long")
+    got = written(got)
+    salted = (F.col("o") == 2) & F.col("hot")
+    hot = got.where(salted).groupBy("o", "k", "l", "r", "hot").agg(F.min("p").alias("p"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return got.where(~salted).unionByName(hot)
+
+
+def sorted_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Blocks dealt out by bucket; a task reads its buckets one after the other."""
+    tasks = min(buckets, max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8))
+    return blocks.repartition(tasks, "p").sortWithinPartitions("p", "kind")
+
+
+def _dealt(blocks: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["p", "block"])
+
+
+def _counted(o: int, k, l, r, p, hot, n):
+    for i in range(0, len(k), 100_000):
+        j = slice(i, i + 100_000)
+        size = len(k[j])
+        columns = [pa.array(np.full(size, o, np.int32)), *(pa.array(x[j].view(np.int64)) for x in (k, l, r)), pa.array(np.full(size, p, np.int32)), pa.array(hot[j]), pa.array(n[j].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["o", "k", "l", "r", "p", "hot", "n"])
+
+
+def gains(counts: DataFrame, grams: DataFrame, scale: float, often: float) -> tuple[DataFrame, DataFrame]:
+    """Words (k, n, bow), and pairs and triples (k, l, r, o, p, hot, n, v, bow): v is what each occurrence adds to the log10 score of its
+    text, beyond what the parts that it is made of add; bow is the log10 backoff weight as a context. l and r are given from `often` occurrences on.
 
     A triple stands in place of its pair's lower probability times the weight of its context, and a pair in place of
     its word's. Each occurrence of a word or pair, but for the last, is a context, and the last is none in training either."""
-    word = counts.select(F.xxhash64("word").alias("k"), "n", ((F.col("n") + ADD) / scale).alias("p"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    tables, lower = [], word
+    word = counts.select(F.xxhash64("word").alias("k"), "n", ((F.col("n") + ADD) / scale).alias("p1"))
+    weight = F.log10(F.greatest(1 - F.sum("q"), F.lit(1e-9)) / F.greatest(1 - F.sum("below"), F.lit(1e-9))).alias("bow")
+    gain = F.log10("q") - F.log10("below") - F.col("bow")
+    lower, owns, weights = word, [], []
     for o in range(2, ORDER + 1):
-        left, right = lower.select(F.col("k").alias("l"), F.col("n").alias("of")), lower.select(F.col("k").alias("r"), F.col("p").alias("below"))
-        own = written(grams.where(F.col("o") == o).join(left, "l").join(right, "r").withColumn("p", (F.col("n") - DISCOUNT) / F.col("of")))
-        weight = F.log10(F.greatest(1 - F.sum("p"), F.lit(1e-9)) / F.greatest(1 - F.sum("below"), F.lit(1e-9)))
-        weights = written(own.groupBy("l").agg(weight.alias("bow")))
-        if o == 2:
-            tables.append(weights.withColumnRenamed("l", "k").join(word, "k").select("k", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"), F.lit(1).alias("o"), "n", F.col("bow").alias("v"), "bow"))
-        else:
-            tables[-1] = tables[-1].drop("bow").join(weights.withColumnRenamed("l", "k"), "k", "left").withColumn("bow", zero(F.col("bow"))).withColumn("v", F.col("v") + F.col("bow"))
-        here = own.join(weights, "l").withColumn("v", F.log10("p") - F.log10("below") - F.col("bow"))
-        tables.append(here.select("k", "l", "r", F.lit(o).alias("o"), "n", "v", F.lit(0.0).alias("bow")))
-        lower = own.select("k", "n", "p")
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return written(out)
+        left, right = lower.select(F.col("k").alias("l"), F.col("n").alias("of")), lower.select(F.col("k").alias("r"), F.col("p1").alias("below"))
+        own = grams.where(F.col("o") == o).join(left, "l").join(right, "r")
+        owns.append(written(own.select("k", "l", "r", "o", "p", "hot", "n", ((F.col("n") - DISCOUNT) / F.col("of")).alias("q"), "below")))
+        weights.append(written(owns[-1].groupBy("l").agg(weight)))
+        lower = owns[-1].select("k", "n", F.col("q").alias("p1"))
+    words = written(word.select("k", "n").join(weights[0].withColumnRenamed("l", "k"), "k", "left"))
+    own_weight = weights[1].select(F.col("l").alias("k"), F.col("bow").alias("own"))
+    pairs = owns[0].join(weights[0], "l").join(own_weight, "k", "left").withColumn("own", F.coalesce("own", F.lit(0.0))).withColumn("v", gain + F.col("own"))
+    triples = owns[1].join(weights[1], "l").withColumn("own", F.lit(0.0)).withColumn("v", gain)
+    shown = [F.when(F.col("n") >= often, F.col(c)).alias(c) for c in ("l", "r")]
+    out = written(pairs.unionByName(triples).select("k", *shown, "o", "p", "hot", "n", "v", F.col("own").alias("bow")))
+    discard(*owns, *weights)
+    return words, out
 
 
 @dataclass
@@ -145,6 +341,7 @@ class Automaton:
     backoff: list[float]  # log10, by state
     shorter: list[int]  # failure arcs
     counts: dict[bytes, float]  # log10 probabilities of the words that every worker knows
+    beside: dict[bytes, float]  # of those that are no tokens: what they add beside REST's arc
     log_rest: float  # of REST's whole mass
     unseen: float  # log10 probability of a word that isn't in training
     scale: float  # N + ADD * (V + 1)
@@ -166,7 +363,7 @@ class Automaton:
 
 
 def compile_automaton(known: dict[bytes, int], weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
-    """known: counts of the words that every worker knows. weights: backoff weights of tokens. grams: from pairs on, keys, counts
+    """known: counts of the words that every worker knows. weights: their backoff weights. grams: from pairs on, keys, counts
     and backoff weights, each key a context's place times size plus a token. Weights are those of the whole model, log10."""
     scale = n + ADD * (v + 1)
     tokens = token_ids(known, least)
@@ -199,7 +396,9 @@ def compile_automaton(known: dict[bytes, int], weights: dict[bytes, float], gram
             states[k] = to
         arcs |= fresh
         state_of, count = states, counts.astype(float)
-    return Automaton(tokens, arcs, backoff, shorter, {w: float(np.log10((c + ADD) / scale)) for w, c in known.items()}, float(np.log10(mass[REST])), float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
+    counts, log_rest = {w: float(np.log10((c + ADD) / scale)) for w, c in known.items()}, float(np.log10(mass[REST]))
+    beside = {w: x - log_rest + weights.get(w, 0.0) for w, x in counts.items() if w not in tokens}
+    return Automaton(tokens, arcs, backoff, shorter, counts, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
 
 
 def token_ids(known: dict[bytes, int], least: float) -> dict[bytes, int]:
@@ -320,5 +519,225 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs))
 
 
+QUERIES = {"op8_lm_scores": op8_lm_scores}
+ORACLES: dict[str, str] = {}
+@dataclass
+class Fitted:
+    automaton: Automaton
+    lexicon: Lexicon
+    arcs: np.ndarray  # sorted hashes of the pairs and triples that the automaton holds
+    words: DataFrame  # (k, n, bow) of all words of the training texts
+    grams: DataFrame  # (k, p, hot, v, ...) of all pairs and triples of the model
+
+
+def fit(documents: DataFrame) -> Fitted:
+    """Learn from all rows outside the held-out fold; a null text is empty, a null doc_id counts as training."""
+    training = documents.where(F.coalesce(~held_out(), F.lit(True)))
+    counts = written(word_counts(training))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = {bytes(r.word): r.n for r in counts.where((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("word") == F.lit(END))).collect()}
+    known.setdefault(END, 0)
+    least, often = max(2, n * CLASS_SHARE), max(LEAST, n * GRAM_SHARE)
+    lexicon = lexicon_of(known, n, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
+    grams = written(gram_counts(training, lexicon))
+    words, table = gains(counts, grams, n + ADD * (v + 1), often)
+    discard(grams, counts)
+    # What has a share of all tokens comes to the driver: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE n-grams of each order.
+    weights = {r.k: r.bow for r in words.where(((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("k") == F.lit(int(word_hashes([END]).view(np.int64)[0])))) & F.col("bow").isNotNull()).select("k", "bow").collect()}
+    of_word = dict(zip(lexicon.codes, lexicon.hashes.view(np.int64).tolist(), strict=True))
+    tokens = token_ids(known, least)
+    frequent = table.where(F.col("n") >= often).toPandas()
+    held, grams = [], []
+    places = {of_word[w]: i for w, i in tokens.items()}  # of contexts, by hash
+    last = dict(places)  # the last token of each
+    for o in range(2, ORDER + 1):
+        g = frequent[(frequent["o"] == o) & frequent["l"].isin(list(places)) & frequent["r"].isin(list(places))]
+        ends = g["r"].map(last).to_numpy(np.int64)
+        grams.append((g["l"].map(places).to_numpy(np.int64) * (len(tokens) + 1) + ends, g["n"].to_numpy(np.int64), g["bow"].to_numpy(float)))
+        held.append(g["k"].to_numpy(np.int64))
+        places = {k: i for i, k in enumerate(g["k"].tolist())}
+        last = dict(zip(g["k"].tolist(), ends.tolist(), strict=True))
+    bows = {w: weights.get(of_word[w], 0.0) for w in known}
+    automaton = compile_automaton(known, bows, grams, n, v, least)
+    return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, table)
+
+
+STATS = (("doc_id", "long"), ("row", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))
+
+
+def _met(n: int, blocks: list, stats: list | None = None) -> pa.RecordBatch:
+    """n rows of blocks (p, kind, block), of STATS, or both."""
+    whole = [*(blocks or [[]] * 3), *(stats or [[None] * n] * len(STATS))]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), *(pa.int64() if k == "long" else pa.float64() for _, k in STATS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(whole, kinds, strict=True)], ["p", "kind", "block", *(n for n, _ in STATS)])
+
+
+def _model_blocks(kind: int, p: np.ndarray, *columns: np.ndarray):
+    order = np.argsort(p, kind="stable")
+    p, columns = p[order], [c[order].view(np.uint64) for c in columns]
+    cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
+    out = [(int(p[x]), kind, packed([], np.concatenate([c[x:y] for c in columns]))) for x, y in zip(cuts, cuts[1:])]
+    if out:
+        yield _met(len(out), blocks=list(zip(*out, strict=True)))
+
+
+def scored(documents: DataFrame, model: Fitted) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
+
+    A null or empty text is END alone. Repeated rows get equal scores: what the buckets add is by row. A null
+    doc_id is training. With an empty table there are no rows; with no training rows every count is 0."""
+    context = documents.sparkSession.sparkContext
+    held, lexicon, arcs = context.broadcast(model.automaton), context.broadcast(model.lexicon), context.broadcast(model.arcs)
+    a, buckets = model.automaton, model.lexicon.buckets
+    STAT, GRAMS, WORDS, TRIPLES, RARE = range(5)  # kinds, in the order in which a bucket reads them
+
+    def texts(batches):
+        m, lex = held.value, lexicon.value
+        records, task, row, begin = Records(lex), TaskContext.get().partitionId() << 33, 0, 0
+        rare: dict[bytes, int] = {}
+        rare_codes, rare_rows = array("q"), array("q")
+
+        def pack():
+            """All blocks so far; their rows count from `begin`."""
+            base = np.array([task + begin], np.int64).tobytes()
+            out = [(p, TRIPLES, base + x) for p, x in records.fold(arcs.value, True)]
+            if rare:
+                codes, rows, hashes = np.array(rare_codes), np.array(rare_rows), word_hashes(list(rare))
+                bucket = (mixed(hashes[codes], 3) % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((rows, codes, bucket))
+                codes, rows, bucket = codes[order], rows[order], bucket[order]
+                cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+                for x, y in zip(cuts, cuts[1:]):
+                    first = np.flatnonzero(np.diff(codes[x:y], prepend=-1))
+                    out.append((int(bucket[x]), RARE, base + packed([np.diff(np.append(first, y - x)), rows[x:y]], hashes[codes[x:y][first]])))
+                rare.clear()
+                del rare_codes[:], rare_rows[:]
+            return _met(len(out), blocks=list(zip(*out, strict=True)))
+
+        counts, ends = m.counts, m.counts[END]
+        for b in batches:
+            out = []
+            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = low_words(t)
+                for part in pieces(words):
+                    if records.full(part):
+                        yield pack()
+                        begin = row
+                    records.add(part, row - begin)
+                ids = list(map(m.tokens.get, words))
+                logs = [x for x in map(counts.get, words) if x is not None]
+                if len(logs) < len(words):
+                    for w in words:
+                        if w not in counts:
+                            rare_codes.append(rare.setdefault(w, len(rare)))
+                            rare_rows.append(row - begin)
+                score = m.score([*(i or REST for i in ids), m.tokens[END]])
+                if None in ids:
+                    score += sum([m.beside.get(w, 0.0) for w, i in zip(words, ids, strict=True) if i is None])
+                out.append((row % buckets, STAT, None, doc_id, task + row, len(words) + 1, len(logs) + (ends > m.unseen), sum(logs) + ends, score))
+                row += 1
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield _met(len(out), blocks=columns[:3], stats=columns[3:])
+        yield pack()
+
+    def models(batches):
+        """Blocks (hash, v) of the pairs and triples that the automaton doesn't hold."""
+        inside = arcs.value
+        for b in batches:
+            k, v, p = (b.column(c).to_numpy() for c in ("k", "v", "p"))
+            k = k.view(np.uint64)
+            salted = b.column("hot").to_numpy(zero_copy_only=False) & (b.column("o").to_numpy() == 2)
+            out = ~np.isin(k, inside)
+            salts = np.arange(1, SALTS + 1, dtype=np.uint64)
+            spread = (mixed(k[out & salted][:, None] + salts, 3) % np.uint64(buckets)).astype(np.int32)
+            once = np.unique(np.stack([np.repeat(np.flatnonzero(out & salted), SALTS), spread.reshape(-1).astype(np.int64)]), axis=1) if spread.size else np.zeros((2, 0), np.int64)
+            at, p = np.concatenate([np.flatnonzero(out & ~salted), once[0]]), np.concatenate([p[out & ~salted], once[1].astype(np.int32)])
+            yield from _model_blocks(GRAMS, p, k[at], v[at])
+
+    def words_model(batches):
+        for b in batches:
+            k = b.column("k").to_numpy().view(np.uint64)
+            yield from _model_blocks(WORDS, (mixed(k, 3) % np.uint64(buckets)).astype(np.int32), k, b.column("base").to_numpy(), b.column("v").to_numpy())
+
+    def meet(batches):
+        lex, unseen, log_rest = lexicon.value, held.value.unseen, held.value.log_rest
+        at, kept = None, {GRAMS: [], WORDS: []}
+
+        def table_of(kind, columns):
+            """Sorted hashes and what belongs to them."""
+            if isinstance(kept[kind], list):
+                parts = [unpacked(x)[1].reshape(columns, -1) for x in kept[kind]]
+                x = np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), np.uint64)
+                order = np.argsort(x[0])
+                kept[kind] = (x[0][order], *(y.view(np.float64)[order] for y in x[1:]))
+            return kept[kind]
+
+        def found(keys, model):
+            if not len(model):
+                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            i = np.minimum(np.searchsorted(model, keys), len(model) - 1)
+            return i, model[i] == keys
+
+        def gain(keys, model, v):
+            i, hit = found(keys, model)
+            out = np.zeros(len(keys))
+            out[hit] = v[i[hit]]
+            return out
+
+        for b in batches:
+            stats = b.filter(pc.equal(b.column("kind"), STAT))
+            if stats.num_rows:
+                yield stats.select([n for n, _ in STATS])
+            b = b.filter(pc.not_equal(b.column("kind"), STAT))
+            for p, kind, block in _blocks([b]):
+                if p != at:
+                    at, kept = p, {GRAMS: [], WORDS: []}
+                if kind in kept:
+                    kept[kind].append(block)
+                    continue
+                base = int(np.frombuffer(block[:8], np.int64)[0])
+                if kind == TRIPLES:
+                    _, _, pair, after, ends, times, rows, _ = opened(block[8:], lex)
+                    model = table_of(GRAMS, 2)
+                    add = gain(pair, *model) + np.where(ends, 0.0, gain(joined(pair, after, 3), *model))
+                    sums = [np.bincount(rows, np.repeat(add, times))]
+                    of = np.flatnonzero(sums[0])
+                    extra = [np.zeros(len(of), np.int64), np.zeros(len(of)), sums[0][of]]
+                else:
+                    (times, rows), hashes = unpacked(block[8:])
+                    model, log, v = table_of(WORDS, 3)
+                    i, hit = found(hashes, model)
+                    base_add, add = np.full(len(hashes), unseen), np.full(len(hashes), unseen - log_rest)
+                    base_add[hit], add[hit] = log[i[hit]], v[i[hit]]
+                    of = np.unique(rows)
+                    extra = [np.bincount(rows, np.repeat(hit, times))[of].astype(np.int64), np.bincount(rows, np.repeat(base_add, times))[of], np.bincount(rows, np.repeat(add, times))[of]]
+                if len(of):
+                    none = pa.nulls(len(of), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(base + of), pa.array(np.zeros(len(of), np.int64)), *map(pa.array, extra)], [n for n, _ in STATS])
+
+    shape = "p int, kind int, block binary, " + ", ".join(f"{n} {k}" for n, k in STATS)
+    base = F.log10((F.col("n") + ADD) / a.scale)
+    tail = model.words.where(F.col("n") < max(2, a.n * WORD_SHARE)).select("k", base.alias("base"), (base - a.log_rest + F.coalesce("bow", F.lit(0.0))).alias("v"))
+    blocks = documents.select("doc_id", "text").mapInArrow(texts, shape)
+    blocks = blocks.union(model.grams.select("k", "p", "o", "hot", "v").mapInArrow(models, shape)).union(tail.mapInArrow(words_model, shape))
+    sums = [F.max("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n, _ in STATS[2:])]
+    out = sorted_buckets(blocks, buckets).mapInArrow(meet, ", ".join(f"{n} {k}" for n, k in STATS)).groupBy("row").agg(*sums)
+    return out.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(a.n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+    )
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs))
+
+
 QUERIES = {"op8_lm_scores": op8_lm_scores}
 ORACLES: dict[str, str] = {}
