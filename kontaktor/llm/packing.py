@@ -1,11 +1,12 @@
 """Best-fit packing of documents into sequences of at most CAPACITY tokens.
 
 Only the histogram of piece lengths (CAPACITY numbers at most) comes to the
-driver. There a configuration linear program is solved: multiplicative weights
-price the lengths, knapsack dynamic programming finds the pattern of the highest
-price, and patterns gather fractional multiplicities. These are rounded down, the
-rest is solved again, and best fit places what then remains. The plan says, for
-each length, which ranks go where; each piece finds its place by its rank.
+driver. There the configuration linear program is solved over all lengths:
+multiplicative weights price them, knapsack dynamic programming finds the patterns
+of the highest price, and each pattern is taken as often as what is left allows,
+rounded down to whole sequences, until only patterns with wide gaps remain. Best fit
+places those last pieces. The plan says, for each length, which ranks go where;
+each piece finds its place by its rank.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .common import Codes, byte_symbols, table, words, written
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-ROUNDS, PRICINGS = 3, 120  # roundings of the linear program, patterns priced before each
+SPREAD, RATE = 0.02, 4.0  # how far weights move a price from proportion to length, how fast a covered length loses weight
+SLACK = 0.05  # patterns with a larger gap are left to best fit
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 
@@ -118,66 +120,82 @@ def pieces(documents: DataFrame, *, tokenizer: str | None = None, capacity: int
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+class Pricing:
+    """Knapsack by dynamic programming: for every room, the multiset of items of the highest price that fits, each item at most
+    `limits` times. Multiplicities are split in powers of two, so every step works on a whole row of rooms."""
+
+    def __init__(self, lengths: np.ndarray, limits: np.ndarray, prices: np.ndarray, capacity: int):
+        self.value = np.zeros(capacity + 1)
+        self.steps: list[tuple[int, int, int]] = []  # item, times, tokens
+        rows = []
+        for i, (n, limit, price) in enumerate(zip(lengths.tolist(), limits.tolist(), prices.tolist(), strict=True)):
+            left, size = min(limit, capacity // n), 1
+            while left > 0:
+                k = min(size, left)
+                w, better = k * n, np.zeros(capacity + 1, bool)
+                with_it = self.value[: capacity + 1 - w] + k * price
+                np.greater(with_it, self.value[w:], out=better[w:])
+                np.maximum(with_it, self.value[w:], out=self.value[w:])
+                rows.append(better)
+                self.steps.append((i, k, w))
+                left -= k
+                size *= 2
+        self.better = np.array(rows).T.copy() if rows else np.zeros((capacity + 1, 0), bool)
+
+    def pattern(self, room: int) -> dict[int, int]:
+        """Items and times of the best that fits in `room`."""
+        out: dict[int, int] = {}
+        before = len(self.steps)
+        while len(hits := np.flatnonzero(self.better[room, :before])):
+            before = int(hits[-1])
+            i, k, w = self.steps[before]
+            out[i] = out.get(i, 0) + k
+            room -= w
+        return out
+
+
 def best_pattern(lengths: np.ndarray, limits: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the multiset of lengths of the highest price that fits, each at most `limits` times.
-
-    Multiplicities are split in powers of two, so every step works on a whole row of capacities."""
-    value = np.zeros(capacity + 1)
-    steps: list[tuple[int, int, np.ndarray]] = []
-    for n, limit, price in zip(lengths.tolist(), limits.tolist(), prices.tolist(), strict=True):
-        left, size = min(limit, capacity // n), 1
-        while left > 0:
-            k = min(size, left)
-            w = k * n
-            with_it = value[: capacity + 1 - w] + k * price
-            better = with_it > value[w:]
-            if better.any():
-                value[w:] = np.where(better, with_it, value[w:])
-                steps.append((n, k, np.packbits(better)))
-            left -= k
-            size *= 2
-    at, out = int(value.argmax()), {}
-    for n, k, better in reversed(steps):
-        w = k * n
-        if at >= w and better[(at - w) >> 3] >> (7 - ((at - w) & 7)) & 1:
-            out[n] = out.get(n, 0) + k
-            at -= w
-    return out
-
-
-def fractional(counts: dict[int, int], capacity: int, pricings: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns and multiplicities that use no length more often than it is there.
-
-    Multiplicative weights: each pricing takes a share of the scarcest length of its pattern, and the price of a length
-    falls as it gets covered. A price starts a little over proportion to the
-    length, so that patterns are full and short lengths are left to fill gaps."""
-    lengths = np.array(sorted(counts, reverse=True))
-    have = np.array([counts[n] for n in lengths], float)
-    covered = np.zeros(len(lengths))
-    place = {n: i for i, n in enumerate(lengths.tolist())}
-    out: list[tuple[dict[int, int], float]] = []
-    # Many lengths: each pricing looks at a block of them, dealt in turn, so that its cost is bounded.
-    blocks = max(1, -(-len(lengths) // 256))
-    rate = 1.0
-    for turn in range(pricings):
-        own = np.arange(turn % blocks, len(lengths), blocks)
-        own = own[covered[own] < 0.999]
-        if not len(own):
-            continue
-        left = np.floor(have[own] * (1 - covered[own]) + 1e-9).astype(np.int64)
-        own, left = own[left > 0], left[left > 0]
-        if not len(own):
-            continue
-        weights = np.exp(-rate * covered[own] * lengths[own] / capacity)
-        pattern = best_pattern(lengths[own], left, (lengths[own] / capacity) ** 1.05 * (0.5 + 0.5 * weights), capacity)
-        if not pattern:
-            continue
-        at = np.array([place[n] for n in pattern])
-        times = np.array(list(pattern.values()), float)
-        x = float(((1 - covered[at]) * have[at] / times).min())
-        covered[at] += times * x / have[at]
-        out.append((pattern, x))
-    return out
+    """Lengths and times of the pattern of the highest price."""
+    return {int(lengths[i]): k for i, k in Pricing(lengths, limits, prices, capacity).pattern(capacity).items()}
+
+
+def solved(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], dict[int, int], float]:
+    """(patterns and their numbers, what they leave, the dual bound): the linear program over all lengths, rounded as it goes.
+
+    Prices are near proportion to length, which is a feasible dual solution: their sum over all pieces, divided by the best
+    pattern's price, bounds the sequences from below. A length's weight falls as it gets covered, so that scarce lengths
+    keep theirs. Each pricing yields a pattern for every length, its best companions in the room that it leaves; a pattern
+    takes of a length no more than twice its share of the sequences to come, so that it can be used many times."""
+    lengths = np.array(sorted(counts, reverse=True), np.int64)
+    left = np.array([counts[n] for n in lengths.tolist()], np.int64)
+    start, weights, rng = left.astype(float), np.ones(len(lengths)), np.random.default_rng(0)
+    bound, slack, out = 0.0, 0, []
+    while left.any() and slack <= SLACK * capacity:
+        live = np.flatnonzero(left)
+        prices = lengths[live] / capacity * (1 + SPREAD * weights[live])
+        to_come = max(1, int((lengths * left).sum()) // capacity)
+        limits = np.minimum(left[live], np.maximum(1, -(-2 * left[live] // to_come)))
+        if not out:
+            # A pattern's price is at most that of a full sequence of the dearest tokens.
+            bound = float((prices * left[live]).sum() / (prices / lengths[live]).max() / capacity)
+        priced = Pricing(lengths[live], limits, prices * (1 + 1e-3 * rng.random(len(live))), capacity)
+        taken = 0
+        for at, i in enumerate(live.tolist()):
+            if not left[i]:
+                continue
+            pattern = priced.pattern(capacity - int(lengths[i]))
+            pattern[at] = pattern.get(at, 0) + 1
+            own, times = live[list(pattern)], np.array(list(pattern.values()), np.int64)
+            number = int((left[own] // times).min())
+            if number < 1 or capacity - int((lengths[own] * times).sum()) > slack:
+                continue
+            left[own] -= number * times
+            weights[own] *= np.exp(-RATE * number * times / start[own])
+            taken += number
+            out.append((dict(zip(lengths[own].tolist(), times.tolist(), strict=True)), number))
+        if taken < 0.002 * to_come or not taken:
+            slack = max(1, 2 * slack)
+    return out, {n: c for n, c in zip(lengths.tolist(), left.tolist(), strict=True) if c}, bound
 
 
 class Plan:
@@ -252,20 +270,11 @@ class Plan:
 
 
 def planned(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """The plan for a histogram: the linear program rounded down ROUNDS times, then best fit for the rest."""
-    plan, left = Plan(capacity), {n: c for n, c in counts.items() if c > 0}
-    for _ in range(ROUNDS):
-        if not left:
-            break
-        for pattern, x in fractional(left, capacity, PRICINGS):
-            if sum(n * t for n, t in pattern.items()) < capacity * 0.99:
-                continue  # best fit does as well for a pattern with a gap
-            number = min([int(x + 1e-9), *(left.get(n, 0) // t for n, t in pattern.items())])
-            if number > 0:
-                plan.add_pattern(pattern, number)
-                for n, t in pattern.items():
-                    left[n] -= t * number
-        left = {n: c for n, c in left.items() if c > 0}
+    """The plan for a histogram: the linear program's patterns, then best fit for what they leave."""
+    plan = Plan(capacity)
+    patterns, left, _ = solved({n: c for n, c in counts.items() if c > 0}, capacity)
+    for pattern, number in patterns:
+        plan.add_pattern(pattern, number)
     plan.best_fit(left)
     return plan.runs()
 

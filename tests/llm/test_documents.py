@@ -154,6 +154,39 @@ def test_best_pattern_is_the_best():
     assert (got.get(7, 0), got.get(5, 0), got.get(3, 0)) == best[1:]
 
 
+def test_every_pricing_is_the_best_for_every_room():
+    lengths, limits, prices = np.array([7, 5, 3]), np.array([2, 3, 2]), np.array([7.5, 5.1, 3.0])
+    priced = packing.Pricing(lengths, limits, prices, 20)
+    for room in range(21):
+        best = max(a * 7.5 + b * 5.1 + c * 3.0 for a in range(3) for b in range(4) for c in range(3) if 7 * a + 5 * b + 3 * c <= room)
+        got = priced.pattern(room)
+        assert sum(prices[i] * k for i, k in got.items()) == pytest.approx(best) == pytest.approx(priced.value[room])
+        assert sum(lengths[i] * k for i, k in got.items()) <= room and all(k <= limits[i] for i, k in got.items())
+
+
+@pytest.mark.parametrize("n", [700, 20_000])
+def test_the_program_places_nearly_all_within_its_bound(n):
+    lengths = np.clip(np.random.default_rng(n).lognormal(6.5, 1.1, n).astype(int), 1, 4096)
+    counts = dict(collections.Counter(lengths.tolist()))
+    patterns, left, bound = packing.solved(counts)
+    used = collections.Counter()
+    for pattern, number in patterns:
+        assert sum(length * k for length, k in pattern.items()) <= 4096
+        used.update({length: k * number for length, k in pattern.items()})
+    assert {k: used[k] + left.get(k, 0) for k in counts} == counts
+    assert sum(left.values()) <= 0.1 * n
+    # The bound holds for any packing: no fewer sequences than tokens fill.
+    assert bound <= lengths.sum() / 4096 + 1e-6
+
+
+def test_packing_repeated_ids_are_documents_of_their_own(spark):
+    got = packing.packed(documents(spark, ["a b c", "a b c", LONG, LONG], [1, 1, 2, 2])).toPandas()
+    assert (got.piece == 0).sum() == 4 and (got[got.doc_id == 1].length == len(brute_ids("a b c"))).all()
+    placed = got.sort_values(["sequence_id", "offset"])
+    for _, own in placed.groupby("sequence_id"):
+        assert list(own.offset) == [0, *own.length.cumsum()[:-1]]
+
+
 def test_packing_of_nothing_and_of_clashing_columns(spark, none, docs):
     assert packing.packed(none).count() == 0
     assert packing.packed(clashing(docs.limit(3), "length", "sequence_id", "part")).count() == 3
