@@ -26,8 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and lost executors cost no recomputation.
+    by: a column of few values, each of which gets a part of its own that can be discarded alone.
 
     Its shuffle files go as soon as it is written: nothing reads them again."""
     spark = df.sparkSession
@@ -35,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append(path)
@@ -50,9 +51,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(hadoop).delete(path, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that no plan will read again."""
+def discard(*tables: DataFrame, part: str | None = None) -> None:
+    """Delete tables that written() made and that no plan will read again, or one part of them, as in part="kind=2"."""
     for t in tables:
+        if part:
+            _delete(t.sparkSession, f"{t.written_at}/{part}")
+            continue
         _written.remove(t.written_at)
         _delete(t.sparkSession, t.written_at)
 
