@@ -11,8 +11,8 @@ Counts are exact and distributed, words and n-grams told apart by 64-bit hashes.
 position of a text is one record: a pair and what follows it. Tasks sort records, pack
 them in blocks by bucket of their pair, and deal the blocks out; so each bucket has all
 that belongs to its pairs, and a record takes a few bytes of a shuffle. What a worker
-holds is bounded by shares: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE n-grams of
-each order have such a share of all tokens.
+holds is bounded: the WORDS commonest words, and at most 1 / GRAM_SHARE n-grams of each
+order have such a share of all tokens. These bounds change no score.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ END = b"\n"  # no word holds white space
 NONE = b""  # stands where a text has ended; no word is empty
 ADD = 0.1  # fixed by the contract: what smoothing adds to each count
 ORDER = 3
-WORD_SHARE = 1e-6  # words with this share of the tokens have their counts at every worker
+WORDS = 250_000  # the commonest words, whose counts every worker has
 CLASS_SHARE = 5e-5  # words with this share are tokens of the automaton
 GRAM_SHARE = 5e-6  # n-grams of tokens with this share are arcs; all others meet their texts in a bucket
 HOT_SHARE = 1e-3  # pairs of two words with this share are spread over SALTS buckets, by what follows them
@@ -91,6 +92,7 @@ class Lexicon:
 
     codes: dict[bytes, int]
     hashes: np.ndarray  # by code
+    counts: np.ndarray  # by code, in training
     hot: int  # codes from 1 to hot have HOT_SHARE
     buckets: int
 
@@ -107,28 +109,38 @@ class Lexicon:
         return (a <= self.hot) & (b <= self.hot)
 
 
+STAT, GRAMS, TAIL, TRIPLES, RARE = range(5)  # kinds of blocks, in the order in which a bucket reads them
+_MODEL = ["p", "kind", "block", "k", "l", "r", "o", "n", "bow"]
+
+
 def lexicon_of(known: dict[bytes, int], n: int, buckets: int) -> Lexicon:
     words = sorted(known, key=lambda w: (-known[w], w))
     codes = {w: i for i, w in enumerate([NONE, *words])}
-    return Lexicon(codes, word_hashes(list(codes)), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets)
+    return Lexicon(codes, word_hashes(list(codes)), np.array([known.get(w, 0) for w in codes], np.int64), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets)
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte: all first bytes, all second bytes, and so on, of which most are alike."""
+    return np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), int(kind[-1])).T.tobytes()
 
 
-def packed(parts: list[np.ndarray], wide: np.ndarray) -> bytes:
-    """Columns of small numbers, byte by byte, and one of 64-bit numbers, compressed."""
-    head = np.array([len(parts), *map(len, parts), len(wide)], "<u4").tobytes()
-    planes = [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in parts]
-    return zstandard.compress(b"".join([head, *planes, wide.tobytes()]), 3)
+def packed(parts: list[np.ndarray], wide: list[np.ndarray]) -> bytes:
+    """Columns of small numbers and columns of 64 bits, compressed."""
+    head = np.array([len(parts), len(wide), *map(len, parts), *map(len, wide)], "<u4").tobytes()
+    return zstandard.compress(b"".join([head, *(_planes(x, "<u4") for x in parts), *(_planes(x, "<u8") for x in wide)]), 3)
 
 
-def unpacked(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = np.frombuffer(zstandard.decompress(block), np.uint8)
-    n = int(raw[:4].view("<u4")[0])
-    sizes = raw[4 : 8 + 4 * n].view("<u4").tolist()
-    at, out = 8 + 4 * n, []
-    for size in sizes[:-1]:
-        out.append(np.ascontiguousarray(raw[at : at + 4 * size].reshape(4, size).T).view("<u4").reshape(-1).astype(np.int64))
-        at += 4 * size
-    return out, np.frombuffer(raw[at:].tobytes(), np.uint64)
+    n_parts, n_wide = raw[:8].view("<u4").tolist()
+    sizes = raw[8 : 8 + 4 * (n_parts + n_wide)].view("<u4").tolist()
+    at, out = 8 + 4 * len(sizes), []
+    for k, size in enumerate(sizes):
+        width = 4 if k < n_parts else 8
+        x = np.ascontiguousarray(raw[at : at + width * size].reshape(width, size).T).view(f"<u{width}").reshape(-1)
+        out.append(x.astype(np.int64) if width == 4 else x)
+        at += width * size
+    return out[:n_parts], out[n_parts:]
 
 
 def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
@@ -212,13 +224,13 @@ class Records:
             columns = [np.diff(words[:k], prepend=0), words[k : 2 * k], words[2 * k :], times[x:y]]
             if with_rows:
                 columns.append(rows[total[x] : total[y]])
-            out.append((int(bucket[x]), packed(columns, hashes[rare])))
+            out.append((int(bucket[x]), packed(columns, [hashes[rare]])))
         return out
 
 
 def opened(block: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     """(a, b, pair, after, ends, times, rows, hashes) of a block's records: codes, hashes, whether nothing follows, numbers, rows, hashes by code."""
-    (a, b, c, times, *rows), wide = unpacked(block)
+    (a, b, c, times, *rows), (wide,) = unpacked(block)
     a = np.cumsum(a)
     hashes = np.concatenate([lexicon.hashes, wide])
     return a, b, joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2), c == 0, times, rows[0] if rows else None, hashes
@@ -230,19 +242,24 @@ def _blocks(batches):
         yield from zip(b.column("p").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True)
 
 
-def summed(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key with `least` occurrences first stands, and its number."""
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each key first stands, its number, and for each row that of its key."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], first) if len(first) else n[:0]
-    keep = total >= least
-    return order[first[keep]], total[keep]
+    of_row = np.empty_like(n)
+    of_row[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
+    return order[first], total, of_row
+
+
+COUNTED = "o int, k long, l long, r long, p int, hot boolean, n long, of long, rn long"
 
 
 def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(o, k, l, r, p, hot, n) of all pairs (o = 2) and triples (o = 3) that occur at least LEAST times: their hash, those of the
-    two that they are made of, their bucket, whether it is salted, their number. Hot pairs are added up over their buckets."""
+    """COUNTED: all pairs (o = 2) and triples (o = 3) that occur at least LEAST times: the hash of pairs, those of the two that
+    they are made of, their bucket, whether it is salted, their number n, and the number `of` of the context and `rn` of the
+    second word, where the bucket knows it. A hot pair has a row for each of its buckets."""
     held = training.sparkSession.sparkContext.broadcast(lexicon)
 
     def emit(batches):
@@ -261,31 +278,29 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
         def settle():
             if not parts:
                 return
-            pair, after, l, r, hot, ends, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            pair, after, l, r, hot, ends, n, of, rn = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
-            i, total = summed(pair, n, 1)
+            i, total, of_pair = summed(pair, n)
             keep = hot[i] | (total >= LEAST)
             i, total = i[keep], total[keep]
-            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total)
-            pair, after, n, hot = pair[~ends], after[~ends], n[~ends], hot[~ends]
-            triple = joined(pair, after, 3)
-            i, total = summed(triple, n, LEAST)
-            yield from _counted(3, triple[i], pair[i], after[i], at, hot[i], total)
+            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total, of[i], rn[i])
+            pair, after, n, hot, of_pair = pair[~ends], after[~ends], n[~ends], hot[~ends], np.where(hot, -1, of_pair)[~ends]
+            i, total, _ = summed(joined(pair, after, 3), n)
+            keep = total >= LEAST
+            i, total = i[keep], total[keep]
+            yield from _counted(3, None, pair[i], after[i], at, hot[i], total, of_pair[i], np.full(len(i), -1))
 
         for p, _, block in _blocks(batches):
             if p != at:
                 yield from settle()
                 at = p
             a, b, pair, after, ends, times, _, hashes = opened(block, lex)
-            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times))
+            known = lambda c: np.where(c < lex.size, lex.counts[np.minimum(c, lex.size - 1)], -1)
+            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times, known(a), known(b)))
         yield from settle()
 
     blocks = training.select("text").mapInArrow(emit, "p int, block binary").withColumn("kind", F.lit(0))
-    got = sorted_buckets(blocks, lexicon.buckets).mapInArrow(count, "o int, k long, l long, r long, p int, hot boolean, n long")
-    got = written(got)
-    salted = (F.col("o") == 2) & F.col("hot")
-    hot = got.where(salted).groupBy("o", "k", "l", "r", "hot").agg(F.min("p").alias("p"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return got.where(~salted).unionByName(hot)
+    return sorted_buckets(blocks, lexicon.buckets).mapInArrow(count, COUNTED)
 
 
 def sorted_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -298,38 +313,99 @@ def _dealt(blocks: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["p", "block"])
 
 
-def _counted(o: int, k, l, r, p, hot, n):
-    for i in range(0, len(k), 100_000):
+def _counted(o: int, k, l, r, p, hot, n, of, rn):
+    """Batches of COUNTED; -1 is unknown."""
+    for i in range(0, len(l), 100_000):
         j = slice(i, i + 100_000)
-        size = len(k[j])
-        columns = [pa.array(np.full(size, o, np.int32)), *(pa.array(x[j].view(np.int64)) for x in (k, l, r)), pa.array(np.full(size, p, np.int32)), pa.array(hot[j]), pa.array(n[j].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["o", "k", "l", "r", "p", "hot", "n"])
+        size = len(l[j])
+        number = lambda x: pa.array(x[j].astype(np.int64), mask=x[j] < 0)
+        columns = [pa.array(np.full(size, o, np.int32)), pa.nulls(size, pa.int64()) if k is None else pa.array(k[j].view(np.int64)), *(pa.array(x[j].view(np.int64)) for x in (l, r))]
+        columns += [pa.array(np.full(size, p, np.int32)), pa.array(hot[j]), pa.array(n[j].astype(np.int64)), number(of), number(rn)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COUNTED.split(", ")])
 
 
-def gains(counts: DataFrame, grams: DataFrame, scale: float, often: float) -> tuple[DataFrame, DataFrame]:
-    """Words (k, n, bow), and pairs and triples (k, l, r, o, p, hot, n, v, bow): v is what each occurrence adds to the log10 score of its
-    text, beyond what the parts that it is made of add; bow is the log10 backoff weight as a context. l and r are given from `often` occurrences on.
+def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon) -> tuple[DataFrame, list[DataFrame]]:
+    """Words (k, n, bow), and tables of pairs and of triples: blocks (p, kind, block) of hashes and gains, and rows
+    (k, l, r, o, n, bow) of those that are frequent. A gain is what each occurrence adds to the log10 score of its text,
+    beyond what the parts that it is made of add; bow is the log10 backoff weight as a context. grams, written by o, are discarded.
 
     A triple stands in place of its pair's lower probability times the weight of its context, and a pair in place of
-    its word's. Each occurrence of a word or pair, but for the last, is a context, and the last is none in training either."""
-    word = counts.select(F.xxhash64("word").alias("k"), "n", ((F.col("n") + ADD) / scale).alias("p1"))
-    weight = F.log10(F.greatest(1 - F.sum("q"), F.lit(1e-9)) / F.greatest(1 - F.sum("below"), F.lit(1e-9))).alias("bow")
-    gain = F.log10("q") - F.log10("below") - F.col("bow")
-    lower, owns, weights = word, [], []
-    for o in range(2, ORDER + 1):
-        left, right = lower.select(F.col("k").alias("l"), F.col("n").alias("of")), lower.select(F.col("k").alias("r"), F.col("p1").alias("below"))
-        own = grams.where(F.col("o") == o).join(left, "l").join(right, "r")
-        owns.append(written(own.select("k", "l", "r", "o", "p", "hot", "n", ((F.col("n") - DISCOUNT) / F.col("of")).alias("q"), "below")))
-        weights.append(written(owns[-1].groupBy("l").agg(weight)))
-        lower = owns[-1].select("k", "n", F.col("q").alias("p1"))
-    words = written(word.select("k", "n").join(weights[0].withColumnRenamed("l", "k"), "k", "left"))
-    own_weight = weights[1].select(F.col("l").alias("k"), F.col("bow").alias("own"))
-    pairs = owns[0].join(weights[0], "l").join(own_weight, "k", "left").withColumn("own", F.coalesce("own", F.lit(0.0))).withColumn("v", gain + F.col("own"))
-    triples = owns[1].join(weights[1], "l").withColumn("own", F.lit(0.0)).withColumn("v", gain)
-    shown = [F.when(F.col("n") >= often, F.col(c)).alias(c) for c in ("l", "r")]
-    out = written(pairs.unionByName(triples).select("k", *shown, "o", "p", "hot", "n", "v", F.col("own").alias("bow")))
-    discard(*owns, *weights)
-    return words, out
+    its word's. Each occurrence of a word or pair, but for the last, is a context, and the last is none in training either.
+    Tables hold counts, which take less room than probabilities."""
+    scale, often = n + ADD * (v + 1), max(LEAST, n * GRAM_SHARE)
+    word = counts.select(F.xxhash64("word").alias("k"), "n")
+    salted = (F.col("o") == 2) & F.col("hot")
+    hot = grams.where(salted).groupBy("k", "l", "r", "hot").agg(F.min("p").alias("p"), F.sum("n").alias("n"), F.any_value("of").alias("of"), F.any_value("rn").alias("rn")).where(F.col("n") >= LEAST)
+    pairs = grams.where(~F.col("hot") & (F.col("o") == 2)).drop("o").unionByName(hot)
+    triples = grams.where(F.col("o") == 3).drop("o", "k", "rn")
+    q = (F.col("n") - DISCOUNT) / F.col("of")
+    below = {2: (F.col("rn") + ADD) / scale, 3: (F.col("rn") - DISCOUNT) / F.col("rof")}
+    weight = lambda o: F.log10(F.greatest(1 - F.sum(q), F.lit(1e-9)) / F.greatest(1 - F.sum(below[o]), F.lit(1e-9))).alias("bow")
+    gain = lambda o: F.log10(q) - F.log10(below[o]) - F.col("bow")
+    shown = F.when(F.col("n") >= often, F.col("r")).alias("r")
+    held = counts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def blocks(o: int):
+        def run(batches):
+            buckets, parts, length = held.value.buckets, [], 0
+
+            def pack():
+                p, k, gains = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.clear()
+                order = np.lexsort((k.view(np.uint64), p))
+                p, k, gains = p[order], k[order], gains[order]
+                cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
+                out = [(int(p[x]), GRAMS, packed([], [k[x:y].view(np.uint64), gains[x:y].view(np.uint64)])) for x, y in zip(cuts, cuts[1:])]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(out), t) for t in (pa.int64(),) * 5), pa.nulls(len(out), pa.float64())], _MODEL)
+
+            for b in batches:
+                if o == 3:
+                    hashes = joined(*(b.column(c).to_numpy().view(np.uint64) for c in ("l", "r")), 3).view(np.int64)
+                    b = b.set_column(b.schema.get_field_index("k"), "k", pa.array(hashes))
+                often_ = b.filter(pc.greater_equal(b.column("n"), often))
+                if often_.num_rows:
+                    none = [pa.nulls(often_.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*none, *(often_.column(c) for c in ("k", "l", "r")), pa.array(np.full(often_.num_rows, o, np.int64)), often_.column("n"), often_.column("own")], _MODEL)
+                k, p, gains = (b.column(c).to_numpy() for c in ("k", "p", "v"))
+                salted = b.column("hot").to_numpy(zero_copy_only=False) & (o == 2)
+                if salted.any():
+                    # A hot pair's gain lies in each bucket that one of its records may fall in.
+                    at = np.flatnonzero(salted)
+                    spread = (mixed(k[at].view(np.uint64)[:, None] + np.arange(1, SALTS + 1, dtype=np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
+                    once = np.unique(np.stack([np.repeat(at, SALTS), spread.reshape(-1)]), axis=1)
+                    parts.append((once[1].astype(np.int32), k[once[0]], gains[once[0]]))
+                parts.append((p[~salted], k[~salted], gains[~salted]))
+                length += b.num_rows + len(parts[-1][0])
+                if length > 500_000:
+                    yield pack()
+                    length = 0
+            if sum(len(x[0]) for x in parts):
+                yield pack()
+
+        return run
+
+    shape = "p int, kind int, block binary, k long, l long, r long, o long, n long, bow double"
+    left = lambda t: t.select(F.col("k").alias("l"), F.col("n").alias("of"))
+    # Buckets know the numbers of common words and of their own pairs; only the others are joined.
+    known = F.col("of").isNotNull() & F.col("rn").isNotNull()
+    other = pairs.where(~known).drop("of", "rn").join(left(word), "l").join(word.select(F.col("k").alias("r"), F.col("n").alias("rn")), "r")
+    other = written(other)
+    own2 = pairs.where(known).unionByName(other).withColumn("r", shown)
+    weights2 = written(own2.groupBy("l").agg(weight(2)))
+    of_hot = triples.where(F.col("of").isNull()).drop("of").join(left(hot), "l")
+    own3 = triples.where(F.col("of").isNotNull()).unionByName(of_hot).join(own2.select(F.col("k").alias("r"), F.col("n").alias("rn"), F.col("of").alias("rof")), "r")
+    own3 = written(own3)
+    discard(grams, part="o=3")
+    weights3 = written(own3.groupBy("l").agg(weight(3)))
+    words = written(word.join(weights2.withColumnRenamed("l", "k"), "k", "left"))
+    joined3 = own3.join(weights3, "l").select(F.lit(None).cast("long").alias("k"), "l", "r", "p", "hot", "n", F.lit(0.0).alias("own"), gain(3).alias("v"))
+    table3 = written(joined3.mapInArrow(blocks(3), shape))
+    discard(own3)
+    joined2 = own2.join(weights2, "l").join(weights3.select(F.col("l").alias("k"), F.col("bow").alias("own")), "k", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    table2 = written(joined2.select("k", "l", "r", "p", "hot", "n", "own", (gain(2) + F.col("own")).alias("v")).mapInArrow(blocks(2), shape))
+    discard(grams, other, weights2, weights3)
+    return words, [table2, table3]
 
 
 @dataclass
@@ -340,8 +416,9 @@ class Automaton:
     arcs: dict[int, tuple[float, int]]  # log10 probability, next state
     backoff: list[float]  # log10, by state
     shorter: list[int]  # failure arcs
-    counts: dict[bytes, float]  # log10 probabilities of the words that every worker knows
-    beside: dict[bytes, float]  # of those that are no tokens: what they add beside REST's arc
+    token: np.ndarray  # by code of the lexicon: the token, or REST
+    logs: np.ndarray  # by code: log10 probabilities of the words that every worker knows
+    beside: np.ndarray  # by code: of those that are no tokens, what they add beside REST's arc
     log_rest: float  # of REST's whole mass
     unseen: float  # log10 probability of a word that isn't in training
     scale: float  # N + ADD * (V + 1)
@@ -362,7 +439,7 @@ class Automaton:
         return total
 
 
-def compile_automaton(known: dict[bytes, int], weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
+def compile_automaton(known: dict[bytes, int], lexicon: Lexicon, weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
     """known: counts of the words that every worker knows. weights: their backoff weights. grams: from pairs on, keys, counts
     and backoff weights, each key a context's place times size plus a token. Weights are those of the whole model, log10."""
     scale = n + ADD * (v + 1)
@@ -396,9 +473,11 @@ def compile_automaton(known: dict[bytes, int], weights: dict[bytes, float], gram
             states[k] = to
         arcs |= fresh
         state_of, count = states, counts.astype(float)
-    counts, log_rest = {w: float(np.log10((c + ADD) / scale)) for w, c in known.items()}, float(np.log10(mass[REST]))
-    beside = {w: x - log_rest + weights.get(w, 0.0) for w, x in counts.items() if w not in tokens}
-    return Automaton(tokens, arcs, backoff, shorter, counts, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
+    log_rest = float(np.log10(mass[REST]))
+    token = np.array([tokens.get(w, REST) for w in lexicon.codes], np.int64)
+    logs = np.log10((np.array([known.get(w, 0) for w in lexicon.codes]) + ADD) / scale)
+    beside = np.where(token == REST, logs - log_rest + np.array([weights.get(w, 0.0) for w in lexicon.codes]), 0.0)
+    return Automaton(tokens, arcs, backoff, shorter, token, logs, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
 
 
 def token_ids(known: dict[bytes, int], least: float) -> dict[bytes, int]:
@@ -406,128 +485,13 @@ def token_ids(known: dict[bytes, int], least: float) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(words, 1)} | {END: len(words) + 1}
 
 
-@dataclass
-class Fitted:
-    automaton: Automaton
-    counts: DataFrame  # (word, n) of all words of the training texts
-    arcs: np.ndarray  # sorted hashes of what the automaton holds: tokens, pairs and triples
-    rest: DataFrame  # (k, v) of all that it doesn't hold
-
-
-def fit(documents: DataFrame) -> Fitted:
-    """Learn from all rows outside the held-out fold; a null text is empty, a null doc_id counts as training."""
-    training = documents.where(F.coalesce(~held_out(), F.lit(True)))
-    counts = written(word_counts(training))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = {bytes(r.word): r.n for r in counts.where((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("word") == F.lit(END))).collect()}
-    least = max(2, n * CLASS_SHARE)
-    table = gains(counts, written(gram_counts(training)), n + ADD * (v + 1))
-    hashes = Hashes()
-    tokens = token_ids(known, least)
-    code = {np.uint64(hashes[w]).astype(np.int64).item(): (i, w) for w, i in tokens.items()}
-    # What has a share of all tokens comes to the driver: at most 1 / GRAM_SHARE of each order.
-    end = np.uint64(hashes[END]).astype(np.int64).item()
-    often = table.where(((F.col("o") == 1) & ((F.col("n") >= least) | (F.col("k") == end))) | ((F.col("o") > 1) & (F.col("n") >= max(LEAST, n * GRAM_SHARE)))).toPandas()
-    ones = often[(often["o"] == 1) & often["k"].isin(list(code))]
-    weights = {code[k][1]: b for k, b in zip(ones["k"].tolist(), ones["bow"].tolist(), strict=True)}
-    held, grams = [np.array(list(code), np.int64)], []
-    places = {k: i for k, (i, _) in code.items()}  # of contexts, by hash
-    last = {k: i for k, (i, _) in code.items()}  # the last token of each
-    for o in range(2, ORDER + 1):
-        g = often[(often["o"] == o) & often["l"].isin(list(places)) & often["r"].isin(list(places))]
-        ends = g["r"].map(last).to_numpy(np.int64)
-        grams.append((g["l"].map(places).to_numpy(np.int64) * (len(tokens) + 1) + ends, g["n"].to_numpy(np.int64), g["bow"].to_numpy(float)))
-        held.append(g["k"].to_numpy(np.int64))
-        places = {k: i for i, k in enumerate(g["k"].tolist())}
-        last = dict(zip(g["k"].tolist(), ends.tolist(), strict=True))
-    arcs = np.sort(np.concatenate(held))
-    inside = documents.sparkSession.createDataFrame(pa.table({"k": pa.array(arcs)}))
-    return Fitted(compile_automaton(known, weights, grams, n, v, least), counts, arcs, table.select("k", "v").join(F.broadcast(inside), "k", "left_anti"))
-
-
-def scored(documents: DataFrame, model: Fitted) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
-
-    A null or empty text is END alone. Repeated rows get equal scores: what the join adds is by doc_id and row. A null
-    doc_id is training. With an empty table there are no rows; with no training rows every count is 0."""
-    held = documents.sparkSession.sparkContext.broadcast(model.automaton)
-
-    def texts(batches):
-        m = held.value
-        for b in batches:
-            ids = [b.column("doc_id"), b.column("row")]
-            out = []
-            for t in b.column("text").to_pylist():
-                words = low_words(t)
-                ids_of = list(map(m.tokens.get, words))
-                own = [i or REST for i in ids_of]
-                logs = list(map(m.counts.get, words))
-                rare = Counter([w for w, x in zip(words, logs, strict=True) if x is None])
-                end = m.counts.get(END, m.unseen)
-                base = sum([x for x in logs if x is not None]) + end
-                # A known word that is no token of the automaton: its share of REST's mass.
-                score = m.score([*own, m.tokens[END]]) + sum([x - m.log_rest for x, i in zip(logs, ids_of, strict=True) if i is None and x is not None])
-                out.append((len(words) + 1, len(words) + (END in m.counts) - sum(rare.values()), base, score, list(rare), list(rare.values())))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "times"])
-
-    inside = documents.sparkSession.sparkContext.broadcast(model.arcs)
-
-    def outside(batches):
-        """(row, k, times) of the words, pairs and triples that the automaton doesn't hold."""
-        known, hashes = inside.value, Hashes()
-        for b in batches:
-            at, keys, times = [], [], []
-            for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                first, *more = hashes.grams(low_words(t))
-                k, n = np.unique(np.concatenate([first[:-1], *more]).view(np.int64), return_counts=True)
-                if len(known):
-                    new = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] != k
-                    k, n = k[new], n[new]
-                at.append(np.full(len(k), row, np.int64))
-                keys.append(k)
-                times.append(n.astype(np.int32))
-            if at:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (at, keys, times)], ["row", "k", "times"])
-
-    read = written(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    rows = written(read.mapInArrow(texts, "doc_id long, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"))
-    more = read.select("row", "text").mapInArrow(outside, "row long, k long, times int").join(model.rest, "k")
-    more = more.groupBy("row").agg(F.sum(F.col("v") * F.col("times")).alias("more"))
-    a = model.automaton
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    tail = model.counts.where(F.col("n") < max(2, a.n * WORD_SHARE)).withColumnRenamed("n", "c")
-    met = rare.join(tail, "word", "left").select("row", "times", "c")
-    log = F.log10((F.coalesce("c", F.lit(0)) + ADD) / a.scale) * F.col("times")
-    sums = met.groupBy("row").agg(F.sum(log).alias("log"), F.sum("times").alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    out = rows.drop("rare", "times").join(sums, "row", "left").join(more, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        "doc_id",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + zero("tail_known")).alias("n_known"),
-        F.lit(a.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("log")).alias("base_score"),
-        (F.col("score") + zero("log") - zero("tail") * F.lit(a.log_rest) + zero("more")).alias("score"),
-    )
-
-
-def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, fit(docs))
-
-
-QUERIES = {"op8_lm_scores": op8_lm_scores}
-ORACLES: dict[str, str] = {}
 @dataclass
 class Fitted:
     automaton: Automaton
     lexicon: Lexicon
     arcs: np.ndarray  # sorted hashes of the pairs and triples that the automaton holds
     words: DataFrame  # (k, n, bow) of all words of the training texts
-    grams: DataFrame  # (k, p, hot, v, ...) of all pairs and triples of the model
+    grams: list[DataFrame]  # blocks of all pairs and triples of the model
 
 
 def fit(documents: DataFrame) -> Fitted:
@@ -535,31 +499,32 @@ def fit(documents: DataFrame) -> Fitted:
     training = documents.where(F.coalesce(~held_out(), F.lit(True)))
     counts = written(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = {bytes(r.word): r.n for r in counts.where((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("word") == F.lit(END))).collect()}
-    known.setdefault(END, 0)
-    least, often = max(2, n * CLASS_SHARE), max(LEAST, n * GRAM_SHARE)
+    common = counts.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    known = dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True)) | {END: counts.where(F.col("word") == F.lit(END)).select("n").head(1)[0].n if n else 0}
+    least = max(2, n * CLASS_SHARE)
     lexicon = lexicon_of(known, n, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
-    grams = written(gram_counts(training, lexicon))
-    words, table = gains(counts, grams, n + ADD * (v + 1), often)
-    discard(grams, counts)
-    # What has a share of all tokens comes to the driver: at most 1 / WORD_SHARE words and 1 / GRAM_SHARE n-grams of each order.
-    weights = {r.k: r.bow for r in words.where(((F.col("n") >= max(2, n * WORD_SHARE)) | (F.col("k") == F.lit(int(word_hashes([END]).view(np.int64)[0])))) & F.col("bow").isNotNull()).select("k", "bow").collect()}
+    words, tables = gains(counts, written(gram_counts(training, lexicon), by="o"), n, v, lexicon)
+    discard(counts)
     of_word = dict(zip(lexicon.codes, lexicon.hashes.view(np.int64).tolist(), strict=True))
+    # What comes to the driver: backoff weights of known words, and at most 1 / GRAM_SHARE n-grams of each order.
+    asked = documents.sparkSession.createDataFrame(pa.table({"k": pa.array(lexicon.hashes.view(np.int64))}))
+    rows = words.where(F.col("bow").isNotNull()).join(F.broadcast(asked), "k").select("k", "bow").toArrow()
+    weights = dict(zip(rows.column("k").to_pylist(), rows.column("bow").to_pylist(), strict=True))
     tokens = token_ids(known, least)
-    frequent = table.where(F.col("n") >= often).toPandas()
     held, grams = [], []
     places = {of_word[w]: i for w, i in tokens.items()}  # of contexts, by hash
     last = dict(places)  # the last token of each
-    for o in range(2, ORDER + 1):
-        g = frequent[(frequent["o"] == o) & frequent["l"].isin(list(places)) & frequent["r"].isin(list(places))]
+    for t in tables:
+        g = t.where(F.col("block").isNull()).select("k", "l", "r", "n", "bow").toPandas()
+        g = g[g["l"].isin(list(places)) & g["r"].isin(list(places))].sort_values("k")
         ends = g["r"].map(last).to_numpy(np.int64)
         grams.append((g["l"].map(places).to_numpy(np.int64) * (len(tokens) + 1) + ends, g["n"].to_numpy(np.int64), g["bow"].to_numpy(float)))
         held.append(g["k"].to_numpy(np.int64))
         places = {k: i for i, k in enumerate(g["k"].tolist())}
         last = dict(zip(g["k"].tolist(), ends.tolist(), strict=True))
     bows = {w: weights.get(of_word[w], 0.0) for w in known}
-    automaton = compile_automaton(known, bows, grams, n, v, least)
-    return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, table)
+    automaton = compile_automaton(known, lexicon, bows, grams, n, v, least)
+    return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, tables)
 
 
 STATS = (("doc_id", "long"), ("row", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))
@@ -572,15 +537,6 @@ def _met(n: int, blocks: list, stats: list | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(whole, kinds, strict=True)], ["p", "kind", "block", *(n for n, _ in STATS)])
 
 
-def _model_blocks(kind: int, p: np.ndarray, *columns: np.ndarray):
-    order = np.argsort(p, kind="stable")
-    p, columns = p[order], [c[order].view(np.uint64) for c in columns]
-    cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
-    out = [(int(p[x]), kind, packed([], np.concatenate([c[x:y] for c in columns]))) for x, y in zip(cuts, cuts[1:])]
-    if out:
-        yield _met(len(out), blocks=list(zip(*out, strict=True)))
-
-
 def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
 
@@ -589,7 +545,6 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     context = documents.sparkSession.sparkContext
     held, lexicon, arcs = context.broadcast(model.automaton), context.broadcast(model.lexicon), context.broadcast(model.arcs)
     a, buckets = model.automaton, model.lexicon.buckets
-    STAT, GRAMS, WORDS, TRIPLES, RARE = range(5)  # kinds, in the order in which a bucket reads them
 
     def texts(batches):
         m, lex = held.value, lexicon.value
@@ -609,12 +564,13 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                 cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
                 for x, y in zip(cuts, cuts[1:]):
                     first = np.flatnonzero(np.diff(codes[x:y], prepend=-1))
-                    out.append((int(bucket[x]), RARE, base + packed([np.diff(np.append(first, y - x)), rows[x:y]], hashes[codes[x:y][first]])))
+                    out.append((int(bucket[x]), RARE, base + packed([np.diff(np.append(first, y - x)), rows[x:y]], [hashes[codes[x:y][first]]])))
                 rare.clear()
                 del rare_codes[:], rare_rows[:]
             return _met(len(out), blocks=list(zip(*out, strict=True)))
 
-        counts, ends = m.counts, m.counts[END]
+        get, end, size = lex.codes.get, lex.codes[END], lex.size
+        log_end = float(m.logs[end])
         for b in batches:
             out = []
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -624,52 +580,50 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                         yield pack()
                         begin = row
                     records.add(part, row - begin)
-                ids = list(map(m.tokens.get, words))
-                logs = [x for x in map(counts.get, words) if x is not None]
-                if len(logs) < len(words):
-                    for w in words:
-                        if w not in counts:
-                            rare_codes.append(rare.setdefault(w, len(rare)))
-                            rare_rows.append(row - begin)
-                score = m.score([*(i or REST for i in ids), m.tokens[END]])
-                if None in ids:
-                    score += sum([m.beside.get(w, 0.0) for w, i in zip(words, ids, strict=True) if i is None])
-                out.append((row % buckets, STAT, None, doc_id, task + row, len(words) + 1, len(logs) + (ends > m.unseen), sum(logs) + ends, score))
+                codes = np.fromiter(map(get, words, repeat(size)), np.int64, len(words))
+                known = codes[codes < size]
+                if len(known) < len(words):
+                    new = [rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(codes == size).tolist()]
+                    rare_codes.extend(new)
+                    rare_rows.extend([row - begin] * len(new))
+                    ids = np.where(codes < size, m.token[np.minimum(codes, size - 1)], REST)
+                else:
+                    ids = m.token[codes]
+                score = m.score([*ids.tolist(), m.tokens[END]]) + float(m.beside[known].sum())
+                out.append((row % buckets, STAT, None, doc_id, task + row, len(words) + 1, len(known) + (log_end > m.unseen), float(m.logs[known].sum()) + log_end, score))
                 row += 1
             if out:
                 columns = list(zip(*out, strict=True))
                 yield _met(len(out), blocks=columns[:3], stats=columns[3:])
         yield pack()
 
-    def models(batches):
-        """Blocks (hash, v) of the pairs and triples that the automaton doesn't hold."""
-        inside = arcs.value
-        for b in batches:
-            k, v, p = (b.column(c).to_numpy() for c in ("k", "v", "p"))
-            k = k.view(np.uint64)
-            salted = b.column("hot").to_numpy(zero_copy_only=False) & (b.column("o").to_numpy() == 2)
-            out = ~np.isin(k, inside)
-            salts = np.arange(1, SALTS + 1, dtype=np.uint64)
-            spread = (mixed(k[out & salted][:, None] + salts, 3) % np.uint64(buckets)).astype(np.int32)
-            once = np.unique(np.stack([np.repeat(np.flatnonzero(out & salted), SALTS), spread.reshape(-1).astype(np.int64)]), axis=1) if spread.size else np.zeros((2, 0), np.int64)
-            at, p = np.concatenate([np.flatnonzero(out & ~salted), once[0]]), np.concatenate([p[out & ~salted], once[1].astype(np.int32)])
-            yield from _model_blocks(GRAMS, p, k[at], v[at])
-
-    def words_model(batches):
+    def tail(batches):
+        """Blocks (hash, log10 probability, gain) of the words that workers don't know."""
+        inside = np.sort(lexicon.value.hashes)
         for b in batches:
             k = b.column("k").to_numpy().view(np.uint64)
-            yield from _model_blocks(WORDS, (mixed(k, 3) % np.uint64(buckets)).astype(np.int32), k, b.column("base").to_numpy(), b.column("v").to_numpy())
+            out = inside[np.minimum(np.searchsorted(inside, k), len(inside) - 1)] != k
+            k, log, v = k[out], b.column("base").to_numpy()[out], b.column("v").to_numpy()[out]
+            p = (mixed(k, 3) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((k, p))
+            p, columns = p[order], [x[order].view(np.uint64) for x in (k, log, v)]
+            cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
+            found = [(int(p[x]), TAIL, packed([], [c[x:y] for c in columns])) for x, y in zip(cuts, cuts[1:])]
+            if found:
+                yield _met(len(found), blocks=list(zip(*found, strict=True)))
 
     def meet(batches):
         lex, unseen, log_rest = lexicon.value, held.value.unseen, held.value.log_rest
-        at, kept = None, {GRAMS: [], WORDS: []}
+        at, kept, inside = None, {GRAMS: [], TAIL: []}, arcs.value
 
         def table_of(kind, columns):
-            """Sorted hashes and what belongs to them."""
+            """Sorted hashes and what belongs to them. The automaton has the gains of what it holds."""
             if isinstance(kept[kind], list):
-                parts = [unpacked(x)[1].reshape(columns, -1) for x in kept[kind]]
-                x = np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), np.uint64)
+                parts = [unpacked(x)[1] for x in kept[kind]]
+                x = [np.concatenate([part[c] for part in parts]) if parts else np.zeros(0, np.uint64) for c in range(columns)]
                 order = np.argsort(x[0])
+                if kind == GRAMS:
+                    order = order[~found(x[0][order], inside)[1]]
                 kept[kind] = (x[0][order], *(y.view(np.float64)[order] for y in x[1:]))
             return kept[kind]
 
@@ -692,7 +646,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             b = b.filter(pc.not_equal(b.column("kind"), STAT))
             for p, kind, block in _blocks([b]):
                 if p != at:
-                    at, kept = p, {GRAMS: [], WORDS: []}
+                    at, kept = p, {GRAMS: [], TAIL: []}
                 if kind in kept:
                     kept[kind].append(block)
                     continue
@@ -705,8 +659,8 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                     of = np.flatnonzero(sums[0])
                     extra = [np.zeros(len(of), np.int64), np.zeros(len(of)), sums[0][of]]
                 else:
-                    (times, rows), hashes = unpacked(block[8:])
-                    model, log, v = table_of(WORDS, 3)
+                    (times, rows), (hashes,) = unpacked(block[8:])
+                    model, log, v = table_of(TAIL, 3)
                     i, hit = found(hashes, model)
                     base_add, add = np.full(len(hashes), unseen), np.full(len(hashes), unseen - log_rest)
                     base_add[hit], add[hit] = log[i[hit]], v[i[hit]]
@@ -717,10 +671,12 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([none, pa.array(base + of), pa.array(np.zeros(len(of), np.int64)), *map(pa.array, extra)], [n for n, _ in STATS])
 
     shape = "p int, kind int, block binary, " + ", ".join(f"{n} {k}" for n, k in STATS)
-    base = F.log10((F.col("n") + ADD) / a.scale)
-    tail = model.words.where(F.col("n") < max(2, a.n * WORD_SHARE)).select("k", base.alias("base"), (base - a.log_rest + F.coalesce("bow", F.lit(0.0))).alias("v"))
-    blocks = documents.select("doc_id", "text").mapInArrow(texts, shape)
-    blocks = blocks.union(model.grams.select("k", "p", "o", "hot", "v").mapInArrow(models, shape)).union(tail.mapInArrow(words_model, shape))
+    log = F.log10((F.col("n") + ADD) / a.scale)
+    rare_words = model.words.select("k", log.alias("base"), (log - a.log_rest + F.coalesce("bow", F.lit(0.0))).alias("v"))
+    none = [F.lit(None).cast(k).alias(n) for n, k in STATS]
+    blocks = documents.select("doc_id", "text").mapInArrow(texts, shape).union(rare_words.mapInArrow(tail, shape))
+    for t in model.grams:
+        blocks = blocks.union(t.where(F.col("block").isNotNull()).select("p", "kind", "block", *none))
     sums = [F.max("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n, _ in STATS[2:])]
     out = sorted_buckets(blocks, buckets).mapInArrow(meet, ", ".join(f"{n} {k}" for n, k in STATS)).groupBy("row").agg(*sums)
     return out.select(
