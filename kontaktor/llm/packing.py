@@ -30,6 +30,7 @@ from .common import Codes, byte_symbols, table, words, written
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+CHUNKS = 300_000  # chunks whose ids a worker keeps
 SPREAD, RATE = 0.02, 4.0  # how far weights move a price from proportion to length, how fast a covered length loses weight
 SLACK = 0.05  # patterns with a larger gap are left to best fit
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
@@ -66,22 +67,40 @@ class Encoder:
         if suffix and merged == sorted(merged) and max(ends) < merged[0]:
             of = lambda s: bytes(symbols[c] for c in s.removesuffix(suffix)) + (self.END if s.endswith(suffix) else b"")
             ranks = {of(s): i for s, i in vocab.items()}
-            self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-            self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
-        self.chunks, self.known = Codes(), Codes()
+            self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split") + "|\n").findall
+        self.chunks, self.known = Codes(CHUNKS), Codes()
         self.packed: list[bytes] = []
         self.of_known: list[bytes] = []
 
     def _new(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        plain = [bool(self.words and self.PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        split = [list(map(self.known.__getitem__, self.words(t.lower()))) if p else [] for t, p in zip(texts, plain, strict=True)]
-        merge, end = self.merge if self.words else None, self.END
-        self.of_known += [array("I", merge(w.encode() + end)).tobytes() for w in self.known.take()]
-        other = [t for t, p in zip(texts, plain, strict=True) if not p]
-        ids = iter([np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(other, add_special_tokens=False)] if other else [])
-        of = self.of_known
-        return [(of[k[0]] if len(k) == 1 else b"".join([of[x] for x in k])) if p else next(ids) for k, p in zip(split, plain, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        other = list(range(len(texts)))
+        if self.words:
+            whole = "\n".join(texts)
+            special = [s for s in self.special if s in whole]
+            plain = [i for i, m in enumerate(map(self.PLAIN.fullmatch, texts)) if m]
+            if special:
+                plain = [i for i in plain if not any(s in texts[i] for s in special)]
+            if len(plain) < len(texts):
+                whole = "\n".join([texts[i] for i in plain])
+            # All chunks are cut at once; a line feed stands after each and is a word of its own.
+            codes = list(map(self.known.__getitem__, self.words((whole + "\n").lower()))) if plain else []
+            merge, end = self.merge, self.END
+            self.of_known += [array("I", merge(w.encode() + end)).tobytes() if w != "\n" else b"" for w in self.known.take()]
+            of, at = self.of_known, 0
+            line = self.known["\n"] if plain else -1
+            for i in plain:
+                to = codes.index(line, at)
+                out[i] = of[codes[at]] if to == at + 1 else b"".join([of[x] for x in codes[at:to]])
+                at = to + 1
+            other = sorted(set(other).difference(plain))
+        if other:
+            ids = self.model.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
+            for i, e in zip(other, ids, strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if self.chunks.full():
