@@ -1,5 +1,8 @@
 """Operators over embeddings and conversations, and the pipeline, against brute-force versions."""
 
+import itertools
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,6 +110,71 @@ def test_chat_of_nulls_repeats_and_nothing(spark):
     assert chat.formatted(rows.limit(0)).count() == 0
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    model = chat.estimated({(1, i, j): int(rng.integers(1, 50)) for i in range(chat.N) for j in range(chat.N)})
+    for model in (model, chat.HAND):
+        sizes = np.array([1, 4, 3, 2])
+        emissions = rng.normal(size=(sizes.sum(), chat.N)) * 3
+        enter, leave = np.array([-1, -1, 2, -1]), np.array([-1, -1, -1, 5])
+        got = chat.viterbi_of_all(emissions, sizes, model, enter, leave)
+        for k, own in enumerate(np.split(np.arange(sizes.sum()), np.cumsum(sizes)[:-1])):
+            def score(path, own=own, k=k):
+                if (enter[k] >= 0 and path[0] != enter[k]) or (leave[k] >= 0 and path[-1] != leave[k]):
+                    return -np.inf
+                first = 0.0 if enter[k] >= 0 else model.start[path[0]]
+                return first + emissions[own, list(path)].sum() + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+
+            best = max(map(score, itertools.product(range(chat.N), repeat=len(own))))
+            assert score(tuple(got[own])) == pytest.approx(best)
+
+
+def test_hidden_roles_of_the_held_out_fold_are_recovered(spark):
+    got = chat.op3_chat(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    true = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").toPandas()
+    got = got.merge(true, on=["conv_id", "turn"], suffixes=("", "_true"))
+    assert len(got) > 50 and (got.role == got.role_true).mean() > 0.93
+
+
+@pytest.mark.parametrize("style", [1, 2, 3, 4, 5])
+def test_transcripts_of_every_style_are_parsed(spark, style):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = chat.fit(chat.dealt(rows))
+    true = {c: own for c, own in rows.toPandas().sort_values("turn").groupby("conv_id") if zlib.crc32(str(c).encode()) % 5 == 0}
+    blobs = [(int(c), 0, None, "\n".join(chat.shown(t, r, style) for t, r in zip(own.text, own.role, strict=True))) for c, own in true.items()]
+    df = spark.createDataFrame(blobs, "conv_id long, turn long, role string, text string")
+    got = chat.formatted(df, model=model, with_roles=False).toPandas().sort_values("piece")
+    right = [list(own.role) == list(true[c].role) for c, own in got.groupby("conv_id")]
+    assert np.mean(right) > 0.95
+
+
+def test_counts_are_those_of_one_pass(spark):
+    """Whatever the parts, starts and steps are counted as over whole conversations."""
+    rng = np.random.default_rng(5)
+    rows = [(c, t, str(rng.choice(["user", "assistant", "tool"])), str(rng.choice(["a", "b\nc", "d?\n\ne"]))) for c in range(1, 12) for t in range(int(rng.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    models = [chat.fit(chat.dealt(df, pieces)) for pieces in (1, 7)]
+    for a, b in zip((models[0].start, models[0].step, *models[0].tables), (models[1].start, models[1].step, *models[1].tables), strict=True):
+        np.testing.assert_allclose(a, b)
+    first = {}
+    for c, t, role, _ in rows:
+        if zlib.crc32(str(c).encode()) % 5:
+            first.setdefault(c, role)
+    n = sum(r == "user" for r in first.values())
+    assert np.exp(models[0].start[2]) == pytest.approx((n + 0.5) / (len(first) + 0.5 * chat.N))
+
+
+def test_chat_of_very_long_texts_and_clashing_columns(spark):
+    long = "\n".join(["Human: why?", *(f"line {i}" for i in range(20_000))])
+    rows = spark.createDataFrame([(1, 0, None, long), (1, 1, None, "Assistant: so"), (2, 0, "tool", None)], "conv_id long, turn long, role string, text string")
+    rows = rows.selectExpr("*", "1 AS part", "'x' AS copies", "2 AS piece", "3 AS enter", "4 AS leave", "'y' AS rendered")
+    for pieces in (1, 3):
+        got = {(r.conv_id, r.turn): r for r in chat.formatted(rows, pieces=pieces).collect()}
+        assert len(got) == 3 and got[1, 0].role == "user" and got[1, 0].rendered.count("\n") == 20_002
+        assert got[1, 1].rendered == "<|assistant|>\nso\n<|end|>" and got[2, 0].rendered == "<|tool|>\n\n<|end|>"
+    assert chat.decoded(chat.dealt(rows.limit(0)), chat.fit(chat.dealt(rows.limit(0))), with_roles=False).count() == 0
+
+
 # Registered queries and the pipeline
 
 
