@@ -22,6 +22,10 @@ ENGINE = "api"
 CACHE = "cache_key string, query string, results array<struct<ord:bigint,url:string,title:string,display_url:string,description:string>>"
 
 
+def quiet(line: str) -> None:
+    """Says nothing."""
+
+
 @dataclass
 class Options:
     results: int = 10
@@ -41,7 +45,7 @@ class Options:
     checkpoint_every: int = 0  # pages between partial files; 0: none
     credit_gate: int = fixed.CREDIT_GATE
     confirm: Callable[[int], bool] = field(default=lambda credits: False)  # asked when a batch costs over credit_gate
-    say: Callable[[str], None] = field(default=lambda line: None)
+    say: Callable[[str], None] = quiet
 
 
 def sent(queries: DataFrame, negative: bool = True) -> DataFrame:
@@ -54,6 +58,11 @@ def cost(n_queries: int, results: int) -> int:
     return n_queries * (1 if results <= 10 else 2)
 
 
+def key_of(spark: SparkSession, query: str) -> str:
+    """The name under which a query's progress is remembered."""
+    return spark.range(1).select(query_text.key(F.lit(query), F.lit(ENGINE))).first()[0]
+
+
 def _asked(spark: SparkSession, queries: list[str], options: Options) -> DataFrame:
     """(qord, query_text, query, query_key, num, cache_key): what is typed, what is sent, and under which names it is remembered."""
     typed = spark.createDataFrame(list(enumerate(dict.fromkeys(queries))), "qord long, query_text string")
@@ -155,6 +164,13 @@ def scraped(wanted: DataFrame, transport: fetch.Transport, options: Options, *,
     return found
 
 
+def _told(found: DataFrame, options: Options) -> None:
+    """What became of each page, said line by line if anyone listens."""
+    if options.say is not quiet:
+        for r in found.select("ord", "url", extract.outcome_line(found).alias("line")).orderBy("ord").toLocalIterator():
+            options.say(f"{r.url}: {r.line}")
+
+
 def _rows(found: DataFrame, origins: DataFrame, options: Options) -> DataFrame:
     named = found.join(origins, "url", "left").withColumn("search_query", F.coalesce("search_query", F.lit("")))
     return collapse.companies(named, guess_email=options.guess_email)
@@ -177,9 +193,11 @@ def stage_parse(
             new = scraped(waves.where(F.col("wave") == k), transport, options, robots=robots, renderer=renderer)
             found = new if found is None else found.unionByName(new)
             publish.write_partial(collapse.ordered(_rows(found, origins, options)), output)
+            _told(new, options)
         discard(waves)
     else:
         found = scraped(wanted, transport, options, robots=robots, renderer=renderer)
+        _told(found, options)
     if state is not None:
         n = F.size("emails") + F.size("whatsapp") + F.size("phones")
         state.record_scraped(found.select("url", scrape_status(F.col("error")).alias("status"), n.alias("contacts_found")))

@@ -165,3 +165,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["expand", str(config)], spark) == 0
     assert capsys.readouterr().out.split("\n")[:2] == ["hotel Bali email", "hotel Solo email"]
     assert cli.main(["progress", str(tmp_path / "s")], spark) == 0
+
+
+def test_run_from_queries_to_rows(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("SEARCH_API_KEY", "k")
+    (tmp_path / "block").write_text("agg.example\n")
+    (tmp_path / "queries").write_text("toko\n# no\nhotel\n")
+    out, state = tmp_path / "out.csv", str(tmp_path / "state")
+    common = ["--batch", "--blocklist", str(tmp_path / "block"), "--state", state, "--scrape-delay", "0", "-o", str(out)]
+    args = ["run", str(tmp_path / "queries"), *common, "--save-urls", str(tmp_path / "urls.csv"), "--save-yield", str(tmp_path / "yield.csv")]
+    assert cli.main(args, spark, post=post, transport=transport_of(dict(SITE))) == 0
+    said = capsys.readouterr().out
+    assert "https://toko.example/: emails=1 whatsapp=0 phone=0 (via /kontak)" in said and "https://c.example/: skipped (HTTPError: 404)" in said and "credits used: 2" in said
+    assert publish.count_rows(out) == 3 and "cs@toko.example" in out.read_text(encoding="utf-8-sig") and not publish.partials(out)
+    assert publish.count_rows(tmp_path / "urls.csv") == 3 and "toko,1,1,1" in (tmp_path / "yield.csv").read_text(encoding="utf-8-sig")
+    assert cli.main(["run", str(tmp_path / "queries"), *common, "--dry-run"], spark, post=post, transport=transport_of({})) == 0
+    assert capsys.readouterr().out.split()[-3:] == ["https://toko.example/", "https://b.example/", "https://c.example/"]
+    assert cli.main(["run", str(tmp_path / "queries"), *common, "--skip-scraped", "--checkpoint-every", "0"], spark, post=post, transport=transport_of({})) == 0
+    assert publish.count_rows(out) == 1  # only the page that failed is asked again
+    assert cli.main(["run", str(tmp_path / "queries"), *common, "--continue", "--restart", "--dry-run"], spark, post=post, transport=transport_of({})) == 0
+    (tmp_path / "list").write_text("https://b.example/\n")
+    assert cli.main(["run", str(tmp_path / "list"), "--skip-search", "--scrape-delay", "0", "-o", str(tmp_path / "b.csv"), "--high-confidence-only"], spark, transport=transport_of(dict(SITE))) == 0
+    assert "+6281200000001" in (tmp_path / "b.csv").read_text(encoding="utf-8-sig")
+    with pytest.raises(SystemExit):
+        cli.main(["run", "q", "--continue"], spark, post=post)
+    with pytest.raises(SystemExit):
+        cli.main(["run", "q", "--render"], spark, post=post)
