@@ -95,6 +95,7 @@ class Lexicon:
     counts: np.ndarray  # by code, in training
     hot: int  # codes from 1 to hot have HOT_SHARE
     buckets: int
+    fold: int  # records that a task sorts and packs at once
 
     @property
     def size(self) -> int:
@@ -116,7 +117,7 @@ _MODEL = ["p", "kind", "block", "k", "l", "r", "o", "n", "bow"]
 def lexicon_of(known: dict[bytes, int], n: int, buckets: int) -> Lexicon:
     words = sorted(known, key=lambda w: (-known[w], w))
     codes = {w: i for i, w in enumerate([NONE, *words])}
-    return Lexicon(codes, word_hashes(list(codes)), np.array([known.get(w, 0) for w in codes], np.int64), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets)
+    return Lexicon(codes, word_hashes(list(codes)), np.array([known.get(w, 0) for w in codes], np.int64), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets, FOLD)
 
 
 def _planes(x: np.ndarray, kind: str) -> bytes:
@@ -143,61 +144,55 @@ def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return out[:n_parts], out[n_parts:]
 
 
-def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
-    """A text in stretches of at most FOLD records each, with the two words that the last record looks at."""
-    line = [END, *words, END, NONE]
-    for at in range(0, len(line) - 2, FOLD):
-        yield line[at : at + FOLD + 2]
-
-
 class Records:
     """Positions of texts as (first, second, third word): each pair and what follows it, NONE at the end.
 
     Words are codes of the lexicon, or numbers of this fold, whose hashes go with each block."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.words = lexicon, dict(lexicon.codes)
-        self.rare: list[bytes] = []
+        self.lexicon, self.get, self.end = lexicon, lexicon.codes.get, lexicon.codes[END]
+        self.rare: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
+        self.rows: list[int] = []
         self.length = 0
 
-    def full(self, part: list[bytes]) -> bool:
-        """Whether a fold is due before `part` comes in."""
-        return self.length > 0 and self.length + len(part) > FOLD
-
-    def add(self, part: list[bytes], row: int = 0) -> None:
-        """part: one of pieces()."""
-        get = self.words.get
-        codes = list(map(get, part))
-        if None in codes:
-            for i, c in enumerate(codes):
-                if c is None:
-                    w = part[i]
-                    if (c := get(w)) is None:
-                        self.words[w] = c = self.lexicon.size + len(self.rare)
-                        self.rare.append(w)
-                    codes[i] = c
-        self.parts.append(np.array(codes, np.int64))
-        self.rows.append(np.full(len(codes) - 2, row, np.int64))
-        self.length += len(codes) - 2
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """The words' codes between two ENDs and with NONE after them; -1 for words that the lexicon doesn't know."""
+        out = np.empty(len(words) + 3, np.int64)
+        out[0], out[-2], out[-1] = self.end, self.end, 0
+        out[1:-2] = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        return out
+
+    def add(self, codes: np.ndarray, words: list[bytes], row: int = 0) -> Iterator[None]:
+        """Take in a text's codes; pauses where a fold is due before more can come in. A long text may fill many folds."""
+        most = self.lexicon.fold
+        for at in range(0, len(codes) - 2, most):
+            part = codes[at : at + most + 2]
+            if self.length and self.length + len(part) - 2 > most:
+                yield
+            for i in np.flatnonzero(part < 0).tolist():
+                part[i] = self.lexicon.size + self.rare.setdefault(words[at + i - 1], len(self.rare))
+            if at + most < len(codes) - 2:
+                part = part.copy()
+                codes[at + most : at + most + 2][part[-2:] >= self.lexicon.size] = -1  # the next fold numbers them anew
+            self.parts.append(part)
+            self.rows.append(row)
+            self.length += len(part) - 2
 
     def fold(self, held: np.ndarray | None = None, with_rows: bool = False) -> list[tuple]:
         """(bucket, block) of all records so far. held: hashes of triples whose records aren't needed."""
         a, b, c = (np.concatenate([p[k : len(p) - 2 + k] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for k in range(3))
-        rows = np.concatenate(self.rows) if self.rows else np.zeros(0, np.int64)
-        hashes = np.concatenate([self.lexicon.hashes, word_hashes(self.rare)])
-        for w in self.rare:
-            del self.words[w]
-        self.rare, self.parts, self.rows, self.length = [], [], [], 0
+        rows = np.repeat(np.array(self.rows, np.int64), [len(p) - 2 for p in self.parts])
+        hashes = np.concatenate([self.lexicon.hashes, word_hashes(list(self.rare))])
+        self.rare, self.parts, self.rows, self.length = {}, [], [], 0
         key = a << 42 | b << 21 | c
         if with_rows:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, rows = key[order], rows[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            key, times = key[first], np.diff(np.append(first, len(key)))
         else:
-            key, times = np.unique(key, return_counts=True)
+            key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.diff(np.append(first, len(key)))
         a, b, c = key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1
         pair, after = joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2)
         bucket = self.lexicon.bucket(pair, self.lexicon.is_hot(a, b), after)
@@ -205,7 +200,7 @@ class Records:
             # A held triple's pair is held too: such a record adds nothing.
             triple = joined(pair, after, 3)
             bucket[held[np.minimum(np.searchsorted(held, triple), len(held) - 1)] == triple] = -1
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.int16) if self.lexicon.buckets < 1 << 15 else bucket, kind="stable")
         if with_rows:
             starts = np.cumsum(times) - times
             ends = np.cumsum(times[order])
@@ -266,10 +261,9 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
         records = Records(held.value)
         for b in batches:
             for t in b.column("text").to_pylist():
-                for part in pieces(low_words(t)):
-                    if records.full(part):
-                        yield _dealt(records.fold())
-                    records.add(part)
+                words = low_words(t)
+                for _ in records.add(records.codes(words), words):
+                    yield _dealt(records.fold())
         yield _dealt(records.fold())
 
     def count(batches):
@@ -410,12 +404,14 @@ def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon)
 
 @dataclass
 class Automaton:
-    """States are contexts: 0 the empty one, then words, then longer ones. Arcs lie in a table from state * size + token."""
+    """States are contexts: 0 the empty one, then words, then longer ones. Arcs lie sorted by state * size + token."""
 
     tokens: dict[bytes, int]
-    arcs: dict[int, tuple[float, int]]  # log10 probability, next state
-    backoff: list[float]  # log10, by state
-    shorter: list[int]  # failure arcs
+    keys: np.ndarray  # of arcs
+    gain: np.ndarray  # their log10 probabilities
+    to: np.ndarray  # the states that they lead to
+    backoff: np.ndarray  # log10, by state
+    shorter: np.ndarray  # failure arcs
     token: np.ndarray  # by code of the lexicon: the token, or REST
     logs: np.ndarray  # by code: log10 probabilities of the words that every worker knows
     beside: np.ndarray  # by code: of those that are no tokens, what they add beside REST's arc
@@ -426,17 +422,49 @@ class Automaton:
     n: int
     v: int
 
-    def score(self, ids: list[int]) -> float:
-        """The log10 probability of tokens, from the start state."""
-        arcs, backoff, shorter, size = self.arcs, self.backoff, self.shorter, len(self.tokens) + 1
-        state, total = self.start, 0.0
-        for i in ids:
-            while (arc := arcs.get(state * size + i)) is None:
-                total += backoff[state]
-                state = shorter[state]
-            total += arc[0]
-            state = arc[1]
-        return total
+    @property
+    def arcs(self) -> dict[int, tuple[float, int]]:
+        return {k: (g, t) for k, g, t in zip(self.keys.tolist(), self.gain.tolist(), self.to.tolist(), strict=True)}
+
+    def follow(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of tokens and the states after them: failure arcs are taken until an arc is there."""
+        size, total, state = len(self.tokens) + 1, np.zeros(len(state)), state.copy()
+        left = np.arange(len(state))
+        while len(left):
+            key = state[left] * size + token[left]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            on = left[hit]
+            total[on] += self.gain[at[hit]]
+            state[on] = self.to[at[hit]]
+            left = left[~hit]
+            total[left] += self.backoff[state[left]]
+            state[left] = self.shorter[state[left]]
+        return total, state
+
+    def scores(self, texts: list[np.ndarray], stretch: int = 64) -> np.ndarray:
+        """The log10 probability of each text's tokens, none empty, from the start state, left to right. A state is what the last
+        ORDER - 1 tokens lead to from anywhere, so texts are cut in stretches that take their steps side by side."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        tokens, starts = np.concatenate([*texts, np.zeros(0, np.int64)]), np.cumsum(sizes) - sizes
+        pieces = -(-sizes // stretch)
+        of = np.repeat(np.arange(len(texts)), pieces)
+        inside = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
+        length = np.minimum(stretch, sizes[of] - inside)
+        order = np.argsort(-length, kind="stable")
+        of, inside, length = of[order], inside[order], length[order]
+        at, total = starts[of] + inside, np.zeros(len(of))
+        state = np.where(inside > 0, 0, self.start)
+        later = np.flatnonzero(inside)
+        for back in range(ORDER - 1, 0, -1):
+            state[later] = self.follow(state[later], tokens[at[later] - back])[1]
+        for step in range(stretch):
+            k = int(np.searchsorted(-length, -step, side="left"))
+            if not k:
+                break
+            gain, state[:k] = self.follow(state[:k], tokens[at[:k] + step])
+            total[:k] += gain
+        return np.bincount(of, total, minlength=len(texts))
 
 
 def compile_automaton(known: dict[bytes, int], lexicon: Lexicon, weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
@@ -477,7 +505,9 @@ def compile_automaton(known: dict[bytes, int], lexicon: Lexicon, weights: dict[b
     token = np.array([tokens.get(w, REST) for w in lexicon.codes], np.int64)
     logs = np.log10((np.array([known.get(w, 0) for w in lexicon.codes]) + ADD) / scale)
     beside = np.where(token == REST, logs - log_rest + np.array([weights.get(w, 0.0) for w in lexicon.codes]), 0.0)
-    return Automaton(tokens, arcs, backoff, shorter, token, logs, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
+    keys = np.array(sorted(arcs), np.int64)
+    gain, to = (np.array([arcs[k][i] for k in keys.tolist()], kind) for i, kind in ((0, float), (1, np.int64)))
+    return Automaton(tokens, keys, gain, to, np.array(backoff), np.array(shorter, np.int64), token, logs, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
 
 
 def token_ids(known: dict[bytes, int], least: float) -> dict[bytes, int]:
@@ -527,35 +557,36 @@ def fit(documents: DataFrame) -> Fitted:
     return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, tables)
 
 
-STATS = (("doc_id", "long"), ("row", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))
-
-
-def _met(n: int, blocks: list, stats: list | None = None) -> pa.RecordBatch:
-    """n rows of blocks (p, kind, block), of STATS, or both."""
-    whole = [*(blocks or [[]] * 3), *(stats or [[None] * n] * len(STATS))]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), *(pa.int64() if k == "long" else pa.float64() for _, k in STATS)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(whole, kinds, strict=True)], ["p", "kind", "block", *(n for n, _ in STATS)])
+def _blocks_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (p, kind, key, block)."""
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["p", "kind", "key", "block"])
 
 
 def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
 
     A null or empty text is END alone. Repeated rows get equal scores: what the buckets add is by row. A null
-    doc_id is training. With an empty table there are no rows; with no training rows every count is 0."""
+    doc_id is training. With an empty table there are no rows; with no training rows every count is 0.
+
+    Rows go in folds, whose key is their first row's place. A fold's texts are scored by the automaton, and its records dealt
+    to buckets; each bucket answers with what its pairs, triples and rare words add to the fold's rows, and all
+    that belongs to a fold meets at its key."""
     context = documents.sparkSession.sparkContext
     held, lexicon, arcs = context.broadcast(model.automaton), context.broadcast(model.lexicon), context.broadcast(model.arcs)
     a, buckets = model.automaton, model.lexicon.buckets
 
     def texts(batches):
         m, lex = held.value, lexicon.value
-        records, task, row, begin = Records(lex), TaskContext.get().partitionId() << 33, 0, 0
+        records, row, begin = Records(lex), TaskContext.get().partitionId() << 33, None
         rare: dict[bytes, int] = {}
         rare_codes, rare_rows = array("q"), array("q")
+        stats: list[tuple] = []
+        end, log_end, counted = m.tokens[END], float(m.logs[lex.codes[END]]), m.logs[lex.codes[END]] > m.unseen
 
         def pack():
             """All blocks so far; their rows count from `begin`."""
-            base = np.array([task + begin], np.int64).tobytes()
-            out = [(p, TRIPLES, base + x) for p, x in records.fold(arcs.value, True)]
+            out = [(p, TRIPLES, begin, x) for p, x in records.fold(arcs.value, True)]
             if rare:
                 codes, rows, hashes = np.array(rare_codes), np.array(rare_rows), word_hashes(list(rare))
                 bucket = (mixed(hashes[codes], 3) % np.uint64(buckets)).astype(np.int32)
@@ -564,38 +595,41 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                 cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
                 for x, y in zip(cuts, cuts[1:]):
                     first = np.flatnonzero(np.diff(codes[x:y], prepend=-1))
-                    out.append((int(bucket[x]), RARE, base + packed([np.diff(np.append(first, y - x)), rows[x:y]], [hashes[codes[x:y][first]]])))
+                    out.append((int(bucket[x]), RARE, begin, packed([np.diff(np.append(first, y - x)), rows[x:y]], [hashes[codes[x:y][first]]])))
                 rare.clear()
                 del rare_codes[:], rare_rows[:]
-            return _met(len(out), blocks=list(zip(*out, strict=True)))
+            if stats:
+                ids, rows, n, known, base, tokens, more = zip(*stats, strict=True)
+                score = m.scores(list(tokens)) + np.array(more)
+                null = np.array([i is None for i in ids])
+                ids = np.array([i or 0 for i in ids], np.int64)
+                wide = [ids.view(np.uint64), np.array(base).view(np.uint64), score.view(np.uint64), np.array(n, np.uint64), np.array(known, np.uint64)]
+                out.append((int(begin % buckets), STAT, begin, packed([np.array(rows), null], wide)))
+                stats.clear()
+            return _blocks_of(out)
 
-        get, end, size = lex.codes.get, lex.codes[END], lex.size
-        log_end = float(m.logs[end])
         for b in batches:
-            out = []
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = low_words(t)
-                for part in pieces(words):
-                    if records.full(part):
-                        yield pack()
-                        begin = row
-                    records.add(part, row - begin)
-                codes = np.fromiter(map(get, words, repeat(size)), np.int64, len(words))
-                known = codes[codes < size]
-                if len(known) < len(words):
-                    new = [rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(codes == size).tolist()]
-                    rare_codes.extend(new)
-                    rare_rows.extend([row - begin] * len(new))
-                    ids = np.where(codes < size, m.token[np.minimum(codes, size - 1)], REST)
-                else:
-                    ids = m.token[codes]
-                score = m.score([*ids.tolist(), m.tokens[END]]) + float(m.beside[known].sum())
-                out.append((row % buckets, STAT, None, doc_id, task + row, len(words) + 1, len(known) + (log_end > m.unseen), float(m.logs[known].sum()) + log_end, score))
+                if begin is not None and records.length + len(words) + 1 > lex.fold:
+                    yield pack()
+                    begin = None
+                begin = row if begin is None else begin
+                line = records.codes(words)
+                codes = line[1:-2].copy()
+                for _ in records.add(line, words, row - begin):
+                    yield pack()  # a text that fills a fold is the first of its fold: the key stays
+                known = codes[codes >= 0]
+                tokens = np.empty(len(codes) + 1, np.int64)
+                tokens[:-1], tokens[-1] = np.where(codes >= 0, m.token[np.maximum(codes, 0)], REST), end
+                if len(known) < len(codes):
+                    for i in np.flatnonzero(codes < 0).tolist():
+                        rare_codes.append(rare.setdefault(words[i], len(rare)))
+                        rare_rows.append(row - begin)
+                stats.append((doc_id, row - begin, len(words) + 1, len(known) + counted, float(m.logs[known].sum()) + log_end, tokens, float(m.beside[known].sum())))
                 row += 1
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield _met(len(out), blocks=columns[:3], stats=columns[3:])
-        yield pack()
+        if begin is not None:
+            yield pack()
 
     def tail(batches):
         """Blocks (hash, log10 probability, gain) of the words that workers don't know."""
@@ -608,11 +642,10 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             order = np.lexsort((k, p))
             p, columns = p[order], [x[order].view(np.uint64) for x in (k, log, v)]
             cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
-            found = [(int(p[x]), TAIL, packed([], [c[x:y] for c in columns])) for x, y in zip(cuts, cuts[1:])]
-            if found:
-                yield _met(len(found), blocks=list(zip(*found, strict=True)))
+            yield _blocks_of([(int(p[x]), TAIL, 0, packed([], [c[x:y] for c in columns])) for x, y in zip(cuts, cuts[1:])])
 
     def meet(batches):
+        """(key, kind, block): what a bucket adds to the rows of each fold, and the folds' own figures as they are."""
         lex, unseen, log_rest = lexicon.value, held.value.unseen, held.value.log_rest
         at, kept, inside = None, {GRAMS: [], TAIL: []}, arcs.value
 
@@ -640,54 +673,71 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             return out
 
         for b in batches:
-            stats = b.filter(pc.equal(b.column("kind"), STAT))
-            if stats.num_rows:
-                yield stats.select([n for n, _ in STATS])
-            b = b.filter(pc.not_equal(b.column("kind"), STAT))
-            for p, kind, block in _blocks([b]):
+            out = []
+            for p, kind, key, block in zip(*(b.column(c).to_pylist() for c in ("p", "kind", "key", "block")), strict=True):
                 if p != at:
                     at, kept = p, {GRAMS: [], TAIL: []}
                 if kind in kept:
                     kept[kind].append(block)
-                    continue
-                base = int(np.frombuffer(block[:8], np.int64)[0])
-                if kind == TRIPLES:
-                    _, _, pair, after, ends, times, rows, _ = opened(block[8:], lex)
+                elif kind == STAT:
+                    out.append((key, kind, block))
+                elif kind == TRIPLES:
+                    _, _, pair, after, ends, times, rows, _ = opened(block, lex)
                     model = table_of(GRAMS, 2)
                     add = gain(pair, *model) + np.where(ends, 0.0, gain(joined(pair, after, 3), *model))
-                    sums = [np.bincount(rows, np.repeat(add, times))]
-                    of = np.flatnonzero(sums[0])
-                    extra = [np.zeros(len(of), np.int64), np.zeros(len(of)), sums[0][of]]
+                    sums = np.bincount(rows, np.repeat(add, times))
+                    of = np.flatnonzero(sums)
+                    if len(of):
+                        out.append((key, kind, packed([of], [sums[of].view(np.uint64)])))
                 else:
-                    (times, rows), (hashes,) = unpacked(block[8:])
+                    (times, rows), (hashes,) = unpacked(block)
                     model, log, v = table_of(TAIL, 3)
                     i, hit = found(hashes, model)
-                    base_add, add = np.full(len(hashes), unseen), np.full(len(hashes), unseen - log_rest)
-                    base_add[hit], add[hit] = log[i[hit]], v[i[hit]]
+                    base, add = np.full(len(hashes), unseen), np.full(len(hashes), unseen - log_rest)
+                    base[hit], add[hit] = log[i[hit]], v[i[hit]]
                     of = np.unique(rows)
-                    extra = [np.bincount(rows, np.repeat(hit, times))[of].astype(np.int64), np.bincount(rows, np.repeat(base_add, times))[of], np.bincount(rows, np.repeat(add, times))[of]]
-                if len(of):
-                    none = pa.nulls(len(of), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(base + of), pa.array(np.zeros(len(of), np.int64)), *map(pa.array, extra)], [n for n, _ in STATS])
+                    known, base, add = (np.bincount(rows, np.repeat(x, times))[of] for x in (hit, base, add))
+                    out.append((key, kind, packed([of, known.astype(np.int64)], [base.view(np.uint64), add.view(np.uint64)])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "kind", "block"])
+
+    def add_up(batches):
+        """Rows of each fold. Its own figures come first."""
+        at, own = None, None
+
+        def rows_of():
+            ids, null, n, known, base, score = own
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), *map(pa.array, (n, known, base, score))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for b in batches:
+            for key, kind, block in zip(b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
+                parts, wide = unpacked(block)
+                if kind == STAT:
+                    if at is not None:
+                        yield rows_of()
+                    ids, base, score, n, known = wide
+                    at, own = key, (ids.view(np.int64), parts[1].astype(bool), n.view(np.int64), known.view(np.int64).copy(), base.view(np.float64).copy(), score.view(np.float64).copy())
+                    continue
+                _, _, _, known, base, score = own
+                if kind == TRIPLES:
+                    score[parts[0]] += wide[0].view(np.float64)
+                else:
+                    known[parts[0]] += parts[1]
+                    base[parts[0]] += wide[0].view(np.float64)
+                    score[parts[0]] += wide[1].view(np.float64)
+        if at is not None:
+            yield rows_of()
 
-    shape = "p int, kind int, block binary, " + ", ".join(f"{n} {k}" for n, k in STATS)
+    shape = "p int, kind int, key long, block binary"
     log = F.log10((F.col("n") + ADD) / a.scale)
     rare_words = model.words.select("k", log.alias("base"), (log - a.log_rest + F.coalesce("bow", F.lit(0.0))).alias("v"))
-    none = [F.lit(None).cast(k).alias(n) for n, k in STATS]
     blocks = documents.select("doc_id", "text").mapInArrow(texts, shape).union(rare_words.mapInArrow(tail, shape))
     for t in model.grams:
-        blocks = blocks.union(t.where(F.col("block").isNotNull()).select("p", "kind", "block", *none))
-    sums = [F.max("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n, _ in STATS[2:])]
-    out = sorted_buckets(blocks, buckets).mapInArrow(meet, ", ".join(f"{n} {k}" for n, k in STATS)).groupBy("row").agg(*sums)
-    return out.select(
-        "doc_id",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(a.n).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        "score",
-    )
+        blocks = blocks.union(t.where(F.col("block").isNotNull()).select("p", "kind", F.lit(0).cast("long").alias("key"), "block"))
+    added = sorted_buckets(blocks, buckets).mapInArrow(meet, "key long, kind int, block binary")
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = added.repartition(tasks, "key").sortWithinPartitions("key", "kind").mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(a.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

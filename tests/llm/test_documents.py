@@ -435,6 +435,29 @@ def test_scores_hold_every_repeated_gram(spark, monkeypatch, shares):
     assert [got[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts, held), rel=1e-9)
 
 
+def test_scores_do_not_depend_on_folds_and_buckets(spark, monkeypatch):
+    """Texts over many folds, repeated rows, null ids: as one pass over whole texts gives."""
+    rng = np.random.default_rng(8)
+    texts = [*TEXTS, "", *(" ".join(rng.choice([*(f"v{j}" for j in range(40)), f"u{k}"], int(n))) for k, n in enumerate(rng.integers(1, 300, 30)))]
+    texts += [texts[-1], texts[-2]]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    monkeypatch.setattr(lm, "FOLD", 70)
+    monkeypatch.setattr(lm, "BUCKET", 500)
+    monkeypatch.setattr(lm, "WORDS", 30)
+    monkeypatch.setattr(lm, "GRAM_SHARE", 0.001)
+    docs = documents(spark, texts)
+    model = lm.fit(docs)
+    got = {r.doc_id: r for r in lm.scored(docs, model).collect()}
+    assert [got[k].score for k in range(len(texts))] == pytest.approx(brute_scores(texts, held), rel=1e-9)
+    assert [got[k].n_tokens for k in range(len(texts))] == [len((t or "").encode().lower().split()) + 1 for t in texts]
+    again = lm.scored(docs.union(docs).union(documents(spark, [BASE, BASE], [None, None])), model).collect()
+    assert len(again) == 2 * len(texts) + 2
+    for r in again:
+        want = got[r.doc_id if r.doc_id is not None else TEXTS.index(BASE)]
+        assert (r.score, r.n_known) == (pytest.approx(want.score, rel=1e-9), want.n_known)
+    assert sum(r.doc_id is None and not r.held_out for r in again) == 2
+
+
 def test_automaton_is_a_distribution(spark):
     rng = np.random.default_rng(2)
     docs = documents(spark, [" ".join(rng.choice(list("abcdef"), 200, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05])) for _ in range(20)])
