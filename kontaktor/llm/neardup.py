@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, low_words, mixed, shingles, table, word_hashes, written
+from .common import Codes, discard, low_words, mixed, shingles, table, word_hashes, written
 
 WIDTH = 5  # words in a shingle
 PERCENT = 75  # similarity of a link at least
 KEYS, ROWS = 16, 3  # keys in each collection, minhashes in a key: at a similarity of 0.75 a pair shares a table with 0.9997
+HOT = 10_000  # keys at most that are treated apart because many rows have them, so that they can be broadcast
 AGREE = 58  # of the 2 * KEYS * ROWS minhashes, how many a pair to be confirmed shares; at 0.75 fewer have a probability of 5e-4
 
 
@@ -93,9 +94,23 @@ def likely() -> Column:
     return F.when(sizes, agree).otherwise(F.lit(False))
 
 
+def crowded(rows: DataFrame, key: str, n: int, least: int = 64) -> tuple[DataFrame, int]:
+    """(key, n) of the keys that more than a bounded number of rows have, and that number. Of n rows in all no more than HOT keys
+    can have so many, so they may be broadcast."""
+    bound = max(least, -(-n // HOT))
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound), bound
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. sets: (id, shingles)."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs (a, b) whose full sets are similar enough. sets: (id, shingles).
+
+    A centre's pairs may be many: its set goes to as many tasks as they fill, and they are dealt to these by a."""
+    hot, bound = crowded(pairs, "b", pairs.count())
+    hot = F.broadcast(hot.select(F.col("b").alias("hot_b"), F.ceil(F.col("n") / bound).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(hot, pairs["b"] == F.col("hot_b"), "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("salt"))
+    as_b = sets.join(hot, sets["id"] == F.col("hot_b"), "left").select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("shingles").alias("sb"))
+    both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(as_b, ["b", "salt"])
 
     def run(batches):
         for batch in batches:
@@ -111,24 +126,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def with_least(rows: DataFrame, n: int) -> DataFrame:
+    """rows (u, v), n of them, with m: the least v of the same u. Each task adds up its own rows first; the rows of a u that has
+    many don't come together, but meet its minimum where they are."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    bound = max(64, -(-n // HOT))
+    hot = rows.join(F.broadcast(least.where(F.col("n") > bound).select("u", "m")), "u", "left")
+    cold = hot.where(F.col("m").isNull()).drop("m").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return hot.where(F.col("m").isNotNull()).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in an edge; component is the smallest id reachable.
 
     Large-star and small-star steps in turn, until each component is a star around its smallest id. Each step is a
     group-by with a minimum and a join back; the edges are written in the shared folder after every round."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        large = with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = with_least(large, n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        after = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -162,12 +187,15 @@ def grouped(documents: DataFrame) -> DataFrame:
     pairs = written(stars.join(as_a, "a").join(as_b, "b").where(likely()).select("a", "b"))
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     sets = written(shingle_sets(texts.join(weight, "id", "left_semi")))
+    discard(found)
     links = written(confirmed(pairs, sets))
+    done = [members, classes, pairs, sets, links]
 
     # Rows of one doc_id with different sets are one document, and so are equal sets.
     own = some.select("set_a", "set_b", "doc_id").distinct().join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
     alike = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    of = components(links)
+    of = written(components(links))
+    done.append(of)
 
     # Members that aren't in the component of their bucket's centre meet the others that lie in another component.
     home = members.join(of, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
@@ -175,21 +203,25 @@ def grouped(documents: DataFrame) -> DataFrame:
     mixed_up = mixed_up.where("low < high").select("key", F.col("top.component").alias("main"))
     loose = home.join(mixed_up, "key").groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("apart"))
     loose = written(loose)
+    done.append(loose)
     if not loose.isEmpty():
-        rest = written(overlapping(loose, sets).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        rest = written(overlapping(loose, sets, done).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        done.append(rest)
         if not rest.isEmpty():
             links = links.union(confirmed(rest, sets))
     of = written(components(links.union(alike)))
+    discard(*done)
     named = rows.join(of, rows["doc_id"] == of["id"], "left").select(rows["doc_id"], "n_shingles", F.coalesce("component", rows["doc_id"]).alias("component_id"))
     return named.select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
-def overlapping(loose: DataFrame, sets: DataFrame) -> DataFrame:
+def overlapping(loose: DataFrame, sets: DataFrame, done: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of loose ids in different components, one of them apart, that may be similar enough.
 
     Shingles are put in one order, the rarest first. Two sets that are similar enough share one of their first
     n - ceil(n * PERCENT / 100) + 1 shingles, and where the first shared one stands bounds how many can follow. A passage
-    that many documents hold comes late in that order, so documents that share little else don't meet."""
+    that many documents hold comes late in that order, so documents that share little else don't meet. A shingle that many
+    rows have is dealt to as many tasks as those rows fill. Tables to discard later are added to done."""
     of_loose = sets.join(loose.select("id"), "id", "left_semi")
     each = of_loose.select("id", F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
@@ -200,12 +232,16 @@ def overlapping(loose: DataFrame, sets: DataFrame) -> DataFrame:
     rows = of_loose.join(common, "id").select("id", size.alias("n"), own.alias("own"), F.slice("common", F.lit(1), F.greatest(prefix - own, F.lit(0))).alias("head"))
     rows = rows.join(loose, "id").select("id", "component", "apart", "n", "own", F.posexplode("head").alias("at", "x"))
     rows = written(rows.select("id", "component", "apart", "n", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
-    x = rows.where("apart").select("s", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    y = rows.select("s", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("apart").alias("both"))
+    done.append(rows)
+    hot, bound = crowded(rows, "s", rows.count())
+    rows = rows.join(F.broadcast(hot.select("s", F.ceil(F.col("n") / bound).cast("int").alias("parts"))), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+    x = rows.where("apart").select("s", each_part, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = rows.select("s", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("apart").alias("both"))
     once = ~F.col("both") | (F.col("a") < F.col("b"))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
     reach = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
-    met = x.join(y, "s").where((F.col("ca") != F.col("cb")) & once & sizes & reach)
+    met = x.join(y, ["s", "salt"]).where((F.col("ca") != F.col("cb")) & once & sizes & reach)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
