@@ -61,6 +61,31 @@ def test_bounds_hold():
     assert np.allclose(before, exact)
 
 
+def test_envelopes_hold():
+    rng = np.random.default_rng(6)
+    for dim in (1, 3, 24, 64):
+        x, q = np.floor(rng.normal(size=(70, dim)) * 200), np.floor(rng.normal(size=(9, dim)) * 200)
+        bounds = topk.block_bounds(q, np.stack([np.concatenate(topk.envelope(own)) for own in np.split(x, 7)]))
+        exact = np.stack([(q @ own.T).max(axis=1) for own in np.split(x, 7)], axis=1)
+        assert (bounds >= exact - 1e-6 * np.abs(bounds)).all()
+
+
+def test_blocks_that_cannot_hold_better_rows_are_not_asked(spark, monkeypatch):
+    """Clusters far apart: a query meets few blocks, and results are as by brute force."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 32)) * 10
+    vectors = [list(map(float, np.float32(centres[i % 20] + rng.normal(size=32) * 0.1))) for i in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    tables = []
+    keep = topk.written
+    monkeypatch.setattr(topk, "written", lambda df: tables.append(keep(df)) or tables[-1])
+    got = sorted(map(tuple, topk.top_k(rows).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top(list(range(1000)), vectors)
+    asked = tables[-1].count()  # of 20 queries and about 20 blocks
+    assert asked <= 20 * 20 / 4
+
+
 # Chat
 
 
