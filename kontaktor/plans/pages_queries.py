@@ -218,8 +218,12 @@ def mobile_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.array_join(phones.in_text(raw), ",").alias("found"))
 
 
-MOBILE_IN_PAGES = """
-SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) THEN '+62812' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') ELSE '' END AS found FROM customer"""
+#: The pattern of numbers without looking around: what may not stand beside them is read along.
+_NUMBER = r"(?:^|[^0-9+])((?:\+62|62|0)[-.\s]?8[0-9]{1,2}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{3,5})(?:[^0-9]|$)"
+MOBILE_IN_PAGES = f"""
+WITH c AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS d FROM customer),
+t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'call 0812-' || substr(d, 1, 4) || '-' || substr(d, 5, 4) || ' now' WHEN 1 THEN 'tel +62 812 ' || substr(d, 1, 4) || ' ' || substr(d, 5, 4) || '.' WHEN 2 THEN 'Rp 1.250.' || d ELSE 'id 77' || d || '9900112233' END AS x FROM c)
+SELECT c_custkey, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(x, {sql.quoted(_NUMBER)}, 1), lambda r: {sql.phone("r")}), lambda n: {sql.is_mobile("n")})), ',') AS found FROM t"""
 
 _WITH = f"WITH {RESULTS}"
 _H = sql.host("url")
@@ -237,7 +241,13 @@ QUERIES = {
         + ", CASE WHEN unique_hosts > 0 THEN CAST(rows AS DOUBLE) / unique_hosts END AS rows_per_host, CASE WHEN unique_hosts > 0 THEN CAST(rows AS DOUBLE) / unique_hosts > 2.0 END AS duplicates FROM audit",
     ),
     "judged_rows": (judged_rows, f"{_WITH}, {AUDIT} SELECT host, array_to_string(asked, ',') AS asked_places, array_to_string(topics, ',') AS asked_topics, relevant, mismatched, email_source = 'found' OR whatsapp <> '' AS has_contact FROM k"),
-    "invalid_numbers": (invalid_numbers, f"""{_WITH}, x AS (SELECT 'phone' AS "column", '+62999' || length(host) AS number FROM companies) SELECT "column", number, count(*) AS n FROM x GROUP BY ALL"""),
+    "invalid_numbers": (
+        invalid_numbers,
+        f"""{_WITH}, w AS (SELECT whatsapp, other_whatsapp, CASE WHEN phone IS NULL THEN '' ELSE phone || '; ' END || '+62999' || length(host) AS phone FROM companies),
+x AS (SELECT 'whatsapp' AS "column", unnest(string_split(whatsapp, ';')) AS raw FROM w UNION ALL SELECT 'phone', unnest(string_split(phone, ';')) FROM w UNION ALL SELECT 'other_whatsapp', unnest(string_split(other_whatsapp, ';')) FROM w),
+n AS (SELECT "column", trim(raw) AS number FROM x WHERE trim(raw) <> '')
+SELECT "column", number, count(*) AS n FROM n WHERE NOT {sql.is_mobile("number")} AND NOT {sql.is_landline("number")} GROUP BY ALL""",
+    ),
     "aggregator_hosts": (aggregator_hosts, f"WITH p AS (SELECT page_id, {_H} AS h FROM pages) SELECT h AS host, count(*) AS n FROM p WHERE {_BLOCK.format(h='h')} GROUP BY h ORDER BY n DESC, min(page_id) LIMIT 10"),
     "kept_pages": (kept_pages, f"WITH p AS (SELECT page_id, url, {_H} AS h FROM pages) SELECT page_id, url FROM p WHERE NOT {_BLOCK.format(h='h')}"),
     "dropped_hosts": (dropped_hosts, f"WITH p AS (SELECT {_H} AS h FROM pages) SELECT h AS host, count(*) AS n FROM p WHERE {_BLOCK.format(h='h')} GROUP BY h"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages_queries, search_queries, text_queries
+from . import fetch_queries, pages_queries, search_queries, text_queries
 
-MODULES = (pages_queries, search_queries, text_queries)
+MODULES = (pages_queries, fetch_queries, search_queries, text_queries)
 
 
 def queries() -> dict:

@@ -101,18 +101,22 @@ def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.expanded(config)
 
 
-RESPONSES = (
-    ("hotel bali", '{"organic": [{"link": "https://a.example/", "title": "A", "domain": "a.example", "snippet": "x"}, {"title": "no link"}, {"link": "https://b.example/p", "title": "B"}], "ads": [{"link": "https://ad.example"}]}'),
-    ("hotel solo", '{"organic": []}'),
-    ("broken", "not json"),
-)
-
-
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(q, b, "2024-01-01T00:00:00") for q, b in RESPONSES], "query string, body string, scraped_at string")
+    """Answers of the API made from the pages, a few of them with results without a link, with other blocks, or broken."""
+    i = F.col("page_id")
+    organic = F.concat(F.lit('{"organic": [{"link": "https://a'), i.cast("string"), F.lit('.example/", "title": "A", "domain": "a.example", "snippet": "x"}, {"title": "no link"}, {"link": "https://b'), i.cast("string"), F.lit('.example/p", "title": "B", "position": 3}]'))
+    body = F.when(i % 5 == 0, F.concat(organic, F.lit(', "answerBox": {"link": "https://c.example"}}'))).when(i % 5 == 1, '{"message": "none"}').when(i % 5 == 2, F.concat(organic, F.lit("}"))).when(i % 5 == 3, '{"organic": []}').otherwise("not json")
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("q"), i.cast("string")).alias("query"), body.alias("body"), F.lit("2024-01-01T00:00:00").alias("scraped_at"))
     return search.parsed_responses(raw).select("query", "ord", "url", "title", "display_url", "description")
 
 
+RESPONSES = """
+WITH o AS (SELECT page_id, '{"organic": [{"link": "https://a' || page_id || '.example/", "title": "A", "domain": "a.example", "snippet": "x"}, {"title": "no link"}, {"link": "https://b' || page_id || '.example/p", "title": "B", "position": 3}]' AS organic FROM pages),
+r AS (SELECT 'q' || page_id AS query, CASE page_id % 5 WHEN 0 THEN organic || ', "answerBox": {"link": "https://c.example"}}' WHEN 1 THEN '{"message": "none"}' WHEN 2 THEN organic || '}' WHEN 3 THEN '{"organic": []}' END AS body FROM o),
+x AS (SELECT query, CAST(k AS BIGINT) AS ord, json_extract(body, '$.organic[' || k || ']') AS x FROM r, range(4) AS t(k) WHERE body IS NOT NULL)
+SELECT query, ord, x->>'link' AS url, coalesce(x->>'title', '') AS title, coalesce(x->>'domain', '') AS display_url, coalesce(x->>'snippet', '') AS description FROM x WHERE x->>'link' <> ''"""
+
+
 _FIRST = "first AS (SELECT url, min(qord) AS first FROM e GROUP BY url)"
 _YIELD = f"y AS (SELECT qord, {sql.without_negative('query')} AS query, count(*) AS urls, count_if(qord = first) AS new FROM e JOIN first USING (url) GROUP BY qord, e.query)"
 _KEY = "lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) || '|api'"
@@ -145,5 +149,5 @@ q AS (SELECT 0 AS t, segment, city, segment || ' ' || city || ' email 2024' AS q
 f AS (SELECT query, min({'t': t, 's': segment, 'c': city}) AS place FROM q GROUP BY query)
 SELECT row_number() OVER (ORDER BY place) - 1 AS ord, query FROM f""",
     ),
-    "api_responses": (responses, "SELECT * FROM (VALUES ('hotel bali', CAST(0 AS BIGINT), 'https://a.example/', 'A', 'a.example', 'x'), ('hotel bali', CAST(2 AS BIGINT), 'https://b.example/p', 'B', '', '')) AS t(query, ord, url, title, display_url, description)"),
+    "api_responses": (responses, RESPONSES),
 }

@@ -108,7 +108,12 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", urls.unwrapped(link).alias("url"))
 
 
-REDIRECTS = "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'https://s' || s_suppkey || '.example/a?b=c' ELSE 'https://e.example/ck?u=a1***' END AS url FROM supplier"
+REDIRECTS = """
+WITH t AS (SELECT s_suppkey, 'https://s' || s_suppkey || '.example/a?b=c' AS target FROM supplier),
+l AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN target WHEN 1 THEN 'https://e.example/ck?x=1&u=a1' || translate(replace(to_base64(encode(target)), '=', ''), '+/', '-_') || '&n=2' ELSE 'https://e.example/ck?u=a1***' END AS link FROM t),
+c AS (SELECT s_suppkey, link, translate(replace(regexp_extract(link, '[?&]u=a1([A-Za-z0-9_%=-]+)', 1), '=', ''), '-_', '+/') AS code FROM l),
+d AS (SELECT s_suppkey, link, CASE WHEN code <> '' THEN decode(from_base64(code || repeat('=', CAST((4 - length(code) % 4) % 4 AS INTEGER)))) END AS target FROM c)
+SELECT s_suppkey, CASE WHEN starts_with(target, 'http') THEN target ELSE link END AS url FROM d"""
 
 QUERIES = {
     "phone_forms": (phone_forms, PHONES),
