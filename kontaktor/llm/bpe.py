@@ -28,6 +28,7 @@ from .common import Codes, byte_symbols, table
 TOKENIZER = "byte_bpe_50k.json"
 #: A lexicon word has this share of the corpus' pre-tokens at least; so there are at most 1 / SHARE of them.
 SHARE = 2e-5
+CHUNKS = 300_000  # chunks whose codes a worker keeps
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNEVEN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -178,7 +179,7 @@ class Vocabulary:
             import tiktoken
 
             ranks = {self.bytes_of[i]: i for i in vocab.values()}
-            self.by_rank = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.by_rank = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def merged(self, pretokens: list[str]) -> list[list[int]]:
@@ -206,9 +207,9 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.first, self.later = Codes(50_000), Codes()
+        self.first, self.later = Codes(50_000), Codes(CHUNKS)
         self.coded: dict[int, list[tuple[bytes, bytes]]] = {0: [], 1: []}
-        self.known = [vocabulary.coded(lexicon.ids_of(n)) for n in range(len(lexicon.first) - 1)]
+        self.known: dict[int, tuple[bytes, bytes]] = {}  # of lexicon words that texts have shown so far
         self.line = self._code(["\n"])[0]
 
     def _code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -219,6 +220,8 @@ class Coder:
         unseen = [p for p, n in zip(new, found, strict=True) if n < 0]
         merges = iter(self.vocabulary.merged(unseen))
         coded, known = self.vocabulary.coded, self.known
+        for n in {n for n in found if n >= 0 and n not in known}:
+            known[n] = coded(self.lexicon.ids_of(n))
         both = {p: known[n] if n >= 0 else coded(next(merges)) for p, n in zip(new, found, strict=True)}
         out = []
         for s in split:
