@@ -220,3 +220,80 @@ def test_stages_chain(spark, data):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert packed.select("doc_id").distinct().count() == n
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == n
+
+
+def brute_stages(spark, docs, data):
+    """The five stages one after the other in Python, over rows (doc_id, text, lang): what packing gets."""
+    from test_documents import brute_components, brute_quality, brute_spans
+
+    from kontaktor.llm import quality, toxicity
+    from kontaktor.llm.common import table
+
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    model = toxicity.fit(table(spark, data, "documents"), table(spark, data, "labels"))
+    marked = {(r.doc_id, r.text): r.toxic_flag for r in toxicity.score(docs, model).collect()}
+    rows = [r for r in rows if not marked[r[0], r[1]]]
+    judged = {(r.doc_id, r.text): r.kept for r in quality.measured(docs).collect()}
+    rows = [r for r in rows if not brute_quality(r[1])[-1] and judged[r[0], r[1]]]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    first = {}
+    named = [r for r in rows if r[0] is not None]
+    _, of = brute_components([r[1] for r in named])
+    ids = {}
+    for r, c in zip(named, of, strict=True):  # rows of one id are one document
+        ids.setdefault(r[0], set()).add(c)
+    merged = list(range(len(named)))
+    for group in ids.values():
+        low = min(group)
+        of = [low if c in group else c for c in of]
+    for r, c in zip(named, of, strict=True):
+        if c not in first or (r[0], r[1] or "") < (first[c][0], first[c][1] or ""):
+            first[c] = r
+    del merged
+    rows = [r for r in rows if r[0] is None] + list(first.values())
+
+    def redacted(text):
+        out, at = "", 0
+        for s, _, e in brute_spans(text):
+            if s >= at:
+                out += text[at:s] + "[SECRET]"
+            at = max(at, e)
+        return out + text[at:]
+
+    return sorted(((r[0], redacted(r[1])) for r in rows), key=str)
+
+
+def test_pipeline_against_brute_force(spark, data):
+    from test_documents import brute_ids
+
+    some = spark.read.parquet(f"{data}/documents.parquet")
+    prose = some.where("lang = 'en' AND n_chars BETWEEN 1200 AND 3000").orderBy("doc_id").limit(12).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in prose]
+    rows += [(900_000 + k, r.text + (" end" if k % 2 else ""), r.lang, None, None) for k, r in enumerate(prose[:6])]  # copies
+    rows += [(910_000, prose[6].text.replace(" ", "  ") + ' password = "abcdefgh1234"', "en", "s", 1), (910_001, None, None, None, None), (910_002, "", "en", "", 0), (None, prose[7].text, "en", "s", 1)]
+    rows += [rows[8], rows[8]]  # repeated rows
+    docs = spark.createDataFrame(rows, some.schema).cache()
+    want = brute_stages(spark, docs, data)
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, data).cache()
+        assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == want
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, data).toPandas()
+    assert packed.length.sum() == sum(len(brute_ids(t)) for _, t in want)
+
+
+def test_stages_take_awkward_rows(spark, data):
+    base = spark.read.parquet(f"{data}/documents.parquet").schema
+    long = " ".join(f"w{i % 997}x{i % 89}" for i in range(30_000))
+    rows = [(None, None, None, None, None), (1, None, "en", None, 3), (2, "", None, "s", 0), (3, long, "xx", "s", None), (3, long, "xx", "s", None), (4, "\ud800".encode("utf-8", "replace").decode() + " x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, base).selectExpr("*", "1 AS toxic_flag", "2 AS kept", "3 AS id", "4 AS component", "5 AS part", "6 AS length", "7 AS first", "8 AS times", "9 AS spans")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, data)
+            n = got.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert got.columns == table.columns and n <= table.count()
+                assert name not in ("secret_scan",) or n == table.count()
+            assert n or table is not docs or name == "quality_rules"
+    assert corpus_pipeline.STAGES[2][1](spark, docs, data).where("doc_id = 3").count() == 1
