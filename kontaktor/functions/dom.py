@@ -18,8 +18,9 @@ DROPPED = frozenset(("script", "style", "noscript", "template"))
 #: An open element of the key is closed by a start tag of the value: what browsers do for these.
 CLOSED_BY = {"p": frozenset("p div ul ol li table section article h1 h2 h3 h4 h5 h6 form footer header address aside".split()), "li": frozenset(["li"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd"))}
 
+LD_NODE = "array<struct<types:array<string>,name:string,email:string,contact_email:string,telephone:string,phone:string,fax:string,address:string>>"
 FACTS = (
-    "struct<markup:string, text:string, ld_json:array<string>, links:array<struct<pos:int,href:string,target:string,label:string>>,"
+    f"struct<markup:string, text:string, ld:{LD_NODE}, links:array<struct<pos:int,href:string,target:string,label:string>>,"
     " noscript:array<string>, empty_root:boolean, has_address:boolean, anchor_label:string, scope_text:string>"
 )
 
@@ -151,7 +152,7 @@ def facts_of(source: str | None, url: str | None) -> dict:
     address = any(n.tag == "address" for n in nodes)
     visible = markup(root)
     text = " ".join(s for s in (x.strip() for x in _shown(root)) if s)
-    return {"markup": visible, "text": text, "ld_json": ld, "links": links, "noscript": noscript, "empty_root": empty, "has_address": address, "anchor_label": label, "scope_text": around}
+    return {"markup": visible, "text": text, "ld": ld_nodes(ld), "links": links, "noscript": noscript, "empty_root": empty, "has_address": address, "anchor_label": label, "scope_text": around}
 
 
 def _shown(root: Node):
@@ -166,16 +167,13 @@ def _shown(root: Node):
 
 def _facts(source: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = [facts_of(s, u) for s, u in zip(source, url, strict=True)]
-    return pd.DataFrame(rows, columns=["markup", "text", "ld_json", "links", "noscript", "empty_root", "has_address", "anchor_label", "scope_text"])
+    return pd.DataFrame(rows, columns=["markup", "text", "ld", "links", "noscript", "empty_root", "has_address", "anchor_label", "scope_text"])
 
 
 def facts(source: Column, url: Column) -> Column:
     return F.pandas_udf(_facts, FACTS)(source, url)
 
 
-LD_NODE = "array<struct<types:array<string>,name:string,email:string,contact_email:string,telephone:string,phone:string,fax:string,address:string>>"
-
-
 def ld_nodes(blocks: list[str]) -> list[dict]:
     """Every object in the blocks that are JSON, outer ones first, with the members that name contacts."""
     out = []
@@ -204,11 +202,3 @@ def ld_address(value) -> str:
         return ""
     parts = [value.get(k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
     return " ".join(" ".join(str(p).split()) for p in parts if p)
-
-
-def _ld(blocks: pd.Series) -> pd.Series:
-    return pd.Series([ld_nodes(list(b)) for b in blocks])
-
-
-def ld_facts(blocks: Column) -> Column:
-    return F.pandas_udf(_ld, LD_NODE)(blocks)

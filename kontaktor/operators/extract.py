@@ -21,11 +21,17 @@ def _first(values: Column) -> Column:
     return F.coalesce(F.get(_filled(values), F.lit(0)), F.lit(""))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """pages in as many partitions as there are cores, if they came in fewer than half so many: a small input, since large ones
+    are read in many. Parsing costs far more than to move them."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if 2 * pages.rdd.getNumPartitions() < cores else pages
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """pages (ord, url, html, error) with the parser's facts: each page is parsed once, where it has a body."""
     has = F.col("error").isNull() if "error" in pages.columns else F.lit(True)
-    p = pages.withColumn("f", dom.facts(F.when(has, F.col("html")), F.col("url"))).withColumn("ld", dom.ld_facts(F.col("f.ld_json")))
-    return p
+    return spread(pages).withColumn("f", dom.facts(F.when(has, F.col("html")), F.col("url"))).withColumn("ld", F.col("f.ld"))
 
 
 def contacts(pages: DataFrame, *, drop_free_mail: bool = False) -> DataFrame:
