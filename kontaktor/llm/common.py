@@ -12,8 +12,11 @@ from ..sinks.tables import discard, release, written  # noqa: F401
 WHITE = " \t\n\x0b\x0c\r"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table. One that is read in fewer partitions than half the cores is a small one, and is dealt to all of them."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
 
 
 def low_words(text: str | None) -> list[bytes]:
