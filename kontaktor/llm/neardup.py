@@ -94,19 +94,18 @@ def likely() -> Column:
     return F.when(sizes, agree).otherwise(F.lit(False))
 
 
-def crowded(rows: DataFrame, key: str, n: int, least: int = 64) -> tuple[DataFrame, int]:
-    """(key, n) of the keys that more than a bounded number of rows have, and that number. Of n rows in all no more than HOT keys
-    can have so many, so they may be broadcast."""
-    bound = max(least, -(-n // HOT))
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound), bound
+def crowded(rows: DataFrame, key: str) -> DataFrame:
+    """(key, parts), as a table: the keys that more than a bounded number of rows have, and how many tasks such rows fill. No more
+    than HOT keys can have so many, so they may be broadcast."""
+    bound = max(64, -(-rows.count() // HOT))
+    return written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("parts")))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. sets: (id, shingles).
 
     A centre's pairs may be many: its set goes to as many tasks as they fill, and they are dealt to these by a."""
-    hot, bound = crowded(pairs, "b", pairs.count())
-    hot = F.broadcast(hot.select(F.col("b").alias("hot_b"), F.ceil(F.col("n") / bound).cast("int").alias("parts")))
+    hot = F.broadcast(crowded(pairs, "b").withColumnRenamed("b", "hot_b"))
     parts = F.coalesce("parts", F.lit(1))
     left = pairs.join(hot, pairs["b"] == F.col("hot_b"), "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("salt"))
     as_b = sets.join(hot, sets["id"] == F.col("hot_b"), "left").select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("shingles").alias("sb"))
@@ -126,30 +125,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def with_least(rows: DataFrame, n: int) -> DataFrame:
-    """rows (u, v), n of them, with m: the least v of the same u. Each task adds up its own rows first; the rows of a u that has
-    many don't come together, but meet its minimum where they are."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+def with_least(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v), n of them, with m: the least v of the same u; and the table of these, to discard later. Each task adds up its own
+    rows first; the rows of a u that has many don't come together, but meet its minimum where they are."""
+    least = written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     bound = max(64, -(-n // HOT))
     hot = rows.join(F.broadcast(least.where(F.col("n") > bound).select("u", "m")), "u", "left")
     cold = hot.where(F.col("m").isNull()).drop("m").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
-    return hot.where(F.col("m").isNotNull()).unionByName(cold)
+    return hot.where(F.col("m").isNotNull()).unionByName(cold), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in an edge; component is the smallest id reachable.
 
     Large-star and small-star steps in turn, until each component is a star around its smallest id. Each step is a
-    group-by with a minimum and a join back; the edges are written in the shared folder after every round."""
+    group-by with a minimum and a join back, written in the shared folder before the next reads it."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before, n = None, edges.count()
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = with_least(large, n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = written(small.select("e.u", "e.v").where("u <> v").distinct())
-        discard(edges)
-        edges = after
+        both, least = with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
+        large = written(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
+        discard(edges, least)
+        met, least = with_least(large, n)
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -233,8 +233,7 @@ def overlapping(loose: DataFrame, sets: DataFrame, done: list[DataFrame]) -> Dat
     rows = rows.join(loose, "id").select("id", "component", "apart", "n", "own", F.posexplode("head").alias("at", "x"))
     rows = written(rows.select("id", "component", "apart", "n", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s")))
     done.append(rows)
-    hot, bound = crowded(rows, "s", rows.count())
-    rows = rows.join(F.broadcast(hot.select("s", F.ceil(F.col("n") / bound).cast("int").alias("parts"))), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.join(F.broadcast(crowded(rows, "s")), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
     x = rows.where("apart").select("s", each_part, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
     y = rows.select("s", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("apart").alias("both"))
