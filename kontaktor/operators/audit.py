@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, phones, query_text
 from ..functions.text import strip, text_or_empty
+from ..sinks.tables import written
 from . import blocklist as block
 
 NUMBER_COLUMNS = ("whatsapp", "phone", "other_whatsapp")
@@ -49,25 +50,27 @@ def _of(column: str):
 
 
 def audited(rows: DataFrame, blocklist: DataFrame, places: list[str]) -> DataFrame:
-    """One row of counts. Rows and numbers are aggregated apart, so that no row counts twice."""
+    """One row of counts, of rows and of the numbers in them, in one pass over rows that are stored first: they are dear to derive."""
     n = lambda c, name: F.count_if(c).alias(name)
+    total = lambda c, name: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias(name)
     status = F.lower(strip(text_or_empty(F.col("status"))))
-    of_rows = block.tagged(judged(rows, places), blocklist, url="website").agg(
+    found = F.filter(F.concat(*(_of(c) for c in NUMBER_COLUMNS)), lambda x: x["number"] != "")
+    r = judged(written(rows), places).withColumn("_numbers", F.transform(found, lambda x: x["number"]))
+    r = block.tagged(r, blocklist, url="website").withColumns({"_mobile": F.filter("_numbers", phones.is_mobile), "_landline": F.filter("_numbers", phones.is_landline)})
+    return r.agg(
         F.count("*").alias("rows"),
         n(F.col("relevant"), "relevant"),
         n(F.size("asked_places") > 0, "located"),
         n(F.col("mismatched"), "mismatched"),
         n(F.col("blocked_by").isNull(), "non_aggregator"),
+        total("_numbers", "numbers"),
+        (F.coalesce(F.sum(F.size("_mobile") + F.size("_landline")), F.lit(0))).cast("long").alias("valid_numbers"),
+        total("_mobile", "mobiles"),
+        total("_landline", "landlines"),
         F.count_distinct(F.when(text_or_empty(F.col("website")) != "", F.col("host"))).alias("unique_hosts"),
         n(F.col("has_contact"), "with_contact"),
         n(~status.isin("ok", ""), "errors"),
     )
-    number = F.col("number")
-    known = numbers(rows).select(phones.is_mobile(number).alias("mobile"), phones.is_landline(number).alias("landline"))
-    mobile, landline = F.col("mobile"), F.col("landline")
-    of_numbers = known.agg(F.count("*").alias("numbers"), n(mobile | landline, "valid_numbers"), n(mobile, "mobiles"), n(landline, "landlines"))
-    order = ("rows", "relevant", "located", "mismatched", "non_aggregator", "numbers", "valid_numbers", "mobiles", "landlines", "unique_hosts", "with_contact", "errors")
-    return of_rows.crossJoin(F.broadcast(of_numbers)).select(*order)  # one row and one row
 
 
 def aggregator_hosts(rows: DataFrame, blocklist: DataFrame, limit: int = 10) -> DataFrame:
@@ -81,6 +84,13 @@ def invalid_numbers(rows: DataFrame) -> DataFrame:
     return numbers(rows).where(~phones.is_plausible(F.col("number"))).groupBy("column", "number").agg(F.count("*").alias("n"))
 
 
+def first_invalid(rows: DataFrame, limit: int = 10) -> tuple[list, int]:
+    """The most frequent implausible numbers, `limit` of them at most, and how many others there are."""
+    found = invalid_numbers(rows)
+    shown = found.orderBy(F.desc("n"), "column", "number").limit(limit).collect()
+    return shown, found.count() - len(shown)
+
+
 def percentages(audit: DataFrame) -> DataFrame:
     """Whole percents, rounded down; null without a denominator. rows_per_host over 2 means duplicates."""
     share = lambda a, b: F.when(F.col(b) > 0, F.floor(100 * F.col(a) / F.col(b))).alias(f"{a}_pct")

@@ -6,12 +6,15 @@ import csv
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from ..functions import fixed
+from ..operators import search
+from ..sources.files import table_or_empty
+from .tables import discard, written
 
 PARTIAL = ".partial"
 
@@ -116,12 +119,27 @@ def remove_partials(path: str | Path, rows_written: int) -> int:
     return gone
 
 
-def managed(name: str, folder: str | Path) -> Path:
-    """A path in the managed folder: only the name's last part counts; the folder is the owner's alone."""
+def insert_results(rows: DataFrame, path: str, *, key: str = "url") -> tuple[int, int]:
+    """Append to the stored results at path the first row of each key that isn't there yet; how many were inserted, and how many rows weren't."""
+    n = rows.count()
+    fresh = written(search.new_rows(rows, table_or_empty(rows.sparkSession, path, rows.schema), key))
+    inserted = fresh.count()
+    if inserted:
+        fresh.write.mode("append").parquet(path)
+    discard(fresh)
+    return inserted, n - inserted
+
+
+def managed(name: str, folder: str | Path, say: Callable[[str], None] = print) -> Path:
+    """A path in the managed folder: only the name's last part counts; the folder is the owner's alone. A file that is there
+    already is announced, since it will be replaced."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
     owner_only(folder)
-    return folder / Path(name).name
+    out = folder / Path(name).name
+    if out.exists():
+        say(f"replaces {out}")
+    return out
 
 
 def listed(folder: str | Path, here: str | Path = ".") -> list[Path]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed
@@ -57,7 +58,7 @@ def companies(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in fixed.COMPANY_COLUMNS), *(c for c in rows.columns if c not in fixed.COMPANY_COLUMNS))
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def table_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A stored table, or an empty one if it isn't there or can't be read."""
     try:
         return spark.read.schema(schema).parquet(path)

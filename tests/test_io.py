@@ -55,6 +55,43 @@ def test_partial_files(tmp_path):
     assert stat.S_IMODE(os.stat(tmp_path / "m").st_mode) == 0o700
 
 
+def test_results_are_inserted_once(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "")], "ord long, url string")
+    assert publish.insert_results(rows, str(tmp_path / "store")) == (2, 2)
+    assert publish.insert_results(rows.union(spark.createDataFrame([(9, "c")], rows.schema)), str(tmp_path / "store")) == (1, 4)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "store")).collect())) == [(0, "a"), (1, "b"), (9, "c")]
+    said = []
+    (tmp_path / "x.enc").write_text("")
+    publish.managed("x.enc", tmp_path, said.append)
+    publish.managed("y.enc", tmp_path, said.append)
+    assert len(said) == 1 and "x.enc" in said[0]
+
+
+def test_bodies_are_read_no_further_than_the_limit():
+    taken = []
+
+    def chunks():
+        for k in range(100):
+            taken.append(k)
+            yield b"x" * (fixed.MAX_BODY // 4)
+
+    assert fetch.page_of(fetch.Answer(200, {"Content-Type": "text/html"}, chunks())) == (None, "response too large") and len(taken) == 5
+    assert fetch.page_of(fetch.Answer(200, {"Content-Type": "text/html"}, iter([b"a", b"b"]))) == ("ab", None)
+
+
+def test_robots_rules_are_asked_once_for_each_base(spark):
+    wanted = spark.createDataFrame([("https://a.example/x",), ("https://a.example/y",), ("http://a.example/",), ("https://down.example/",), ("nonsense",)], "url string")
+
+    def get(url):
+        if "down" in url:
+            return fetch.Answer(failure="Timeout")
+        return fetch.Answer(200, {}, b"User-agent: *\nDisallow: /x") if url.startswith("https") else fetch.Answer(404)
+
+    got = sorted((r.base, r.status, bool(r.body)) for r in fetch.robots_rules(wanted, get).collect() if r.status) + [r.base for r in fetch.robots_rules(wanted, get).where("status IS NULL").collect()]
+    assert got == [("http://a.example", 404, False), ("https://a.example", 200, True), "https://down.example"]
+    assert fetch.workers_of(99) == fixed.MAX_WORKERS and fetch.workers_of(0) == 1 and fetch.workers_of(4, render=True) == 1
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("é", 1)], "title string, n int")
     assert publish.export_results(rows.limit(0), tmp_path / "x.csv") is None

@@ -186,6 +186,12 @@ def test_audit(spark):
     assert audit.vocabulary(spark, ["Kota Baru", "ab"])[-1] >= "a" and {"kota", "baru"} <= set(audit.vocabulary(spark, ["Kota Baru", "ab"]))
 
 
+def test_first_invalid_numbers_and_the_rest(spark):
+    rows = spark.createDataFrame([("+621", f"+62{k}; +621", "") for k in range(10, 14)], "whatsapp string, phone string, other_whatsapp string")
+    shown, others = audit.first_invalid(rows, 3)
+    assert [(r["column"], r.number, r.n) for r in shown] == [("phone", "+621", 4), ("whatsapp", "+621", 4), ("phone", "+6210", 1)] and others == 3
+
+
 @pytest.fixture(scope="module")
 def second(data):
     c = duckdb.connect()
