@@ -202,3 +202,39 @@ def ld_address(value) -> str:
         return ""
     parts = [value.get(k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
     return " ".join(" ".join(str(p).split()) for p in parts if p)
+
+
+RESULTS = "array<struct<href:string, title:string, display_url:string, description:string>>"
+
+
+def _inside(node: Node, *path: str) -> Node | None:
+    """The first element, in document order, that a path of tag or tag.class leads to, each step anywhere below the one before."""
+    if not path:
+        return node
+    tag, _, kind = path[0].partition(".")
+    for x in node.walk():
+        if x is not node and x.tag == tag and (not kind or kind in (x.attrs.get("class") or "").split()) and (hit := _inside(x, *path[1:])) is not None:
+            return hit
+    return None
+
+
+def result_items(source: str | None) -> list[dict]:
+    """Organic results of a search engine's page: the linked heading of each item, with its caption and its shown address."""
+    out = []
+    for item in Tree(source or "").root.walk():
+        if item.tag != "li" or fixed.RESULT_ITEM not in (item.attrs.get("class") or "").split():
+            continue
+        heads = [a for h in item.walk() if h.tag == "h2" for a in h.walk() if a.tag == "a" and "href" in a.attrs]
+        if not heads:
+            continue
+        first = lambda paths, between=" ", item=item: next((n.text(between) for p in paths if (n := _inside(item, *p)) is not None), "")
+        out.append({"href": (heads[0].attrs["href"] or "").strip(), "title": heads[0].text(), "display_url": first(fixed.RESULT_ADDRESS, ""), "description": first(fixed.RESULT_CAPTION)})
+    return out
+
+
+def _results(source: pd.Series) -> pd.Series:
+    return source.map(result_items)
+
+
+def results(source: Column) -> Column:
+    return F.pandas_udf(_results, RESULTS)(source)

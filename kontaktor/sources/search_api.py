@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import dom, fixed, urls
 from ..functions.text import collapse, text_or_empty
+from .fetch import Transport, bounded, decode
 
 Post = Callable[[dict, dict], tuple[int, str]]
 BODY = "query string, page int, status int, body string"
@@ -187,10 +189,54 @@ def needs_script(html: Column) -> Column:
     return html.contains("enablejs") | html.contains("/httpservice/retry")
 
 
-def results_of_pages(raw: DataFrame) -> DataFrame:
-    """raw: query, page, html of result pages. The links of each page that lead off the engine, unwrapped, with their labels."""
-    facts = raw.where(~needs_script(text_or_empty(F.col("html")))).select("query", "page", dom.facts(F.col("html"), F.lit("https://search.invalid/")).alias("f"))
-    x = facts.select("query", "page", F.explode("f.links").alias("l"))
-    url = urls.unwrapped(F.col("l.target"))
-    rows = x.select("query", (F.col("page") * 1000 + F.col("l.pos")).cast("long").alias("ord"), url.alias("url"), collapse(text_or_empty(F.col("l.label"))).alias("title"))
+def results_of_pages(raw: DataFrame, *, items: bool = False) -> DataFrame:
+    """raw: query, page, html of result pages. (query, ord, url, title, display_url, description) of their results, links unwrapped:
+    items: those in an engine's result items; else, where the markup isn't known, every labelled link that leads off the engine."""
+    pages = raw.where(~needs_script(text_or_empty(F.col("html"))))
+    at = (F.col("page") * 1000 + F.col("pos")).cast("long").alias("ord")
+    if items:
+        x = pages.select("query", "page", F.posexplode(dom.results(F.col("html"))).alias("pos", "x")).where("x.href <> ''")
+        return x.select("query", at, urls.unwrapped(F.col("x.href")).alias("url"), "x.title", "x.display_url", "x.description")
+    x = pages.select("query", "page", F.explode(dom.facts(F.col("html"), F.lit("https://search.invalid/"))["links"]).alias("l")).select("query", "page", "l", F.col("l.pos").alias("pos"))
+    rows = x.select("query", at, urls.unwrapped(F.col("l.target")).alias("url"), collapse(text_or_empty(F.col("l.label"))).alias("title"), F.lit("").alias("display_url"), F.lit("").alias("description"))
     return rows.where(rows["url"].rlike("(?i)^https?://") & (urls.host(rows["url"]) != "search.invalid") & (rows["title"] != ""))
+
+
+def result_pages(queries: DataFrame, get: Transport, most: int, *, address: Callable[[str, int], str], home: str | None = None, pause: float = 2.0, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(qord, query, page, html) of the pages that `most` results of each query (qord, query) need; address gives a page's URL from
+    the query and the place of its first result. home is asked first, so that the engine knows its guest; a first page
+    without results is asked for once more after another such visit. Busy answers (429, 503) and silence are tried again."""
+    starts = [fixed.RESULTS_PER_PAGE * k + 1 for k in range(-(-most // fixed.RESULTS_PER_PAGE))]
+
+    def page_of(url: str) -> str | None:
+        for k in range(attempts):
+            answer = get(url)
+            if not answer.failure and answer.status < 400:
+                return decode(bounded(answer.body) or b"", answer.headers.get("Content-Type", ""))
+            if not answer.failure and answer.status not in (429, 503):
+                return None
+            if k < attempts - 1:
+                sleep(pause * 2**k)
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = False
+        for b in batches:
+            for qord, query in zip(b["qord"], b["query"], strict=True):
+                out = []
+                for k, first in enumerate(starts):
+                    if home and not met:
+                        get(home)
+                        met = True
+                    html = page_of(address(query, first))
+                    if k == 0 and html is not None and not dom.result_items(html) and home:
+                        get(home)
+                        html = page_of(address(query, first))
+                    if html is None:
+                        break
+                    out.append((qord, query, k + 1, html))
+                    if not dom.result_items(html):
+                        break
+                yield pd.DataFrame(out, columns=["qord", "query", "page", "html"])
+
+    return queries.select("qord", "query").repartition(1).sortWithinPartitions("qord").mapInPandas(run, "qord long, query string, page int, html string")

@@ -206,6 +206,38 @@ def test_result_pages(spark):
     assert [(r.url, r.title) for r in search_api.results_of_pages(rows).collect()] == [("https://a.example/", "A name")]
 
 
+ITEMS = """<ol><li class="b_algo x"><h2><a href="https://e.example/ck?u=a1aHR0cHM6Ly9hLmV4YW1wbGUvP3g9MQ">A <b>name</b></a></h2><div class="b_caption"><p>what <i>it</i> is</p></div>
+<div class="b_attribution"><cite>a.<b>example</b></cite></div></li><li class="b_algo"><p class="b_lineclamp2">two</p><h2><a href="https://b.example/">B</a></h2><p>one</p><cite>b</cite></li>
+<li class="b_algo"><a href="https://c.example">no heading</a></li><li class="b_ad"><h2><a href="https://ad.example">ad</a></h2></li></ol>"""
+
+
+def test_result_items(spark):
+    rows = spark.createDataFrame([("q", 1, ITEMS), ("q", 2, "<p>none</p>"), ("r", 1, "enablejs " + ITEMS), ("s", 1, None)], "query string, page int, html string")
+    got = [tuple(r) for r in search_api.results_of_pages(rows, items=True).orderBy("ord").collect()]
+    assert got == [("q", 1000, "https://a.example/?x=1", "A name", "a.example", "what it is"), ("q", 1001, "https://b.example/", "B", "b", "two")]
+
+
+def test_result_pages_are_warmed_up_and_tried_again(spark, tmp_path):
+    asked, page = str(tmp_path / "asked"), ITEMS
+
+    def get(url):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        n = open(asked).read().count(url + "\n")
+        if url == "home":
+            return fetch.Answer(200, {}, b"")
+        if "busy" in url:
+            return fetch.Answer(503) if n < 3 else fetch.Answer(200, {}, page.encode())
+        if "gone" in url:
+            return fetch.Answer(404)
+        return fetch.Answer(200, {}, page.encode() if n > 1 or "first=11" in url else b"<p>who are you?</p>")
+
+    queries = spark.createDataFrame([(0, "cold"), (1, "busy"), (2, "gone")], "qord long, query string")
+    got = search_api.result_pages(queries, get, 15, address=lambda q, first: f"{q}&first={first}", home="home", sleep=lambda s: None).collect()
+    assert [(r.query, r.page, "b_algo" in r.html) for r in got] == [("cold", 1, True), ("cold", 2, True), ("busy", 1, True), ("busy", 2, True)]
+    assert open(asked).read().split() == ["home", "cold&first=1", "home", "cold&first=1", "cold&first=11", *["busy&first=1"] * 3, *["busy&first=11"] * 3, "gone&first=1"]
+
+
 def test_cache(spark):
     results = spark.createDataFrame([("q", 1, "u2"), ("q", 0, "u1"), ("r", 0, "u3")], "query string, ord long, url string")
     cache = search_api.cacheable(results, "api", 10)
