@@ -213,8 +213,9 @@ class Records:
             if bucket[x] < 0:
                 continue
             words = np.concatenate([a[x:y], b[x:y], c[x:y]])
-            rare = np.unique(words[words >= size])
-            words = np.where(words >= size, size + np.searchsorted(rare, words), words)
+            at = np.flatnonzero(words >= size)
+            rare, own = np.unique(words[at], return_inverse=True)
+            words[at] = size + own
             k = y - x
             columns = [np.diff(words[:k], prepend=0), words[k : 2 * k], words[2 * k :], times[x:y]]
             if with_rows:
@@ -242,8 +243,8 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n[order], first) if len(first) else n[:0]
-    of_row = np.empty_like(n)
+    total = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    of_row = np.empty(len(n), np.int64)
     of_row[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
     return order[first], total, of_row
 
@@ -268,16 +269,23 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def count(batches):
         lex, at, parts = held.value, None, []
+        order = np.argsort(lex.hashes)
+        hashes_known, counts_known = lex.hashes[order], lex.counts[order]
+
+        def known(hashes):
+            i = np.minimum(np.searchsorted(hashes_known, hashes), len(hashes_known) - 1)
+            return np.where(hashes_known[i] == hashes, counts_known[i], -1)
 
         def settle():
             if not parts:
                 return
-            pair, after, l, r, hot, ends, n, of, rn = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = list(zip(*parts, strict=True))
             parts.clear()
+            pair, after, l, r, hot, ends, n = (np.concatenate(columns.pop(0)) for _ in range(7))
             i, total, of_pair = summed(pair, n)
             keep = hot[i] | (total >= LEAST)
             i, total = i[keep], total[keep]
-            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total, of[i], rn[i])
+            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total, known(l[i]), known(r[i]))
             pair, after, n, hot, of_pair = pair[~ends], after[~ends], n[~ends], hot[~ends], np.where(hot, -1, of_pair)[~ends]
             i, total, _ = summed(joined(pair, after, 3), n)
             keep = total >= LEAST
@@ -289,8 +297,7 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield from settle()
                 at = p
             a, b, pair, after, ends, times, _, hashes = opened(block, lex)
-            known = lambda c: np.where(c < lex.size, lex.counts[np.minimum(c, lex.size - 1)], -1)
-            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times, known(a), known(b)))
+            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times.astype(np.int32)))
         yield from settle()
 
     blocks = training.select("text").mapInArrow(emit, "p int, block binary").withColumn("kind", F.lit(0))
