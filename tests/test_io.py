@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontaktor.functions import fixed
-from kontaktor.sinks import crypto, publish
+from kontaktor.sinks import crypto, publish, tables
 from kontaktor.sources import fetch, files, search_api
 from kontaktor.streaming import resume
 
@@ -55,6 +55,52 @@ def test_partial_files(tmp_path):
     assert stat.S_IMODE(os.stat(tmp_path / "m").st_mode) == 0o700
 
 
+def test_a_crash_between_urls_and_progress_changes_nothing(spark, tmp_path):
+    s = resume.State(spark, str(tmp_path / "state"), now=lambda: "t")
+    pages = spark.createDataFrame([("q|api", "q", "api", 1, "u1", True)], "query_key string, query_text string, engine string, page int, url string, fresh boolean")
+    s.record_results(pages)
+    publish_ = s._publish
+
+    def crash(table, rows, number=None):
+        if table == "query_state":
+            raise OSError("gone")
+        publish_(table, rows, number)
+
+    s._publish = crash
+    with pytest.raises(OSError):
+        s.record_results(pages.selectExpr("query_key", "query_text", "engine", "2 AS page", "'u2' AS url", "fresh"))
+    s._publish = publish_
+    assert [r.url for r in s.read("seen_urls").collect()] == ["u1"] and s.read("query_state").first().next_page == 2
+    for k in range(3, 7):
+        s.record_results(pages.selectExpr("query_key", "query_text", "engine", f"{k} AS page", f"'u{k}' AS url", "fresh"))
+    assert sorted(r.url for r in s.read("seen_urls").collect()) == ["u1", "u3", "u4", "u5", "u6"]
+    assert max(len(s._versions(t)) for t in ("seen_urls", "query_state")) <= 2
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    rows = spark.range(10).selectExpr("id", "id % 2 AS o")
+    t = tables.written(rows, by="o")
+    assert sorted(t.columns) == ["id", "o"] and t.count() == 10
+    tables.discard(t, part="o=1")
+    assert spark.read.parquet(t.written_at).where("o = 0").count() == 5 and not os.path.exists(f"{t.written_at}/o=1".removeprefix("file:"))
+    tables.discard(t)
+    assert not os.path.exists(t.written_at.removeprefix("file:"))
+    one, two = tables.written(rows), tables.written(rows)
+    tables.release(spark)
+    assert not any(os.path.exists(x.written_at.removeprefix("file:")) for x in (one, two))
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(Cluster)
+
+
 def test_results_are_inserted_once(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "")], "ord long, url string")
     assert publish.insert_results(rows, str(tmp_path / "store")) == (2, 2)
