@@ -23,7 +23,7 @@ def _blocklist(spark: SparkSession) -> DataFrame:
 
 def host_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per host: pages, distinct addresses of their markup, the one to write to."""
-    p = _pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), emails.cleaned(emails.found(F.col("html"))).alias("e"))
+    p = extract.spread(_pages(spark, sf_dir).select("url", "html")).select(urls.host(F.col("url")).alias("host"), emails.cleaned(emails.found(F.col("html"))).alias("e"))
     p = p.where("host <> ''")
     g = p.groupBy("host").agg(F.count("*").alias("n_pages")).join(collapse.united(p, "host", ("e",)), "host", "left")
     g = g.withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
@@ -181,7 +181,7 @@ SELECT page_id, coalesce(parts[1], '') AS company FROM t WHERE len(parts) > 0 OR
 
 
 def documents_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = extract.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     raw, e = F.col("raw"), F.col("e")
     # Each text is searched once; the lists derive from what was found.
     d = d.select("doc_id", emails.found(F.col("text")).alias("raw")).select("doc_id", "raw", emails.cleaned(raw).alias("e"))
