@@ -284,12 +284,11 @@ def _oracle() -> str:
 
     values = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in sorted(d.items()))
     return f"""
-WITH known(digest, license) AS (VALUES {values(known_texts())}),
+WITH known(digest, license) AS (VALUES {values(whole_texts())}),
 notice(digest, name) AS (VALUES {values(known_notices())}),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-hit AS (SELECT doc_id, name FROM line JOIN notice ON notice.digest = sha256({canon("l")})
-        WHERE length(l) <= 400 AND regexp_matches(lower(l), 'licen|gpl|cc0|cc by|cc-by')),
+hit AS (SELECT doc_id, name FROM line JOIN notice ON notice.digest = sha256({canon("l")})),
 per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM hit GROUP BY doc_id),
 whole AS (SELECT doc_id, sha256({canon("t")}) AS digest FROM d)
 SELECT w.doc_id, w.digest, known.license, CAST(coalesce(per.n, 0) AS BIGINT) AS n_notices, coalesce(per.names, '') AS notices
