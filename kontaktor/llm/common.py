@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system where its allocator can: a worker serves many tasks, and what one needed the next may not."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def low_words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at WHITE: bytes.lower() and bytes.split() touch ASCII only."""
     return text.encode("utf-8", "replace").lower().split() if text else []

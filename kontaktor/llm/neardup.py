@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, discard, low_words, mixed, shingles, table, word_hashes, written
+from .common import Codes, discard, low_words, mixed, shingles, table, trimmed, word_hashes, written
 
 WIDTH = 5  # words in a shingle
 PERCENT = 75  # similarity of a link at least
@@ -69,6 +69,8 @@ def signatures(documents: DataFrame) -> DataFrame:
                 columns = [ids.slice(k, len(sets)), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64())]
                 columns += [pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int8()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "keys", "low"])
+        del shingle
+        trimmed()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, low array<tinyint>")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, byte_symbols, table, words, written
+from .common import Codes, byte_symbols, table, trimmed, words, written
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -135,6 +135,8 @@ def pieces(documents: DataFrame, *, tokenizer: str | None = None, capacity: int
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 columns = list(zip(*out, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        del encode
+        trimmed()
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import WHITE, Codes, table, words
+from .common import WHITE, Codes, table, trimmed, words
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -167,6 +167,8 @@ def of_quality(documents: DataFrame, *, vocabulary: str | None = None, bands=Non
         for b in batches:
             got = rows(b.column("text").to_pylist(), b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows)
             yield b.filter(pa.array([r[6] for r in got], pa.bool_()))
+        del rows
+        trimmed()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Codes, low_words, table
+from .common import Codes, low_words, table, trimmed
 
 BUCKET_BITS = 30
 SAMPLE = 6000  # labelled rows at most; they are the first by a hash of their id
@@ -227,8 +227,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample
                     texts.append(lexicon.of(words).astype(np.int32))
                     toxic.append(own)
                     langs.append(lang)
-        model = train(texts, list(lexicon), np.array(toxic, np.int64), langs)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        model = pickle.dumps(train(texts, list(lexicon), np.array(toxic, np.int64), langs))
+        del texts, lexicon
+        trimmed()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     got = rows.select("text", "toxic", "lang").mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0].model) if got else constant(0.0)
@@ -297,6 +299,8 @@ def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
             langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
             keep = [x < cuts.get(g, CUT) for x, g in zip(scores(b.column("text").to_pylist()), langs, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        del scores
+        trimmed()
 
     return documents.mapInArrow(run, documents.schema)
 
