@@ -10,18 +10,19 @@ that is a number of its own, which its occurrences meet in a bucket.
 Counts are exact and distributed, words and n-grams told apart by 64-bit hashes. A
 position of a text is one record: a pair and what follows it. Tasks sort records, pack
 them in blocks by bucket of their pair, and deal the blocks out; so each bucket has all
-that belongs to its pairs, and a record takes a few bytes of a shuffle. What a worker
+that belongs to its pairs, and a record takes a few bytes of a shuffle. Pairs and triples
+meet by joins only for the numbers that other buckets have; gains are settled in buckets,
+from blocks too. Texts are cut into words by Arrow, many at once, and what is told of a
+word is told once for all its places in such a cut. What a worker
 holds is bounded: the WORDS commonest words, and at most 1 / GRAM_SHARE n-grams of each
 order have such a share of all tokens. These bounds change no score.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, low_words, mixed, table, written
+from .common import discard, mixed, table, written
 
 END = b"\n"  # no word holds white space
 NONE = b""  # stands where a text has ended; no word is empty
@@ -47,6 +48,7 @@ LEAST = 2  # the model's n-grams are all that occur so often, at any size
 DISCOUNT = 0.5
 REST = 0  # the class of all words that are no tokens of the automaton
 FOLD = 1_500_000  # records that a task sorts and packs at once
+CUT = 8_000_000  # bytes of texts that are cut into words at once; a longer text is cut alone
 BUCKET = 2_000_000  # tokens for each bucket
 
 
@@ -54,24 +56,52 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0
 
 
-def _batches(counter: Counter, kind: pa.DataType, name: str):
-    items = list(counter.items())
-    counter.clear()
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], kind), pa.array([n for _, n in items], pa.int64())], [name, "n"])
+@dataclass
+class Cut:
+    """Texts cut into words, as common.low_words does."""
+
+    sizes: np.ndarray  # words of each text
+    numbers: np.ndarray  # of all words, text after text: their places in `words`
+    words: pa.Array  # distinct, as bytes
+
+
+def cuts(texts: pa.Array) -> Iterator[Cut]:
+    """Slices of texts in their order; a null text is empty. Arrow's white space is that of ASCII too."""
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + CUT, "right")) - 1)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, to - at), "")))
+        sizes, words = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+        full = pc.binary_length(words).to_numpy() > 0  # there is an empty one before and after outer white space
+        if not full.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+            words = words.filter(pa.array(full))
+        words = words.dictionary_encode()
+        yield Cut(sizes, words.indices.to_numpy(), words.dictionary.cast(pa.binary()))
+        at = to
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) over all tokens of the training texts, END included; each task adds up its part first."""
 
     def run(batches):
-        counts: Counter = Counter()
+        parts, ends = [], 0
+
+        def added():
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for b in batches:
-            for t in b.column("text").to_pylist():
-                counts.update(low_words(t))
-                counts[END] += 1
-                if len(counts) > 500_000:
-                    yield _batches(counts, pa.binary(), "word")
-        yield _batches(counts, pa.binary(), "word")
+            for cut in cuts(b.column("text")):
+                parts.append(pa.table({"word": cut.words, "n": np.bincount(cut.numbers, minlength=len(cut.words))}))
+                ends += len(cut.sizes)
+                if len(parts) > 1 and sum(len(x) for x in parts) > 500_000:
+                    parts = [added()]
+                if len(parts[0]) > 500_000:
+                    yield from parts.pop().to_batches()
+        if ends:
+            parts.append(pa.table({"word": pa.array([END], pa.binary()), "n": np.array([ends])}))
+            yield from added().to_batches()
 
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -90,7 +120,8 @@ def joined(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
 class Lexicon:
     """What every worker knows of words: codes from 1 on, the commonest first; 0 is NONE, rarer words are numbered from `size` on."""
 
-    codes: dict[bytes, int]
+    words: pa.Array  # by code
+    end: int  # the code of END
     hashes: np.ndarray  # by code
     counts: np.ndarray  # by code, in training
     hot: int  # codes from 1 to hot have HOT_SHARE
@@ -99,7 +130,7 @@ class Lexicon:
 
     @property
     def size(self) -> int:
-        return len(self.codes)
+        return len(self.words)
 
     def bucket(self, pair: np.ndarray, hot: np.ndarray, after: np.ndarray) -> np.ndarray:
         """A pair's bucket; what follows a hot one, given as the hash of the pair after it, salts it."""
@@ -110,81 +141,143 @@ class Lexicon:
         return (a <= self.hot) & (b <= self.hot)
 
 
-STAT, GRAMS, TAIL, TRIPLES, RARE = range(5)  # kinds of blocks, in the order in which a bucket reads them
-_MODEL = ["p", "kind", "block", "k", "l", "r", "o", "n", "bow"]
+STAT, GRAMS, TAIL, TRIPLES, RARE, PAIRS = range(6)  # kinds of blocks, in the order in which a bucket reads them
+MODEL = "p int, kind int, block binary, o long, k long, l long, r long, n long, bow double"
 
 
 def lexicon_of(known: dict[bytes, int], n: int, buckets: int) -> Lexicon:
     words = sorted(known, key=lambda w: (-known[w], w))
-    codes = {w: i for i, w in enumerate([NONE, *words])}
-    return Lexicon(codes, word_hashes(list(codes)), np.array([known.get(w, 0) for w in codes], np.int64), sum(known[w] >= max(2, HOT_SHARE * n) for w in words), buckets, FOLD)
-
-
-def _planes(x: np.ndarray, kind: str) -> bytes:
-    """Numbers byte by byte: all first bytes, all second bytes, and so on, of which most are alike."""
-    return np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), int(kind[-1])).T.tobytes()
+    hot, words = sum(known[w] >= max(2, HOT_SHARE * n) for w in words), [NONE, *words]
+    return Lexicon(pa.array(words, pa.binary()), words.index(END), word_hashes(words), np.array([known.get(w, 0) for w in words], np.int64), hot, buckets, FOLD)
 
 
 def packed(parts: list[np.ndarray], wide: list[np.ndarray]) -> bytes:
-    """Columns of small numbers and columns of 64 bits, compressed."""
-    head = np.array([len(parts), len(wide), *map(len, parts), *map(len, wide)], "<u4").tobytes()
-    return zstandard.compress(b"".join([head, *(_planes(x, "<u4") for x in parts), *(_planes(x, "<u8") for x in wide)]), 3)
+    """Columns of counting numbers, of as many bytes as the largest needs, and columns of 64 bits; byte by byte, as the first
+    bytes of all numbers are alike, the second ones too, and so on; compressed."""
+    widths = [max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1 for x in parts] + [8] * len(wide)
+    head = np.array([len(parts), len(wide), *widths, *map(len, parts), *map(len, wide)], "<u4")
+    planes = (np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, k] for x, width in zip((*parts, *wide), widths, strict=True) for k in range(width))
+    return zstandard.compress(np.concatenate([head.view(np.uint8), *planes]), 3)
 
 
 def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = np.frombuffer(zstandard.decompress(block), np.uint8)
     n_parts, n_wide = raw[:8].view("<u4").tolist()
-    sizes = raw[8 : 8 + 4 * (n_parts + n_wide)].view("<u4").tolist()
-    at, out = 8 + 4 * len(sizes), []
-    for k, size in enumerate(sizes):
-        width = 4 if k < n_parts else 8
-        x = np.ascontiguousarray(raw[at : at + width * size].reshape(width, size).T).view(f"<u{width}").reshape(-1)
-        out.append(x.astype(np.int64) if width == 4 else x)
+    n = n_parts + n_wide
+    head = raw[8 : 8 + 8 * n].view("<u4").tolist()
+    at, out = 8 + 8 * n, []
+    for k, (width, size) in enumerate(zip(head[:n], head[n:], strict=True)):
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = raw[at : at + width * size].reshape(width, size).T
+        out.append(x.reshape(-1).view("<i8" if k < n_parts else "<u8"))
         at += width * size
     return out[:n_parts], out[n_parts:]
 
 
+class Places:
+    """Where keys stand among sorted distinct ones: by a table of their hashes, and by search where some share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(10, min(22, int(len(keys) * 64).bit_length())))
+        slots, times = np.unique(self._slot(keys), return_counts=True)
+        self.table = np.full(1 << int(np.uint64(64) - self.shift), -1, np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys))
+        self.table[slots[times > 1]] = -2
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for those that aren't there."""
+        at = self.table[self._slot(keys)]
+        if not len(self.keys):
+            return at
+        if len(shared := np.flatnonzero(at == -2)):
+            at[shared] = np.minimum(np.searchsorted(self.keys, keys[shared]), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 class Records:
     """Positions of texts as (first, second, third word): each pair and what follows it, NONE at the end.
 
     Words are codes of the lexicon, or numbers of this fold, whose hashes go with each block."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.get, self.end = lexicon, lexicon.codes.get, lexicon.codes[END]
-        self.rare: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.rows: list[int] = []
+        self.lexicon, self.end = lexicon, lexicon.end
+        self.clear()
+
+    def clear(self) -> None:
+        self.rare: list[np.ndarray] = []  # hashes, by number
+        self.n_rare = 0
+        self.lines: list[np.ndarray] = []
+        self.records: list[np.ndarray] = []  # of each text in the lines
+        self.rows: list[np.ndarray] = []
         self.length = 0
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """The words' codes between two ENDs and with NONE after them; -1 for words that the lexicon doesn't know."""
-        out = np.empty(len(words) + 3, np.int64)
-        out[0], out[-2], out[-1] = self.end, self.end, 0
-        out[1:-2] = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+    def codes(self, cut: Cut) -> np.ndarray:
+        """By number of the cut's words: the code, or for words that the lexicon doesn't know -1 and less, each its own."""
+        out = pc.fill_null(pc.index_in(cut.words, value_set=self.lexicon.words), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(out < 0)
+        out[rare] = -1 - rare
         return out
 
-    def add(self, codes: np.ndarray, words: list[bytes], row: int = 0) -> Iterator[None]:
-        """Take in a text's codes; pauses where a fold is due before more can come in. A long text may fill many folds."""
-        most = self.lexicon.fold
-        for at in range(0, len(codes) - 2, most):
-            part = codes[at : at + most + 2]
-            if self.length and self.length + len(part) - 2 > most:
-                yield
-            for i in np.flatnonzero(part < 0).tolist():
-                part[i] = self.lexicon.size + self.rare.setdefault(words[at + i - 1], len(self.rare))
-            if at + most < len(codes) - 2:
-                part = part.copy()
-                codes[at + most : at + most + 2][part[-2:] >= self.lexicon.size] = -1  # the next fold numbers them anew
-            self.parts.append(part)
-            self.rows.append(row)
-            self.length += len(part) - 2
-
-    def fold(self, held: np.ndarray | None = None, with_rows: bool = False) -> list[tuple]:
-        """(bucket, block) of all records so far. held: hashes of triples whose records aren't needed."""
-        a, b, c = (np.concatenate([p[k : len(p) - 2 + k] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for k in range(3))
-        rows = np.repeat(np.array(self.rows, np.int64), [len(p) - 2 for p in self.parts])
-        hashes = np.concatenate([self.lexicon.hashes, word_hashes(list(self.rare))])
-        self.rare, self.parts, self.rows, self.length = {}, [], [], 0
+    def add(self, cut: Cut, codes: np.ndarray, row: int = 0) -> Iterator[int]:
+        """Take in a cut's texts, the first of which is `row`. Pauses where a fold is due before more can come in, with the number
+        of texts that are in wholly. A text longer than a fold fills folds of its own."""
+        most, sizes, records = self.lexicon.fold, cut.sizes, cut.sizes + 1
+        begin, ends = np.cumsum(sizes + 3) - (sizes + 3), np.cumsum(records)
+        # Each text between two ENDs and with NONE after them.
+        line = np.full(len(cut.numbers) + 3 * len(sizes), self.end, np.int64)
+        line[np.arange(len(cut.numbers)) + np.repeat(begin + 1 - (np.cumsum(sizes) - sizes), sizes)] = codes[cut.numbers]
+        line[begin + sizes + 2] = 0
+        i = 0
+        while i < len(sizes):
+            if records[i] > most:
+                if self.length:
+                    yield i
+                for at in range(0, int(records[i]), most):
+                    n = min(most, int(records[i]) - at)
+                    self._take(line[begin[i] + at : begin[i] + at + n + 2], np.array([n]), row + i, cut)
+                    yield i + (at + n == records[i])
+                i += 1
+                continue
+            to = int(np.searchsorted(ends, ends[i] - records[i] + most - self.length, "right"))
+            if to <= i:
+                yield i
+                continue
+            self._take(line[begin[i] : begin[to - 1] + sizes[to - 1] + 3], records[i:to], row + i, cut)
+            i = to
+
+    def _take(self, line: np.ndarray, records: np.ndarray, row: int, cut: Cut) -> None:
+        """Rare words are numbered anew in each fold; one may have several numbers there, but only one hash."""
+        line, at = line.copy(), np.flatnonzero(line < 0)
+        own = -1 - line[at]
+        there = np.zeros(len(cut.words), bool)
+        there[own] = True
+        numbers, there = np.zeros(len(cut.words), np.int64), np.flatnonzero(there)
+        numbers[there] = self.lexicon.size + self.n_rare + np.arange(len(there))
+        line[at] = numbers[own]
+        self.rare.append(word_hashes(cut.words.take(pa.array(there)).to_pylist()))
+        self.n_rare += len(there)
+        self.lines.append(line)
+        self.records.append(records)
+        self.rows.append(row + np.arange(len(records)))
+        self.length += int(records.sum())
+
+    def fold(self, held: Places | None = None, with_rows: bool = False) -> tuple[list[tuple], int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, block) of all records so far, the first one's row, from which rows count, and where rare words stand: their
+        numbers, rows, and hashes by number. held: hashes of triples whose records aren't needed."""
+        lines, records, each = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.lines, self.records, self.rows))
+        hashes = np.concatenate([self.lexicon.hashes, *self.rare])
+        self.clear()
+        place = np.arange(records.sum()) + np.repeat(2 * np.arange(len(records)), records)
+        a, b, c = (lines[place + k] for k in range(3))
+        begin, rows = int(each[0]) if len(each) else 0, None
+        rare = (np.zeros(0, np.int64),) * 3
+        if with_rows:
+            rows = np.repeat(each - begin, records)
+            of = np.flatnonzero(a >= self.lexicon.size)
+            rare = (a[of] - self.lexicon.size, rows[of], hashes[self.lexicon.size :])
         key = a << 42 | b << 21 | c
         if with_rows:
             order = np.argsort(key)
@@ -196,32 +289,31 @@ class Records:
         a, b, c = key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1
         pair, after = joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2)
         bucket = self.lexicon.bucket(pair, self.lexicon.is_hot(a, b), after)
-        if held is not None and len(held):
+        if held is not None:
             # A held triple's pair is held too: such a record adds nothing.
-            triple = joined(pair, after, 3)
-            bucket[held[np.minimum(np.searchsorted(held, triple), len(held) - 1)] == triple] = -1
+            bucket[held.of(joined(pair, after, 3)) >= 0] = -1
         order = np.argsort(bucket.astype(np.int16) if self.lexicon.buckets < 1 << 15 else bucket, kind="stable")
         if with_rows:
             starts = np.cumsum(times) - times
             ends = np.cumsum(times[order])
             rows = rows[np.repeat(starts[order] - (ends - times[order]), times[order]) + np.arange(len(rows))]
         a, b, c, times, bucket = a[order], b[order], c[order], times[order], bucket[order]
-        cuts = [*np.flatnonzero(np.diff(bucket, prepend=-2)).tolist(), len(bucket)]
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-2)).tolist(), len(bucket)]
         total = np.concatenate([[0], np.cumsum(times)])
         out, size = [], self.lexicon.size
-        for x, y in zip(cuts, cuts[1:]):
+        for x, y in zip(edges, edges[1:]):
             if bucket[x] < 0:
                 continue
             words = np.concatenate([a[x:y], b[x:y], c[x:y]])
             at = np.flatnonzero(words >= size)
-            rare, own = np.unique(words[at], return_inverse=True)
+            own_rare, own = np.unique(words[at], return_inverse=True)
             words[at] = size + own
             k = y - x
             columns = [np.diff(words[:k], prepend=0), words[k : 2 * k], words[2 * k :], times[x:y]]
             if with_rows:
                 columns.append(rows[total[x] : total[y]])
-            out.append((int(bucket[x]), packed(columns, [hashes[rare]])))
-        return out
+            out.append((int(bucket[x]), packed(columns, [hashes[own_rare]])))
+        return out, begin, rare
 
 
 def opened(block: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
@@ -261,11 +353,10 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
     def emit(batches):
         records = Records(held.value)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                words = low_words(t)
-                for _ in records.add(records.codes(words), words):
-                    yield _dealt(records.fold())
-        yield _dealt(records.fold())
+            for cut in cuts(b.column("text")):
+                for _ in records.add(cut, records.codes(cut)):
+                    yield _dealt(records.fold()[0])
+        yield _dealt(records.fold()[0])
 
     def count(batches):
         lex, at, parts = held.value, None, []
@@ -325,88 +416,165 @@ def _counted(o: int, k, l, r, p, hot, n, of, rn):
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COUNTED.split(", ")])
 
 
-def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon) -> tuple[DataFrame, list[DataFrame]]:
-    """Words (k, n, bow), and tables of pairs and of triples: blocks (p, kind, block) of hashes and gains, and rows
-    (k, l, r, o, n, bow) of those that are frequent. A gain is what each occurrence adds to the log10 score of its text,
+def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon) -> tuple[DataFrame, DataFrame]:
+    """Words (k, n, bow), and a table of pairs and triples, MODEL: blocks (p, kind, block) of hashes and gains, and rows
+    (o, k, l, r, n, bow) of those that are frequent. A gain is what each occurrence adds to the log10 score of its text,
     beyond what the parts that it is made of add; bow is the log10 backoff weight as a context. grams, written by o, are discarded.
 
     A triple stands in place of its pair's lower probability times the weight of its context, and a pair in place of
     its word's. Each occurrence of a word or pair, but for the last, is a context, and the last is none in training either.
-    Tables hold counts, which take less room than probabilities."""
+    A pair's bucket has all triples that go on from it, and so its weight as a context; sums of salted ones, at most one for
+    each pair of two hot words, go to all buckets."""
     scale, often = n + ADD * (v + 1), max(LEAST, n * GRAM_SHARE)
     word = counts.select(F.xxhash64("word").alias("k"), "n")
     salted = (F.col("o") == 2) & F.col("hot")
     hot = grams.where(salted).groupBy("k", "l", "r", "hot").agg(F.min("p").alias("p"), F.sum("n").alias("n"), F.any_value("of").alias("of"), F.any_value("rn").alias("rn")).where(F.col("n") >= LEAST)
+    hot = written(hot)
     pairs = grams.where(~F.col("hot") & (F.col("o") == 2)).drop("o").unionByName(hot)
     triples = grams.where(F.col("o") == 3).drop("o", "k", "rn")
-    q = (F.col("n") - DISCOUNT) / F.col("of")
-    below = {2: (F.col("rn") + ADD) / scale, 3: (F.col("rn") - DISCOUNT) / F.col("rof")}
-    weight = lambda o: F.log10(F.greatest(1 - F.sum(q), F.lit(1e-9)) / F.greatest(1 - F.sum(below[o]), F.lit(1e-9))).alias("bow")
-    gain = lambda o: F.log10(q) - F.log10(below[o]) - F.col("bow")
-    shown = F.when(F.col("n") >= often, F.col("r")).alias("r")
+    q, below = (F.col("n") - DISCOUNT) / F.col("of"), (F.col("rn") + ADD) / scale
+    weight = F.log10(F.greatest(1 - F.sum(q), F.lit(1e-9)) / F.greatest(1 - F.sum(below), F.lit(1e-9))).alias("bow")
     held = counts.sparkSession.sparkContext.broadcast(lexicon)
 
-    def blocks(o: int):
-        def run(batches):
-            buckets, parts, length = held.value.buckets, [], 0
-
-            def pack():
-                p, k, gains = (np.concatenate(x) for x in zip(*parts, strict=True))
-                parts.clear()
-                order = np.lexsort((k.view(np.uint64), p))
-                p, k, gains = p[order], k[order], gains[order]
-                cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
-                out = [(int(p[x]), GRAMS, packed([], [k[x:y].view(np.uint64), gains[x:y].view(np.uint64)])) for x, y in zip(cuts, cuts[1:])]
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)]
-                return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(out), t) for t in (pa.int64(),) * 5), pa.nulls(len(out), pa.float64())], _MODEL)
-
-            for b in batches:
-                if o == 3:
-                    hashes = joined(*(b.column(c).to_numpy().view(np.uint64) for c in ("l", "r")), 3).view(np.int64)
-                    b = b.set_column(b.schema.get_field_index("k"), "k", pa.array(hashes))
-                often_ = b.filter(pc.greater_equal(b.column("n"), often))
-                if often_.num_rows:
-                    none = [pa.nulls(often_.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*none, *(often_.column(c) for c in ("k", "l", "r")), pa.array(np.full(often_.num_rows, o, np.int64)), often_.column("n"), often_.column("own")], _MODEL)
-                k, p, gains = (b.column(c).to_numpy() for c in ("k", "p", "v"))
-                salted = b.column("hot").to_numpy(zero_copy_only=False) & (o == 2)
-                if salted.any():
-                    # A hot pair's gain lies in each bucket that one of its records may fall in.
-                    at = np.flatnonzero(salted)
-                    spread = (mixed(k[at].view(np.uint64)[:, None] + np.arange(1, SALTS + 1, dtype=np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
-                    once = np.unique(np.stack([np.repeat(at, SALTS), spread.reshape(-1)]), axis=1)
-                    parts.append((once[1].astype(np.int32), k[once[0]], gains[once[0]]))
-                parts.append((p[~salted], k[~salted], gains[~salted]))
-                length += b.num_rows + len(parts[-1][0])
-                if length > 500_000:
-                    yield pack()
-                    length = 0
-            if sum(len(x[0]) for x in parts):
+    def pack2(batches):
+        """Blocks of pairs: hashes, gains but for what weights as contexts add, and the place, number and words of frequent ones."""
+        buckets, parts = held.value.buckets, []
+
+        def pack():
+            p, k, v, n, l, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order, edges = by_bucket(p)
+            out = []
+            for x, y in zip(edges, edges[1:]):
+                at = order[x:y]
+                f = np.flatnonzero(n[at])
+                out.append((int(p[at[0]]), PAIRS, packed([f, n[at[f]]], [z.view(np.uint64) for z in (k[at], v[at], l[at[f]], r[at[f]])])))
+            return _rows_of("p int, kind int, block binary", out)
+
+        for b in batches:
+            p, k, v, n, l, r = (b.column(c).to_numpy() for c in ("p", "k", "v", "n", "l", "r"))
+            n, hot_ = np.where(n >= often, n, 0), b.column("hot").to_numpy(zero_copy_only=False)
+            if hot_.any():
+                # A hot pair's gain lies in each bucket that one of its records may fall in.
+                at = np.flatnonzero(hot_)
+                spread = (mixed(k[at].view(np.uint64)[:, None] + np.arange(1, SALTS + 1, dtype=np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
+                at, to = np.unique(np.stack([np.repeat(at, SALTS), spread.reshape(-1)]), axis=1)
+                parts.append((to.astype(np.int32), k[at], v[at], np.where(to == p[at], n[at], 0), l[at], r[at]))
+            parts.append(tuple(x[~hot_] for x in (p, k, v, n, l, r)))
+            if sum(len(x[0]) for x in parts) > 500_000:
                 yield pack()
+        if sum(len(x[0]) for x in parts):
+            yield pack()
+
+    def pack3(batches):
+        """Blocks of triples: hashes of context and of the pair after it, and numbers. What the contexts of salted ones
+        sum up to goes in rows (l, q, below)."""
+        parts = []
+
+        def pack():
+            p, hot, n, of, rn, rof, l, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order, edges = by_bucket(p)
+            out = []
+            for x, y in zip(edges, edges[1:]):
+                at = order[x:y]
+                out.append((int(p[at[0]]), TRIPLES, packed([z[at] for z in (hot, n, of, rn, rof)], [z[at].view(np.uint64) for z in (l, r)]), None, None, None))
+            contexts, at = np.unique(l[hot], return_inverse=True)
+            sums = (np.bincount(at, (x - DISCOUNT)[hot] / y[hot]).tolist() for x, y in ((n, of), (rn, rof)))
+            out += [(None, None, None, *x) for x in zip(contexts.tolist(), *sums, strict=True)]
+            return _rows_of(packed3, out)
 
-        return run
+        for b in batches:
+            parts.append((b.column("p").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False), *(b.column(c).to_numpy() for c in ("n", "of", "rn", "rof", "l", "r"))))
+            if sum(len(x[0]) for x in parts) > 500_000:
+                yield pack()
+        if parts:
+            yield pack()
 
-    shape = "p int, kind int, block binary, k long, l long, r long, o long, n long, bow double"
+    def settle(batches):
+        """Blocks of hashes and gains, and rows of frequent pairs and triples: all of a bucket's contexts meet their triples."""
+        at, pairs, triples = None, [], []
+        hot_keys, hot_bow = hot_weights.value
+
+        def at_hot(keys, bow):
+            if len(hot_keys):
+                i = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+                bow = np.where(hot_keys[i] == keys, hot_bow[i], bow)
+            return bow
+
+        def bucket():
+            columns = [np.concatenate(x) for x in zip(*([*parts, *wide] for parts, wide in triples), strict=True)] if triples else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)] * 2
+            order = np.argsort(columns[5])
+            _, n, of, rn, rof, l, r = (x[order] for x in columns)
+            q, below = (n - DISCOUNT) / of, (rn - DISCOUNT) / rof
+            first = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]])) if len(l) else np.zeros(0, np.int64)
+            contexts = l[first]
+            left = [np.maximum(1 - (np.add.reduceat(x, first) if len(first) else x), 1e-9) for x in (q, below)]
+            bow = at_hot(contexts, np.log10(left[0] / left[1]))
+            k3, v3 = joined(l, r, 3), np.log10(q) - np.log10(below) - np.repeat(bow, np.diff(np.append(first, len(l))))
+            rows, keys, gains = [], [k3], [v3]
+            for (f, n2), (k2, v2, l2, r2) in pairs:
+                own = np.zeros(len(k2))
+                if len(contexts):
+                    i = np.minimum(np.searchsorted(contexts, k2), len(contexts) - 1)
+                    own = np.where(contexts[i] == k2, bow[i], 0.0)
+                own = at_hot(k2, own)
+                keys.append(k2)
+                gains.append(v2.view(np.float64) + own)
+                rows.append((2, k2[f], l2, r2, n2, own[f]))
+            f = np.flatnonzero(n >= often)
+            rows.append((3, k3[f], l[f], r[f], n[f], np.zeros(len(f))))
+            keys, gains = np.concatenate(keys), np.concatenate(gains)
+            order = np.argsort(keys)
+            yield _rows_of(MODEL, [(at, GRAMS, packed([], [keys[order], gains[order].view(np.uint64)]), *(None,) * 6)])
+            for o, k, l, r, n, bow in rows:
+                if len(k):
+                    yield _rows_of(MODEL, list(zip(*([None] * len(k),) * 3, [o] * len(k), *(x.view(np.int64).tolist() for x in (k, l, r, n)), bow.tolist(), strict=True)))
+
+        for p, kind, block in _blocks(batches):
+            if p != at:
+                if at is not None:
+                    yield from bucket()
+                at, pairs, triples = p, [], []
+            (pairs if kind == PAIRS else triples).append(unpacked(block))
+        if at is not None:
+            yield from bucket()
+
+    packed3 = "p int, kind int, block binary, l long, q double, below double"
     left = lambda t: t.select(F.col("k").alias("l"), F.col("n").alias("of"))
     # Buckets know the numbers of common words and of their own pairs; only the others are joined.
     known = F.col("of").isNotNull() & F.col("rn").isNotNull()
     other = pairs.where(~known).drop("of", "rn").join(left(word), "l").join(word.select(F.col("k").alias("r"), F.col("n").alias("rn")), "r")
     other = written(other)
-    own2 = pairs.where(known).unionByName(other).withColumn("r", shown)
-    weights2 = written(own2.groupBy("l").agg(weight(2)))
+    own2 = pairs.where(known).unionByName(other)
+    weights2 = written(own2.groupBy("l").agg(weight))
     of_hot = triples.where(F.col("of").isNull()).drop("of").join(left(hot), "l")
     own3 = triples.where(F.col("of").isNotNull()).unionByName(of_hot).join(own2.select(F.col("k").alias("r"), F.col("n").alias("rn"), F.col("of").alias("rof")), "r")
-    own3 = written(own3)
+    blocks3 = written(own3.select("p", "hot", "n", "of", "rn", "rof", "l", "r").mapInArrow(pack3, packed3))
     discard(grams, part="o=3")
-    weights3 = written(own3.groupBy("l").agg(weight(3)))
+    sums = blocks3.where(F.col("block").isNull()).groupBy("l").agg(F.sum("q").alias("q"), F.sum("below").alias("below")).toArrow().sort_by("l")
+    sums = [sums.column(c).to_numpy() for c in ("l", "q", "below")]
+    order = np.argsort(sums[0].view(np.uint64))
+    hot_weights = counts.sparkSession.sparkContext.broadcast((sums[0].view(np.uint64)[order], np.log10(np.maximum(1 - sums[1], 1e-9) / np.maximum(1 - sums[2], 1e-9))[order]))
     words = written(word.join(weights2.withColumnRenamed("l", "k"), "k", "left"))
-    joined3 = own3.join(weights3, "l").select(F.lit(None).cast("long").alias("k"), "l", "r", "p", "hot", "n", F.lit(0.0).alias("own"), gain(3).alias("v"))
-    table3 = written(joined3.mapInArrow(blocks(3), shape))
-    discard(own3)
-    joined2 = own2.join(weights2, "l").join(weights3.select(F.col("l").alias("k"), F.col("bow").alias("own")), "k", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    table2 = written(joined2.select("k", "l", "r", "p", "hot", "n", "own", (gain(2) + F.col("own")).alias("v")).mapInArrow(blocks(2), shape))
-    discard(grams, other, weights2, weights3)
-    return words, [table2, table3]
+    gain = F.log10(q) - F.log10(below) - F.col("bow")
+    blocks2 = own2.join(weights2, "l").select("p", "k", "l", "r", "n", "hot", gain.alias("v")).mapInArrow(pack2, "p int, kind int, block binary")
+    table = written(sorted_buckets(blocks2.union(blocks3.where(F.col("block").isNotNull()).select("p", "kind", "block")), lexicon.buckets).mapInArrow(settle, MODEL))
+    discard(grams, hot, other, weights2, blocks3)
+    return words, table
+
+
+def by_bucket(p: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Rows by bucket, and where each bucket begins among them."""
+    order = np.argsort(p, kind="stable")
+    return order, [*np.flatnonzero(np.diff(p[order], prepend=-1)).tolist(), len(p)]
+
+
+def _rows_of(shape: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    names = [c.split() for c in shape.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, names, strict=True)], [name for name, _ in names])
 
 
 @dataclass
@@ -429,18 +597,21 @@ class Automaton:
     n: int
     v: int
 
+    @functools.cached_property
+    def places(self) -> Places:
+        return Places(self.keys)
+
     @property
     def arcs(self) -> dict[int, tuple[float, int]]:
         return {k: (g, t) for k, g, t in zip(self.keys.tolist(), self.gain.tolist(), self.to.tolist(), strict=True)}
 
     def follow(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log10 probabilities of tokens and the states after them: failure arcs are taken until an arc is there."""
-        size, total, state = len(self.tokens) + 1, np.zeros(len(state)), state.copy()
+        size, places, total, state = len(self.tokens) + 1, self.places, np.zeros(len(state)), state.copy()
         left = np.arange(len(state))
         while len(left):
-            key = state[left] * size + token[left]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
+            at = places.of(state[left] * size + token[left])
+            hit = at >= 0
             on = left[hit]
             total[on] += self.gain[at[hit]]
             state[on] = self.to[at[hit]]
@@ -449,13 +620,12 @@ class Automaton:
             state[left] = self.shorter[state[left]]
         return total, state
 
-    def scores(self, texts: list[np.ndarray], stretch: int = 64) -> np.ndarray:
-        """The log10 probability of each text's tokens, none empty, from the start state, left to right. A state is what the last
-        ORDER - 1 tokens lead to from anywhere, so texts are cut in stretches that take their steps side by side."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        tokens, starts = np.concatenate([*texts, np.zeros(0, np.int64)]), np.cumsum(sizes) - sizes
+    def scores(self, tokens: np.ndarray, sizes: np.ndarray, stretch: int = 64) -> np.ndarray:
+        """The log10 probability of each text's tokens, text after text, none empty, from the start state, left to right. A state
+        is what the last ORDER - 1 tokens lead to from anywhere, so texts are cut in stretches that take their steps side by side."""
+        starts = np.cumsum(sizes) - sizes
         pieces = -(-sizes // stretch)
-        of = np.repeat(np.arange(len(texts)), pieces)
+        of = np.repeat(np.arange(len(sizes)), pieces)
         inside = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
         length = np.minimum(stretch, sizes[of] - inside)
         order = np.argsort(-length, kind="stable")
@@ -471,7 +641,7 @@ class Automaton:
                 break
             gain, state[:k] = self.follow(state[:k], tokens[at[:k] + step])
             total[:k] += gain
-        return np.bincount(of, total, minlength=len(texts))
+        return np.bincount(of, total, minlength=len(sizes))
 
 
 def compile_automaton(known: dict[bytes, int], lexicon: Lexicon, weights: dict[bytes, float], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, least: float) -> Automaton:
@@ -509,9 +679,10 @@ def compile_automaton(known: dict[bytes, int], lexicon: Lexicon, weights: dict[b
         arcs |= fresh
         state_of, count = states, counts.astype(float)
     log_rest = float(np.log10(mass[REST]))
-    token = np.array([tokens.get(w, REST) for w in lexicon.codes], np.int64)
-    logs = np.log10((np.array([known.get(w, 0) for w in lexicon.codes]) + ADD) / scale)
-    beside = np.where(token == REST, logs - log_rest + np.array([weights.get(w, 0.0) for w in lexicon.codes]), 0.0)
+    words = lexicon.words.to_pylist()
+    token = np.array([tokens.get(w, REST) for w in words], np.int64)
+    logs = np.log10((np.array([known.get(w, 0) for w in words]) + ADD) / scale)
+    beside = np.where(token == REST, logs - log_rest + np.array([weights.get(w, 0.0) for w in words]), 0.0)
     keys = np.array(sorted(arcs), np.int64)
     gain, to = (np.array([arcs[k][i] for k in keys.tolist()], kind) for i, kind in ((0, float), (1, np.int64)))
     return Automaton(tokens, keys, gain, to, np.array(backoff), np.array(shorter, np.int64), token, logs, beside, log_rest, float(np.log10(ADD / scale)), scale, 1 + tokens[END], n, v)
@@ -528,21 +699,25 @@ class Fitted:
     lexicon: Lexicon
     arcs: np.ndarray  # sorted hashes of the pairs and triples that the automaton holds
     words: DataFrame  # (k, n, bow) of all words of the training texts
-    grams: list[DataFrame]  # blocks of all pairs and triples of the model
+    grams: DataFrame  # MODEL: blocks of all pairs and triples of the model
 
 
 def fit(documents: DataFrame) -> Fitted:
     """Learn from all rows outside the held-out fold; a null text is empty, a null doc_id counts as training."""
     training = documents.where(F.coalesce(~held_out(), F.lit(True)))
     counts = written(word_counts(training))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    # Words by their number, a row for each number: as sums of distinct numbers they are no more than the root of 2 n.
+    times = counts.groupBy("n").agg(F.count("*").alias("words")).toArrow().sort_by([("n", "descending")])
+    by_n, upto = times.column("n").to_numpy(), np.cumsum(times.column("words").to_numpy())
+    n, v = int(by_n @ np.diff(upto, prepend=0)), int(upto[-1]) if len(upto) else 0
+    enough = int(by_n[min(np.searchsorted(upto, WORDS), len(by_n) - 1)]) if v else 0
+    common = counts.where(F.col("n") >= enough).orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
     known = dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True)) | {END: counts.where(F.col("word") == F.lit(END)).select("n").head(1)[0].n if n else 0}
     least = max(2, n * CLASS_SHARE)
     lexicon = lexicon_of(known, n, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
-    words, tables = gains(counts, written(gram_counts(training, lexicon), by="o"), n, v, lexicon)
+    words, table = gains(counts, written(gram_counts(training, lexicon), by="o"), n, v, lexicon)
     discard(counts)
-    of_word = dict(zip(lexicon.codes, lexicon.hashes.view(np.int64).tolist(), strict=True))
+    of_word = dict(zip(lexicon.words.to_pylist(), lexicon.hashes.view(np.int64).tolist(), strict=True))
     # What comes to the driver: backoff weights of known words, and at most 1 / GRAM_SHARE n-grams of each order.
     asked = documents.sparkSession.createDataFrame(pa.table({"k": pa.array(lexicon.hashes.view(np.int64))}))
     rows = words.where(F.col("bow").isNotNull()).join(F.broadcast(asked), "k").select("k", "bow").toArrow()
@@ -551,8 +726,8 @@ def fit(documents: DataFrame) -> Fitted:
     held, grams = [], []
     places = {of_word[w]: i for w, i in tokens.items()}  # of contexts, by hash
     last = dict(places)  # the last token of each
-    for t in tables:
-        g = t.where(F.col("block").isNull()).select("k", "l", "r", "n", "bow").toPandas()
+    for o in (2, 3):
+        g = table.where(F.col("o") == o).select("k", "l", "r", "n", "bow").toPandas()
         g = g[g["l"].isin(list(places)) & g["r"].isin(list(places))].sort_values("k")
         ends = g["r"].map(last).to_numpy(np.int64)
         grams.append((g["l"].map(places).to_numpy(np.int64) * (len(tokens) + 1) + ends, g["n"].to_numpy(np.int64), g["bow"].to_numpy(float)))
@@ -561,13 +736,11 @@ def fit(documents: DataFrame) -> Fitted:
         last = dict(zip(g["k"].tolist(), ends.tolist(), strict=True))
     bows = {w: weights.get(of_word[w], 0.0) for w in known}
     automaton = compile_automaton(known, lexicon, bows, grams, n, v, least)
-    return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, tables)
+    return Fitted(automaton, lexicon, np.sort(np.concatenate(held).view(np.uint64)), words, table)
 
 
 def _blocks_of(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (p, kind, key, block)."""
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["p", "kind", "key", "block"])
+    return _rows_of("p int, kind int, key long, block binary", rows)
 
 
 def scored(documents: DataFrame, model: Fitted) -> DataFrame:
@@ -584,58 +757,57 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     a, buckets = model.automaton, model.lexicon.buckets
 
     def texts(batches):
-        m, lex = held.value, lexicon.value
-        records, row, begin = Records(lex), TaskContext.get().partitionId() << 33, None
-        rare: dict[bytes, int] = {}
-        rare_codes, rare_rows = array("q"), array("q")
+        m, lex, inside = held.value, lexicon.value, Places(arcs.value)
+        records, row = Records(lex), TaskContext.get().partitionId() << 33
         stats: list[tuple] = []
-        end, log_end, counted = m.tokens[END], float(m.logs[lex.codes[END]]), m.logs[lex.codes[END]] > m.unseen
+        end, log_end = m.tokens[END], float(m.logs[lex.end])
+        counted = log_end > m.unseen
 
         def pack():
-            """All blocks so far; their rows count from `begin`."""
-            out = [(p, TRIPLES, begin, x) for p, x in records.fold(arcs.value, True)]
-            if rare:
-                codes, rows, hashes = np.array(rare_codes), np.array(rare_rows), word_hashes(list(rare))
-                bucket = (mixed(hashes[codes], 3) % np.uint64(buckets)).astype(np.int32)
-                order = np.lexsort((rows, codes, bucket))
+            """All blocks so far; their rows count from the first one's."""
+            folded, begin, (codes, rows, hashes) = records.fold(inside, True)
+            out = [(p, TRIPLES, begin, x) for p, x in folded]
+            if len(codes):
+                bucket = (mixed(hashes, 3) % np.uint64(buckets)).astype(np.int64)[codes]
+                order = np.lexsort((codes, bucket))
                 codes, rows, bucket = codes[order], rows[order], bucket[order]
-                cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
-                for x, y in zip(cuts, cuts[1:]):
+                edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+                for x, y in zip(edges, edges[1:]):
                     first = np.flatnonzero(np.diff(codes[x:y], prepend=-1))
                     out.append((int(bucket[x]), RARE, begin, packed([np.diff(np.append(first, y - x)), rows[x:y]], [hashes[codes[x:y][first]]])))
-                rare.clear()
-                del rare_codes[:], rare_rows[:]
             if stats:
-                ids, rows, n, known, base, tokens, more = zip(*stats, strict=True)
-                score = m.scores(list(tokens)) + np.array(more)
-                null = np.array([i is None for i in ids])
-                ids = np.array([i or 0 for i in ids], np.int64)
-                wide = [ids.view(np.uint64), np.array(base).view(np.uint64), score.view(np.uint64), np.array(n, np.uint64), np.array(known, np.uint64)]
-                out.append((int(begin % buckets), STAT, begin, packed([np.array(rows), null], wide)))
+                rows, null, *wide = (np.concatenate(x) for x in zip(*stats, strict=True))
+                out.append((int(begin % buckets), STAT, begin, packed([rows - begin, null], [x.view(np.uint64) for x in wide])))
                 stats.clear()
             return _blocks_of(out)
 
+        def own(cut, codes, ids, row):
+            """What the automaton and the lexicon tell of a cut's texts: rows, whether ids are null, ids, base scores, scores, tokens, known ones."""
+            codes = codes[cut.numbers]
+            common, sizes = codes >= 0, cut.sizes
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            tokens = np.full(len(codes) + len(sizes), end, np.int64)
+            tokens[np.arange(len(codes)) + of] = np.where(common, m.token[np.maximum(codes, 0)], REST)
+            codes, of = codes[common], of[common]
+            known, base, beside = (np.bincount(of, x, minlength=len(sizes)) for x in (None, m.logs[codes], m.beside[codes]))
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            return row + np.arange(len(sizes)), null, ids, base + log_end, m.scores(tokens, sizes + 1) + beside, sizes + 1, known + int(counted)
+
         for b in batches:
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = low_words(t)
-                if begin is not None and records.length + len(words) + 1 > lex.fold:
+            at = 0
+            for cut in cuts(b.column("text")):
+                codes = records.codes(cut)
+                figures, told = own(cut, codes, b.column("doc_id").slice(at, len(cut.sizes)), row), 0
+                for n in records.add(cut, codes, row):
+                    if n > told:
+                        stats.append(tuple(x[told:n] for x in figures))
+                        told = n
                     yield pack()
-                    begin = None
-                begin = row if begin is None else begin
-                line = records.codes(words)
-                codes = line[1:-2].copy()
-                for _ in records.add(line, words, row - begin):
-                    yield pack()  # a text that fills a fold is the first of its fold: the key stays
-                known = codes[codes >= 0]
-                tokens = np.empty(len(codes) + 1, np.int64)
-                tokens[:-1], tokens[-1] = np.where(codes >= 0, m.token[np.maximum(codes, 0)], REST), end
-                if len(known) < len(codes):
-                    for i in np.flatnonzero(codes < 0).tolist():
-                        rare_codes.append(rare.setdefault(words[i], len(rare)))
-                        rare_rows.append(row - begin)
-                stats.append((doc_id, row - begin, len(words) + 1, len(known) + counted, float(m.logs[known].sum()) + log_end, tokens, float(m.beside[known].sum())))
-                row += 1
-        if begin is not None:
+                if told < len(cut.sizes):
+                    stats.append(tuple(x[told:] for x in figures))
+                at, row = at + len(cut.sizes), row + len(cut.sizes)
+        if records.length:
             yield pack()
 
     def tail(batches):
@@ -648,8 +820,8 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             p = (mixed(k, 3) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((k, p))
             p, columns = p[order], [x[order].view(np.uint64) for x in (k, log, v)]
-            cuts = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
-            yield _blocks_of([(int(p[x]), TAIL, 0, packed([], [c[x:y] for c in columns])) for x, y in zip(cuts, cuts[1:])])
+            edges = [*np.flatnonzero(np.diff(p, prepend=-1)).tolist(), len(p)]
+            yield _blocks_of([(int(p[x]), TAIL, 0, packed([], [c[x:y] for c in columns])) for x, y in zip(edges, edges[1:])])
 
     def meet(batches):
         """(key, kind, block): what a bucket adds to the rows of each fold, and the folds' own figures as they are."""
@@ -691,7 +863,9 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                 elif kind == TRIPLES:
                     _, _, pair, after, ends, times, rows, _ = opened(block, lex)
                     model = table_of(GRAMS, 2)
-                    add = gain(pair, *model) + np.where(ends, 0.0, gain(joined(pair, after, 3), *model))
+                    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                    of_pair = np.repeat(gain(pair[first], *model), np.diff(np.append(first, len(pair))))
+                    add = of_pair + np.where(ends, 0.0, gain(joined(pair, after, 3), *model))
                     sums = np.bincount(rows, np.repeat(add, times))
                     of = np.flatnonzero(sums)
                     if len(of):
@@ -739,8 +913,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     log = F.log10((F.col("n") + ADD) / a.scale)
     rare_words = model.words.select("k", log.alias("base"), (log - a.log_rest + F.coalesce("bow", F.lit(0.0))).alias("v"))
     blocks = documents.select("doc_id", "text").mapInArrow(texts, shape).union(rare_words.mapInArrow(tail, shape))
-    for t in model.grams:
-        blocks = blocks.union(t.where(F.col("block").isNotNull()).select("p", "kind", F.lit(0).cast("long").alias("key"), "block"))
+    blocks = blocks.union(model.grams.where(F.col("block").isNotNull()).select("p", "kind", F.lit(0).cast("long").alias("key"), "block"))
     added = sorted_buckets(blocks, buckets).mapInArrow(meet, "key long, kind int, block binary")
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = added.repartition(tasks, "key").sortWithinPartitions("key", "kind").mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -9,11 +9,13 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 import public_tokenizers
 import pytest
 
 from kontaktor.llm import bpe, licenses, lm, neardup, packing, quality, secrets, toxicity
+from kontaktor.llm.common import low_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}x{i % 89}" for i in range(30_000))
@@ -492,6 +494,50 @@ def test_scores_do_not_depend_on_folds_and_buckets(spark, monkeypatch):
     assert sum(r.doc_id is None and not r.held_out for r in again) == 2
 
 
+@pytest.mark.parametrize("share", [1e-3, 0.05, 1.0])
+def test_gains_are_settled_in_buckets(spark, monkeypatch, share):
+    """Each bucket has one sorted block of gains, with salted pairs or without, and scores are those of the whole model."""
+    rng = np.random.default_rng(11)
+    texts = ["", *(" ".join(rng.choice(["the", "of", "and", *(f"u{j}" for j in range(k))], 70)) for k in range(40))]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    monkeypatch.setattr(lm, "HOT_SHARE", share)
+    monkeypatch.setattr(lm, "BUCKET", 300)
+    monkeypatch.setattr(lm, "WORDS", 20)
+    docs = documents(spark, texts)
+    model = lm.fit(docs)
+    blocks = model.grams.where("block is not null").select("p", "block").collect()
+    assert len(blocks) == len({r.p for r in blocks}) > 4
+    for r in blocks:
+        hashes = lm.unpacked(r.block)[1][0]
+        assert (np.diff(hashes.astype(object)) > 0).all()
+    got = {r.doc_id: r.score for r in lm.scored(docs, model).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts, held), rel=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+def test_cuts_hold_the_words_of_whole_texts(monkeypatch, size):
+    monkeypatch.setattr(lm, "CUT", size)
+    texts = [None, "", " ", "A", "\x0b a\x1cB \t\r\n\x0cÄb\u00a0C\u2003d\x85e ", "x" * 100, "Z z Z", *TEXTS, None]
+    want = [low_words(t) for t in texts]
+    got, n = [], 0
+    for cut in lm.cuts(pa.array([None, *texts]).slice(1)):
+        words, at = cut.words.to_pylist(), 0
+        assert len(words) == len(set(words)) and len(cut.numbers) == cut.sizes.sum()
+        for k in cut.sizes.tolist():
+            got.append([words[i] for i in cut.numbers[at : at + k]])
+            at += k
+        n += 1
+    assert got == want and (n == 1) == (size == 10**6)
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lm.Places(keys).of(keys) == np.arange(len(keys))).all()
+        assert (lm.Places(keys).of(rng.integers(0, 2**64, 5000, dtype=np.uint64)) == -1).all()
+
+
 def test_automaton_is_a_distribution(spark):
     rng = np.random.default_rng(2)
     docs = documents(spark, [" ".join(rng.choice(list("abcdef"), 200, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05])) for _ in range(20)])
