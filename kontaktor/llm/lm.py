@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, table, written
+from .common import discard, mixed, table, trimmed, written
 
 END = b"\n"  # no word holds white space
 NONE = b""  # stands where a text has ended; no word is empty
@@ -48,7 +49,7 @@ LEAST = 2  # the model's n-grams are all that occur so often, at any size
 DISCOUNT = 0.5
 REST = 0  # the class of all words that are no tokens of the automaton
 FOLD = 1_500_000  # records that a task sorts and packs at once
-CUT = 8_000_000  # bytes of texts that are cut into words at once; a longer text is cut alone
+CUT = 4_000_000  # bytes of texts that are cut into words at once; a longer text is cut alone
 BUCKET = 2_000_000  # tokens for each bucket
 
 
@@ -56,6 +57,12 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0
 
 
+def freed() -> None:
+    """As common.trimmed, with what Arrow keeps: two workers share an executor's memory with it, and each serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    trimmed()
+
+
 @dataclass
 class Cut:
     """Texts cut into words, as common.low_words does."""
@@ -78,6 +85,7 @@ def cuts(texts: pa.Array) -> Iterator[Cut]:
             sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
             words = words.filter(pa.array(full))
         words = words.dictionary_encode()
+        del lists, full
         yield Cut(sizes, words.indices.to_numpy(), words.dictionary.cast(pa.binary()))
         at = to
 
@@ -102,13 +110,14 @@ def word_counts(training: DataFrame) -> DataFrame:
         if ends:
             parts.append(pa.table({"word": pa.array([END], pa.binary()), "n": np.array([ends])}))
             yield from added().to_batches()
+        freed()
 
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Those of Spark's xxhash64 over the same bytes."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
 
 
 def joined(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
@@ -175,14 +184,14 @@ def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 class Places:
-    """Where keys stand among sorted distinct ones: by a table of their hashes, and by search where some share a slot."""
+    """Where keys stand among sorted ones: by a table of their hashes, and by search where some share a slot."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.shift = keys, np.uint64(64 - max(10, min(22, int(len(keys) * 64).bit_length())))
-        slots, times = np.unique(self._slot(keys), return_counts=True)
-        self.table = np.full(1 << int(np.uint64(64) - self.shift), -1, np.int32)
-        self.table[self._slot(keys)] = np.arange(len(keys))
-        self.table[slots[times > 1]] = -2
+        bits = max(10, min(22, (len(keys) * 16).bit_length()))
+        self.keys, self.shift, self.table = keys, np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        slot, own = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        self.table[slot] = own
+        self.table[slot[self.table[slot] != own]] = -2
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
@@ -216,7 +225,7 @@ class Records:
 
     def codes(self, cut: Cut) -> np.ndarray:
         """By number of the cut's words: the code, or for words that the lexicon doesn't know -1 and less, each its own."""
-        out = pc.fill_null(pc.index_in(cut.words, value_set=self.lexicon.words), -1).to_numpy().astype(np.int64)
+        out = pc.fill_null(pc.index_in(cut.words, value_set=self.lexicon.words), -1).to_numpy().astype(np.int32)
         rare = np.flatnonzero(out < 0)
         out[rare] = -1 - rare
         return out
@@ -227,7 +236,7 @@ class Records:
         most, sizes, records = self.lexicon.fold, cut.sizes, cut.sizes + 1
         begin, ends = np.cumsum(sizes + 3) - (sizes + 3), np.cumsum(records)
         # Each text between two ENDs and with NONE after them.
-        line = np.full(len(cut.numbers) + 3 * len(sizes), self.end, np.int64)
+        line = np.full(len(cut.numbers) + 3 * len(sizes), self.end, np.int32)
         line[np.arange(len(cut.numbers)) + np.repeat(begin + 1 - (np.cumsum(sizes) - sizes), sizes)] = codes[cut.numbers]
         line[begin + sizes + 2] = 0
         i = 0
@@ -254,7 +263,7 @@ class Records:
         own = -1 - line[at]
         there = np.zeros(len(cut.words), bool)
         there[own] = True
-        numbers, there = np.zeros(len(cut.words), np.int64), np.flatnonzero(there)
+        numbers, there = np.zeros(len(cut.words), np.int32), np.flatnonzero(there)
         numbers[there] = self.lexicon.size + self.n_rare + np.arange(len(there))
         line[at] = numbers[own]
         self.rare.append(word_hashes(cut.words.take(pa.array(there)).to_pylist()))
@@ -267,18 +276,22 @@ class Records:
     def fold(self, held: Places | None = None, with_rows: bool = False) -> tuple[list[tuple], int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, block) of all records so far, the first one's row, from which rows count, and where rare words stand: their
         numbers, rows, and hashes by number. held: hashes of triples whose records aren't needed."""
-        lines, records, each = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.lines, self.records, self.rows))
+        lines, records, each = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((self.lines, np.int32), (self.records, np.int64), (self.rows, np.int64)))
         hashes = np.concatenate([self.lexicon.hashes, *self.rare])
         self.clear()
         place = np.arange(records.sum()) + np.repeat(2 * np.arange(len(records)), records)
-        a, b, c = (lines[place + k] for k in range(3))
+        a = lines[place].astype(np.int64)
+        key = a << 42
+        for k, shift in ((1, 21), (2, 0)):
+            place += 1
+            key |= lines[place].astype(np.int64) << shift
         begin, rows = int(each[0]) if len(each) else 0, None
         rare = (np.zeros(0, np.int64),) * 3
         if with_rows:
-            rows = np.repeat(each - begin, records)
+            rows = np.repeat((each - begin).astype(np.int32), records)
             of = np.flatnonzero(a >= self.lexicon.size)
             rare = (a[of] - self.lexicon.size, rows[of], hashes[self.lexicon.size :])
-        key = a << 42 | b << 21 | c
+        del a, lines, place
         if with_rows:
             order = np.argsort(key)
             key, rows = key[order], rows[order]
@@ -286,12 +299,14 @@ class Records:
             key.sort()
         first = np.flatnonzero(np.diff(key, prepend=-1))
         key, times = key[first], np.diff(np.append(first, len(key)))
-        a, b, c = key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1
+        a, b, c = ((key >> shift & (1 << 21) - 1).astype(np.int32) for shift in (42, 21, 0))
+        del key, first
         pair, after = joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2)
         bucket = self.lexicon.bucket(pair, self.lexicon.is_hot(a, b), after)
         if held is not None:
             # A held triple's pair is held too: such a record adds nothing.
             bucket[held.of(joined(pair, after, 3)) >= 0] = -1
+        del pair, after
         order = np.argsort(bucket.astype(np.int16) if self.lexicon.buckets < 1 << 15 else bucket, kind="stable")
         if with_rows:
             starts = np.cumsum(times) - times
@@ -331,8 +346,8 @@ def _blocks(batches):
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each key first stands, its number, and for each row that of its key."""
-    order = np.argsort(keys, kind="stable")
+    """A place where each key stands, its number, and for each row that of its key."""
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
@@ -356,27 +371,33 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
             for cut in cuts(b.column("text")):
                 for _ in records.add(cut, records.codes(cut)):
                     yield _dealt(records.fold()[0])
+                    freed()
         yield _dealt(records.fold()[0])
+        freed()
 
     def count(batches):
-        lex, at, parts = held.value, None, []
-        order = np.argsort(lex.hashes)
-        hashes_known, counts_known = lex.hashes[order], lex.counts[order]
+        lex, at, parts, wide = held.value, None, [], [held.value.hashes]
 
-        def known(hashes):
-            i = np.minimum(np.searchsorted(hashes_known, hashes), len(hashes_known) - 1)
-            return np.where(hashes_known[i] == hashes, counts_known[i], -1)
+        def code(words):
+            """Common words by their codes, others by places among all hashes of the bucket's blocks."""
+            return np.where(words < lex.size, words, words + (sum(map(len, wide)) - lex.size)).astype(np.int32)
+
+        def known(codes):
+            return np.where(codes < lex.size, lex.counts[np.minimum(codes, lex.size - 1)], -1)
 
         def settle():
             if not parts:
                 return
             columns = list(zip(*parts, strict=True))
             parts.clear()
-            pair, after, l, r, hot, ends, n = (np.concatenate(columns.pop(0)) for _ in range(7))
+            pair, after, a, b, hot, ends, n = (np.concatenate(columns.pop(0)) for _ in range(7))
+            hashes = np.concatenate(wide)
+            del wide[1:]
             i, total, of_pair = summed(pair, n)
             keep = hot[i] | (total >= LEAST)
             i, total = i[keep], total[keep]
-            yield from _counted(2, pair[i], l[i], r[i], at, hot[i], total, known(l[i]), known(r[i]))
+            yield from _counted(2, pair[i], hashes[a[i]], hashes[b[i]], at, hot[i], total, known(a[i]), known(b[i]))
+            del a, b, hashes
             pair, after, n, hot, of_pair = pair[~ends], after[~ends], n[~ends], hot[~ends], np.where(hot, -1, of_pair)[~ends]
             i, total, _ = summed(joined(pair, after, 3), n)
             keep = total >= LEAST
@@ -386,10 +407,13 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
         for p, _, block in _blocks(batches):
             if p != at:
                 yield from settle()
+                freed()
                 at = p
             a, b, pair, after, ends, times, _, hashes = opened(block, lex)
-            parts.append((pair, after, hashes[a], hashes[b], lex.is_hot(a, b), ends, times.astype(np.int32)))
+            parts.append((pair, after, code(a), code(b), lex.is_hot(a, b), ends, times.astype(np.int32)))
+            wide.append(hashes[lex.size :])
         yield from settle()
+        freed()
 
     blocks = training.select("text").mapInArrow(emit, "p int, block binary").withColumn("kind", F.lit(0))
     return sorted_buckets(blocks, lexicon.buckets).mapInArrow(count, COUNTED)
@@ -461,10 +485,11 @@ def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon)
                 at, to = np.unique(np.stack([np.repeat(at, SALTS), spread.reshape(-1)]), axis=1)
                 parts.append((to.astype(np.int32), k[at], v[at], np.where(to == p[at], n[at], 0), l[at], r[at]))
             parts.append(tuple(x[~hot_] for x in (p, k, v, n, l, r)))
-            if sum(len(x[0]) for x in parts) > 500_000:
+            if sum(len(x[0]) for x in parts) > 200_000:
                 yield pack()
         if sum(len(x[0]) for x in parts):
             yield pack()
+        freed()
 
     def pack3(batches):
         """Blocks of triples: hashes of context and of the pair after it, and numbers. What the contexts of salted ones
@@ -486,10 +511,11 @@ def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon)
 
         for b in batches:
             parts.append((b.column("p").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False), *(b.column(c).to_numpy() for c in ("n", "of", "rn", "rof", "l", "r"))))
-            if sum(len(x[0]) for x in parts) > 500_000:
+            if sum(len(x[0]) for x in parts) > 200_000:
                 yield pack()
         if parts:
             yield pack()
+        freed()
 
     def settle(batches):
         """Blocks of hashes and gains, and rows of frequent pairs and triples: all of a bucket's contexts meet their triples."""
@@ -539,6 +565,7 @@ def gains(counts: DataFrame, grams: DataFrame, n: int, v: int, lexicon: Lexicon)
             (pairs if kind == PAIRS else triples).append(unpacked(block))
         if at is not None:
             yield from bucket()
+        freed()
 
     packed3 = "p int, kind int, block binary, l long, q double, below double"
     left = lambda t: t.select(F.col("k").alias("l"), F.col("n").alias("of"))
@@ -786,9 +813,10 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             codes = codes[cut.numbers]
             common, sizes = codes >= 0, cut.sizes
             of = np.repeat(np.arange(len(sizes)), sizes)
-            tokens = np.full(len(codes) + len(sizes), end, np.int64)
+            tokens = np.full(len(codes) + len(sizes), end, np.int32)
             tokens[np.arange(len(codes)) + of] = np.where(common, m.token[np.maximum(codes, 0)], REST)
             codes, of = codes[common], of[common]
+            del common
             known, base, beside = (np.bincount(of, x, minlength=len(sizes)) for x in (None, m.logs[codes], m.beside[codes]))
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -804,11 +832,13 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                         stats.append(tuple(x[told:n] for x in figures))
                         told = n
                     yield pack()
+                    freed()
                 if told < len(cut.sizes):
                     stats.append(tuple(x[told:] for x in figures))
                 at, row = at + len(cut.sizes), row + len(cut.sizes)
         if records.length:
             yield pack()
+        freed()
 
     def tail(batches):
         """Blocks (hash, log10 probability, gain) of the words that workers don't know."""
@@ -826,28 +856,22 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
     def meet(batches):
         """(key, kind, block): what a bucket adds to the rows of each fold, and the folds' own figures as they are."""
         lex, unseen, log_rest = lexicon.value, held.value.unseen, held.value.log_rest
-        at, kept, inside = None, {GRAMS: [], TAIL: []}, arcs.value
+        at, kept, inside = None, {GRAMS: [], TAIL: []}, Places(arcs.value)
 
         def table_of(kind, columns):
-            """Sorted hashes and what belongs to them. The automaton has the gains of what it holds."""
+            """Places of hashes and what belongs to them. The automaton has the gains of what it holds."""
             if isinstance(kept[kind], list):
                 parts = [unpacked(x)[1] for x in kept[kind]]
                 x = [np.concatenate([part[c] for part in parts]) if parts else np.zeros(0, np.uint64) for c in range(columns)]
                 order = np.argsort(x[0])
                 if kind == GRAMS:
-                    order = order[~found(x[0][order], inside)[1]]
-                kept[kind] = (x[0][order], *(y.view(np.float64)[order] for y in x[1:]))
+                    order = order[inside.of(x[0][order]) < 0]
+                kept[kind] = (Places(x[0][order]), *(y.view(np.float64)[order] for y in x[1:]))
             return kept[kind]
 
-        def found(keys, model):
-            if not len(model):
-                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-            i = np.minimum(np.searchsorted(model, keys), len(model) - 1)
-            return i, model[i] == keys
-
         def gain(keys, model, v):
-            i, hit = found(keys, model)
-            out = np.zeros(len(keys))
+            i = model.of(keys)
+            out, hit = np.zeros(len(keys)), np.flatnonzero(i >= 0)
             out[hit] = v[i[hit]]
             return out
 
@@ -856,6 +880,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             for p, kind, key, block in zip(*(b.column(c).to_pylist() for c in ("p", "kind", "key", "block")), strict=True):
                 if p != at:
                     at, kept = p, {GRAMS: [], TAIL: []}
+                    freed()
                 if kind in kept:
                     kept[kind].append(block)
                 elif kind == STAT:
@@ -873,7 +898,8 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                 else:
                     (times, rows), (hashes,) = unpacked(block)
                     model, log, v = table_of(TAIL, 3)
-                    i, hit = found(hashes, model)
+                    i = model.of(hashes)
+                    hit = i >= 0
                     base, add = np.full(len(hashes), unseen), np.full(len(hashes), unseen - log_rest)
                     base[hit], add[hit] = log[i[hit]], v[i[hit]]
                     of = np.unique(rows)
