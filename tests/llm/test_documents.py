@@ -588,6 +588,56 @@ def test_lexicon_is_minimal_and_finds_only_its_words():
     assert list(empty.find([b"a"])) == [-1]
 
 
+def test_pretokens_equal_the_expression():
+    import random
+
+    import regex
+
+    expression = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng = random.Random(5)
+    for _ in range(500):
+        texts = ["".join(rng.choices("  ''strev'mdlSa1é٣\n\t\u3000\x1c\x85\0𝒳😀\u0301.-", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        found, places = bpe.pretokens(texts)
+        found = [p.decode() for p in found.to_pylist()]
+        assert [found[a:b] for a, b in zip(places, places[1:], strict=False)] == [expression.findall(t) for t in texts]
+
+
+def test_bpe_of_long_texts_and_special_tokens_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    t, vocabulary = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    words = [b" it", b"'s", b"\n", " é".encode()]
+    ids, sizes = vocabulary.merged(words)
+    lexicon = bpe.Lexicon.build({w: i.tolist() for w, i in zip(words, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)})
+    texts = ["it's  é\n it's <|endoftext|>\n\n don't'll \0x" * 9, "", None, "<|endoftext|>", "x" * 99, " \n ", "a 𝒳 b'" * 30]
+    for part, at_once in ((10, 25), (1_000_000, 4_000_000)):
+        monkeypatch.setattr(bpe, "PART", part)
+        monkeypatch.setattr(bpe, "AT_ONCE", at_once)
+        for text, (n, coded, decoded) in zip(texts, bpe.Coder(vocabulary, lexicon)(texts), strict=True):
+            expected = t.encode(text or "", add_special_tokens=False).ids
+            assert n == len(expected) and coded == ",".join(map(str, expected)).encode()
+            assert decoded.decode("utf-8", "replace") == t.decode(expected, skip_special_tokens=False)
+
+
+def test_bpe_takes_no_python_step_for_each_word():
+    import sys
+
+    coder = bpe.Coder(bpe.Vocabulary(public_tokenizers.path(bpe.TOKENIZER)), bpe.Lexicon.build({}))
+
+    def calls(n):
+        seen, text = [], " ".join(f"w{k}" for k in range(n))
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event == "call" else None)
+        try:
+            coder([text])
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    calls(10)
+    assert calls(20_000) < calls(2_000) + 200
+
+
 def test_bpe_of_null_ids_and_repeated_rows(spark):
     rows = documents(spark, ["a b", "a b", LONG, None], [None, 1, 1, 2])
     got = bpe.encoded(rows, bpe.fit(rows)).collect()
