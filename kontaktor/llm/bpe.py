@@ -34,7 +34,7 @@ SHARE = 2e-5
 AT_ONCE = 4_000_000  # characters that a worker cuts and codes at once
 PART = 1_000_000  # characters from which on a text is cut in parts
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_KINDS, _WHITE = (r"\p{L}+", r"\p{N}+", r"\s+"), 3  # numbered from 1; 0: none of them
+_WHITE, _TRIALS = 3, ((1, "x"), (2, "1"), (0, "."))  # kinds of characters: a letter, a number and others go on with one of their kind
 _APOSTROPHE = ord("'")
 _ONE, _TWO = [ord(c) for c in "stmd"], [tuple(map(ord, c)) for c in ("re", "ve", "ll")]
 
@@ -177,14 +177,18 @@ def sums(sizes: np.ndarray | list[int]) -> np.ndarray:
 
 @lru_cache(1)
 def kinds() -> np.ndarray:
-    """Of each code point, whether it is a letter, a number, white space or something else."""
-    import regex
+    """Of each code point, whether it is a letter, a number, white space or something else to the tokenizers library, whose
+    version of Unicode may differ from other libraries': it cuts a row of all code points into runs of a kind, one of which is tried for each."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
     out = np.zeros(0x110000, np.uint8)
-    points = "".join(map(chr, range(len(out))))
-    for k, pattern in enumerate(_KINDS, 1):
-        for m in regex.finditer(pattern, points):
-            out[m.start() : m.end()] = k
+    # A space would begin the next run; from plane 4 on no version of Unicode has letters, numbers or white space.
+    for points in (range(0x21), range(0x21, 0xD800), range(0xE000, 0x40000)):
+        text = "".join(map(chr, points))
+        for _, (start, end) in cut(text):
+            kind = next((k for k, before in _TRIALS if len(cut(before + text[start])) == 1), _WHITE)
+            out[points[start] : points[start] + end - start] = kind
     return out
 
 

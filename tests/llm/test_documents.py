@@ -620,6 +620,17 @@ def test_bpe_of_long_texts_and_special_tokens_in_parts(monkeypatch):
             assert decoded.decode("utf-8", "replace") == t.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_knows_the_letters_that_the_tokenizer_knows():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    t, coder = Tokenizer.from_file(path), bpe.Coder(bpe.Vocabulary(path), bpe.Lexicon.build({}))
+    # Letters and numbers of all ages of Unicode, some of which are none to the tokenizer: then an apostrophe after them begins no contraction.
+    texts = [chr(c) + x for c in (0xE9, 0x558, 0x58B, 0x661, 0x88F, 0xC5C, 0x2003, 0x208F, 0xA7CE, 0x1D7D8, 0x2A6DE, 0x323B0, 0x3FC3F, 0x10FFFF) for x in ("'s", " a", "!'t", "a1")]
+    for text, (_, coded, _) in zip(texts, coder(texts), strict=True):
+        assert coded == ",".join(map(str, t.encode(text, add_special_tokens=False).ids)).encode(), ascii(text)
+
+
 def test_bpe_takes_no_python_step_for_each_word():
     import sys
 
