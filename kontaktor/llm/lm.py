@@ -51,6 +51,9 @@ REST = 0  # the class of all words that are no tokens of the automaton
 FOLD = 1_500_000  # records that a task sorts and packs at once
 CUT = 4_000_000  # bytes of texts that are cut into words at once; a longer text is cut alone
 BUCKET = 2_000_000  # tokens for each bucket
+PARTS = 16  # of a bucket, by hash of the pair, whose records are summed up one after the other
+SLICE = 100_000  # records whose buckets are told at once, and of a bucket that are summed up at once where PARTS allow
+ANSWER = 4_000_000  # bytes of blocks that go back to Spark at once
 
 
 def held_out(doc_id="doc_id"):
@@ -279,42 +282,57 @@ class Records:
         lines, records, each = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((self.lines, np.int32), (self.records, np.int64), (self.rows, np.int64)))
         hashes = np.concatenate([self.lexicon.hashes, *self.rare])
         self.clear()
-        place = np.arange(records.sum()) + np.repeat(2 * np.arange(len(records)), records)
-        a = lines[place].astype(np.int64)
-        key = a << 42
-        for k, shift in ((1, 21), (2, 0)):
+        place = np.arange(records.sum(), dtype=np.int32)
+        place += np.repeat(2 * np.arange(len(records), dtype=np.int32), records)
+        a = lines[place]
+        key = a.astype(np.int64)
+        for _ in range(2):
             place += 1
-            key |= lines[place].astype(np.int64) << shift
+            key <<= 21
+            key |= lines[place]
         begin, rows = int(each[0]) if len(each) else 0, None
         rare = (np.zeros(0, np.int64),) * 3
         if with_rows:
             rows = np.repeat((each - begin).astype(np.int32), records)
             of = np.flatnonzero(a >= self.lexicon.size)
-            rare = (a[of] - self.lexicon.size, rows[of], hashes[self.lexicon.size :])
+            rare = (a[of].astype(np.int64) - self.lexicon.size, rows[of], hashes[self.lexicon.size :])
         del a, lines, place
         if with_rows:
             order = np.argsort(key)
-            key, rows = key[order], rows[order]
+            key = key[order]
+            rows = rows[order]
+            del order
         else:
             key.sort()
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        key, times = key[first], np.diff(np.append(first, len(key)))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        times = np.diff(np.append(first, len(key))).astype(np.int32)
+        key = key[first]
+        del first
         a, b, c = ((key >> shift & (1 << 21) - 1).astype(np.int32) for shift in (42, 21, 0))
-        del key, first
-        pair, after = joined(hashes[a], hashes[b], 2), joined(hashes[b], hashes[c], 2)
-        bucket = self.lexicon.bucket(pair, self.lexicon.is_hot(a, b), after)
-        if held is not None:
-            # A held triple's pair is held too: such a record adds nothing.
-            bucket[held.of(joined(pair, after, 3)) >= 0] = -1
-        del pair, after
+        del key
+        bucket = np.empty(len(a), np.int32)
+        for x in range(0, len(a), SLICE):
+            i = slice(x, x + SLICE)
+            pair, after = joined(hashes[a[i]], hashes[b[i]], 2), joined(hashes[b[i]], hashes[c[i]], 2)
+            bucket[i] = self.lexicon.bucket(pair, self.lexicon.is_hot(a[i], b[i]), after)
+            if held is not None:
+                # A held triple's pair is held too: such a record adds nothing.
+                bucket[i][held.of(joined(pair, after, 3)) >= 0] = -1
+            del pair, after
         order = np.argsort(bucket.astype(np.int16) if self.lexicon.buckets < 1 << 15 else bucket, kind="stable")
+        bucket, starts = bucket[order], np.cumsum(times, dtype=np.int32) - times
+        times = times[order]
         if with_rows:
-            starts = np.cumsum(times) - times
-            ends = np.cumsum(times[order])
-            rows = rows[np.repeat(starts[order] - (ends - times[order]), times[order]) + np.arange(len(rows))]
-        a, b, c, times, bucket = a[order], b[order], c[order], times[order], bucket[order]
+            place = np.repeat(starts[order] - (np.cumsum(times, dtype=np.int32) - times), times)
+            place += np.arange(len(rows), dtype=np.int32)
+            rows = rows[place]
+            del place
+        a = a[order]
+        b = b[order]
+        c = c[order]
+        del order, starts
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-2)).tolist(), len(bucket)]
-        total = np.concatenate([[0], np.cumsum(times)])
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(times, dtype=np.int32)])
         out, size = [], self.lexicon.size
         for x, y in zip(edges, edges[1:]):
             if bucket[x] < 0:
@@ -340,9 +358,10 @@ def opened(block: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
 
 
 def _blocks(batches):
-    """(bucket, kind, block) of batches sorted by bucket and kind."""
+    """(bucket, kind, block) of batches sorted by bucket and kind. A batch holds most of what a task reads, so its blocks are copied one by one."""
     for b in batches:
-        yield from zip(b.column("p").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True)
+        for p, kind, block in zip(b.column("p").to_pylist(), b.column("kind").to_pylist(), b.column("block"), strict=True):
+            yield p, kind, block.as_py()
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,18 +405,19 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
             return np.where(codes < lex.size, lex.counts[np.minimum(codes, lex.size - 1)], -1)
 
         def settle():
-            if not parts:
-                return
-            columns = list(zip(*parts, strict=True))
-            parts.clear()
-            pair, after, a, b, hot, ends, n = (np.concatenate(columns.pop(0)) for _ in range(7))
+            """Part by part: to sum records up takes several times what they take."""
             hashes = np.concatenate(wide)
             del wide[1:]
+            step = max(1, min(PARTS, PARTS * SLICE // max(1, sum(int(x[0][-1]) for x in parts))))
+            for k in range(0, PARTS if parts else 0, step):
+                yield from settled(hashes, *(np.concatenate([x[c][x[0][k] : x[0][min(k + step, PARTS)]] for x in parts]) for c in range(1, 8)))
+            parts.clear()
+
+        def settled(hashes, pair, after, a, b, hot, ends, n):
             i, total, of_pair = summed(pair, n)
             keep = hot[i] | (total >= LEAST)
             i, total = i[keep], total[keep]
             yield from _counted(2, pair[i], hashes[a[i]], hashes[b[i]], at, hot[i], total, known(a[i]), known(b[i]))
-            del a, b, hashes
             pair, after, n, hot, of_pair = pair[~ends], after[~ends], n[~ends], hot[~ends], np.where(hot, -1, of_pair)[~ends]
             i, total, _ = summed(joined(pair, after, 3), n)
             keep = total >= LEAST
@@ -410,8 +430,11 @@ def gram_counts(training: DataFrame, lexicon: Lexicon) -> DataFrame:
                 freed()
                 at = p
             a, b, pair, after, ends, times, _, hashes = opened(block, lex)
-            parts.append((pair, after, code(a), code(b), lex.is_hot(a, b), ends, times.astype(np.int32)))
-            wide.append(hashes[lex.size :])
+            part = ((pair >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.uint8)
+            order = np.argsort(part, kind="stable")
+            columns = pair, after, code(a), code(b), lex.is_hot(a, b), ends, times.astype(np.int32)
+            parts.append((np.searchsorted(part[order], np.arange(PARTS + 1)), *(x[order] for x in columns)))
+            wide.append(hashes[lex.size :].copy())
         yield from settle()
         freed()
 
@@ -875,9 +898,18 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             out[hit] = v[i[hit]]
             return out
 
+        def answers():
+            columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["key", "kind", "block"])
+
         for b in batches:
-            out = []
-            for p, kind, key, block in zip(*(b.column(c).to_pylist() for c in ("p", "kind", "key", "block")), strict=True):
+            out, taken = [], 0
+            for p, kind, key, block in zip(*(b.column(c).to_pylist() for c in ("p", "kind", "key")), b.column("block"), strict=True):
+                block = block.as_py()
+                taken += len(block)
+                if taken > ANSWER and out:  # an answer is no longer than what it answers
+                    yield answers()
+                    out, taken = [], len(block)
                 if p != at:
                     at, kept = p, {GRAMS: [], TAIL: []}
                     freed()
@@ -906,7 +938,7 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
                     known, base, add = (np.bincount(rows, np.repeat(x, times))[of] for x in (hit, base, add))
                     out.append((key, kind, packed([of, known.astype(np.int64)], [base.view(np.uint64), add.view(np.uint64)])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "kind", "block"])
+                yield answers()
 
     def add_up(batches):
         """Rows of each fold. Its own figures come first."""
@@ -917,8 +949,8 @@ def scored(documents: DataFrame, model: Fitted) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), *map(pa.array, (n, known, base, score))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
-            for key, kind, block in zip(b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
-                parts, wide = unpacked(block)
+            for key, kind, block in zip(b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("block"), strict=True):
+                parts, wide = unpacked(block.as_py())
                 if kind == STAT:
                     if at is not None:
                         yield rows_of()

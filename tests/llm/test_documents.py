@@ -5,8 +5,10 @@ import functools
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -530,6 +532,36 @@ def test_cuts_hold_the_words_of_whole_texts(monkeypatch, size):
     assert got == want and (n == 1) == (size == 10**6)
 
 
+def test_workers_hold_little_for_each_record(spark, monkeypatch):
+    """What folding and counting allocate at once, in bytes for each record: two workers share an executor's memory with Spark."""
+    rng = np.random.default_rng(6)
+    words = [b"%d" % k for k in range(2000)]
+    lexicon, many = (lm.lexicon_of({w: 1 for w in words[:1500]} | {lm.END: 1}, 10**6, buckets) for buckets in (1, 64))
+    texts = pa.array([b" ".join(words[k] for k in (2000 * rng.random(5000) ** 3).astype(int)).decode() for _ in range(100)])
+    training, blocks_of = mock.MagicMock(), mock.MagicMock()
+    training.sparkSession.sparkContext.broadcast.return_value.value = lexicon
+    monkeypatch.setattr(lm, "sorted_buckets", lambda blocks, buckets: blocks_of)
+    lm.gram_counts(training, lexicon)
+    emit, count = training.select().mapInArrow.call_args.args[0], blocks_of.mapInArrow.call_args.args[0]
+    n = 100 * 5001
+
+    def peak(work):
+        tracemalloc.start()
+        before = tracemalloc.get_traced_memory()[0]
+        out = work()
+        most = tracemalloc.get_traced_memory()[1] - before
+        tracemalloc.stop()
+        return out, most / n
+
+    records = lm.Records(many)
+    for cut in lm.cuts(texts):
+        assert not list(records.add(cut, records.codes(cut)))
+    folded = peak(lambda: records.fold(with_rows=True))[1]
+    blocks = [b.append_column("kind", pa.array([0] * len(b), pa.int32())) for x in range(0, 100, 10) for b in emit([pa.record_batch({"text": texts.slice(x, 10)})])]
+    counted, most = peak(lambda: sum(b.num_rows for b in count(blocks)))
+    assert counted > 20_000 and max(folded, most) < 64, (counted, folded, most)
+
+
 def test_places_are_those_of_a_search():
     rng = np.random.default_rng(4)
     for n in (0, 1, 5000):
