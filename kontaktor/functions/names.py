@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,17 @@ def unescaped(c: Column) -> Column:
     return c
 
 
+def telling(title: Column, separator: str = f"(?U){fixed.TITLE_SEPARATOR}", tidy: Callable[[Column], Column] = collapse, low: Callable[[Column], Column] = F.lower) -> Column:
+    """The first part of a title that is more than a generic word; null if there is none."""
+    parts = F.transform(F.split(title, separator), tidy)
+    return F.get(F.filter(parts, lambda p: (F.length(p) > 2) & ~low(p).isin(*fixed.GENERIC_TITLES)), F.lit(0))
+
+
 def company(html: Column, url: Column) -> Column:
     """The site's own name, else the first telling part of the title, else the domain in title case, else empty."""
     html = text_or_empty(html)
     site = F.coalesce(*(F.nullif(strip(unescaped(F.regexp_extract(html, p, 1))), F.lit("")) for p in fixed.OG_SITE_NAME))
-    parts = F.transform(F.split(unescaped(F.regexp_extract(html, fixed.TITLE, 1)), f"(?U){fixed.TITLE_SEPARATOR}"), collapse)
-    telling = F.get(F.filter(parts, lambda p: (F.length(p) > 2) & ~F.lower(p).isin(*fixed.GENERIC_TITLES)), F.lit(0))
+    title = telling(unescaped(F.regexp_extract(html, fixed.TITLE, 1)))
     domain = registrable(url)
     name = title_case(F.replace(F.regexp_replace(domain, r"\.[^.]*$", ""), F.lit("-"), F.lit(" ")))
-    return F.coalesce(site, telling, F.when(domain != "", name), F.lit(""))
+    return F.coalesce(site, title, F.when(domain != "", name), F.lit(""))

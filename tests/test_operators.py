@@ -210,6 +210,18 @@ def test_query_equals_its_sql(spark, data, second, name):
     assert rows(a) == rows(b)
 
 
+def test_page_names_equal_their_sql_on_odd_pages(spark, tmp_path):
+    titles = ("to", "le. | a", "Home | Hotel A", "Hotel\u00a0 A\u2028", "\u3000Toko\x0b-B", "\u0130ndex", "&amp;&lt;lt;b&lt;/b", "", None)
+    bodies = [t if t is None else f"<title>{t}</title>" for t in titles] + ['<title>B C</title><meta property="og:site_name" content="Toko">', "no title"]
+    links = ("http://hotel-a.example/x", "http://:80/", "", None)
+    rows = [(i, u, b) for i, (u, b) in enumerate((u, b) for u in links for b in bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(registry.oracle_sql()["page_names"]).fetchall())
+    assert sorted(map(tuple, registry.queries()["page_names"](spark, str(tmp_path)).collect())) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
