@@ -1,8 +1,10 @@
 """Operators over small fixtures, and every registered query against the second engine."""
 
+import gc
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,33 @@ def test_query_equals_its_sql(spark, data, second, name):
     assert rows(a) == rows(b)
 
 
+def test_pages_are_parsed_in_pieces(spark):
+    assert list(dom.pieces([])) == [] and list(dom.pieces([1] * 600)) == [(0, 256), (256, 256), (512, 88)]
+    big = dom.PIECE_BYTES
+    assert list(dom.pieces([5 * big, 1, big - 1, 1, big])) == [(0, 1), (1, 2), (3, 1), (4, 1)]
+    seen, kind = [], pa.struct([("n", pa.int32())])
+    sizes = [0, 10, big // 2, big // 2, 9] + [3] * 600
+    run = dom._in_pieces(lambda s: seen.append(s) or {"n": len(s or "")}, "struct<n:int>").func
+    out, rows = run(iter([pa.array([None if not n else "x" * n for n in sizes])])), []
+    for piece in out:  # what is parsed beyond what has gone back stays within the bounds
+        assert len(piece) <= 256 and sum(len(s or "") for s in seen[len(rows) :]) <= big and len(seen) == len(rows) + len(piece) and piece.type == kind
+        rows += piece.to_pylist()
+    assert [r["n"] for r in rows] == sizes
+    rows = one(extract.contacts(page(spark, *(f"<p>n{i}@shop.example</p>" for i in range(700))).coalesce(1)))
+    assert [r.emails for r in rows] == [[f"n{i}@shop.example"] for i in range(700)]
+
+
+def test_a_parsed_page_leaves_no_cycles():
+    body = "<div id=kontak><p>a<p>b<!-- c --><ul><li class='b_algo'><h2><a href='/x'>t</a></h2></ul></div>"
+    gc.collect()
+    gc.disable()
+    try:
+        for parse in (lambda: dom.facts_of(body, "https://a.example/"), lambda: dom.result_items(body)):
+            assert parse() and gc.collect() == 0
+    finally:
+        gc.enable()
+
+
 def test_page_names_equal_their_sql_on_odd_pages(spark, tmp_path):
     titles = ("to", "le. | a", "Home | Hotel A", "Hotel\u00a0 A\u2028", "\u3000Toko\x0b-B", "\u0130ndex", "&amp;&lt;lt;b&lt;/b", "", None)
     bodies = [t if t is None else f"<title>{t}</title>" for t in titles] + ['<title>B C</title><meta property="og:site_name" content="Toko">', "no title"]
